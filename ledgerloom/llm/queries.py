@@ -5,10 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import simhash
+from . import langid, pii, quality, simhash
 from .common import documents
 
 
+def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
+    held_out = langid.fold(langid.FOLDS) == langid.HELD_OUT
+    model = langid.fit(docs, held_out)
+    found = langid.identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     return simhash.components(docs).select(
@@ -16,5 +24,20 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op7_simhash": op7_simhash}
-ORACLES: dict[str, str] = {}
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.judge(documents(spark, sf_dir).select("doc_id", "text"))
+    return judged.select("doc_id", *quality.BASE, "base_failed", "kept")
+
+
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymize(documents(spark, sf_dir).select("doc_id", "text"))
+
+
+QUERIES = {
+    "op6_langid": op6_langid,
+    "op7_simhash": op7_simhash,
+    "op9_quality": op9_quality,
+    "op10_pii": op10_pii,
+}
+#: SQL for DuckDB; the others cannot be put in SQL and are tested against brute force instead.
+ORACLES: dict[str, str] = {"op9_quality": quality.oracle_sql()}
