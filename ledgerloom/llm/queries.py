@@ -5,8 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, pii, quality, simhash
+from . import langid, packing, pii, quality, simhash, tokenstore
 from .common import documents
+from .wordpieces import public_path
+
+WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.json"
+
+
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack(documents(spark, sf_dir), public_path(WORD_BPE))
+    crc = F.crc32("ids").alias("ids_crc32")
+    return packed.select("doc_id", "start", "length", crc, "doc_tokens", "sequence_id", "offset")
+
+
+def op2_tokenstore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = tokenstore.write(documents(spark, sf_dir), public_path(WORD_BPE))
+    return tokenstore.read(spark, store).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
 def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,6 +48,8 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_packing": op1_packing,
+    "op2_tokenstore": op2_tokenstore,
     "op6_langid": op6_langid,
     "op7_simhash": op7_simhash,
     "op9_quality": op9_quality,
