@@ -136,11 +136,11 @@ def components(docs: DataFrame, id_col: str = "doc_id", blocks: int = BLOCKS, ce
     member = root.join(distinct, root.node == distinct.fp).select("fp", "root", "least_id")
     group = member.groupBy("root").agg(F.min("least_id").alias("group_id"))
     grouped = member.join(group, "root").select("fp", "root", "group_id")
-    table = (
-        distinct.join(grouped, "fp", "left")
-        .select("fp", F.coalesce("group_id", "least_id").alias("component_id"), F.coalesce("root", "fp").alias("root_fp"))
+    table = distinct.join(grouped, "fp", "left").select(
+        "fp", F.coalesce("group_id", "least_id").alias("component_id"), F.coalesce("root", "fp").alias("root_fp")
     )
-    return prints.join(table, "fp")
+    # Written first, so that this join has exchanges of its own and Spark can split a large group of copies.
+    return prints.join(materialize(table, "groups"), "fp")
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
