@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, packing, pii, quality, simhash, tokenstore
+from . import langid, lexicon, packing, pii, quality, simhash, tokenstore
 from .common import documents
 from .wordpieces import public_path
 
@@ -38,6 +38,17 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, path = documents(spark, sf_dir).select("doc_id", "text"), public_path(BYTE_BPE)
+    both = lexicon.decode(lexicon.encode(docs, path, lexicon.compile_lexicon(docs, path)), path)
+    return both.select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(documents(spark, sf_dir).select("doc_id", "text"))
     return judged.select("doc_id", *quality.BASE, "base_failed", "kept")
@@ -52,6 +63,7 @@ QUERIES = {
     "op2_tokenstore": op2_tokenstore,
     "op6_langid": op6_langid,
     "op7_simhash": op7_simhash,
+    "op8_bpe": op8_bpe,
     "op9_quality": op9_quality,
     "op10_pii": op10_pii,
 }
