@@ -9,10 +9,12 @@ in it are merged exactly, by rank.
 
 from __future__ import annotations
 
+import atexit
 import heapq
 import json
 import os
 import re
+import shutil
 import tempfile
 import uuid
 from array import array
@@ -260,10 +262,11 @@ def compile_lexicon(docs: DataFrame, path: str, words: int = WORDS) -> str:
     top = counts.orderBy(F.desc("n"), "word").limit(words).collect()
     bpe = ByteBpe(path)
     machine = Transducer.build({r["word"].encode(): bpe.word_ids(r["word"]) for r in top if r["word"] not in bpe.special})
+    folder = tempfile.mkdtemp(prefix="lexicon-")  # the driver serves it from there as long as it runs
+    atexit.register(shutil.rmtree, folder, True)
     name = f"lexicon-{uuid.uuid4().hex}.bin"
-    with tempfile.TemporaryDirectory() as folder:
-        machine.save(os.path.join(folder, name))
-        docs.sparkSession.sparkContext.addFile(os.path.join(folder, name))
+    machine.save(os.path.join(folder, name))
+    docs.sparkSession.sparkContext.addFile(os.path.join(folder, name))
     return name
 
 

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, lexicon, packing, pii, quality, simhash, tokenstore
-from .common import documents
+from . import langid, lexicon, media, packing, pii, quality, simhash, tokenstore
+from .common import documents, materialize
 from .wordpieces import public_path
 
 WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.json"
@@ -23,6 +23,13 @@ def op2_tokenstore(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenstore.read(spark, store).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = materialize(media.to_media(documents(spark, sf_dir).select("doc_id", "text")), "media")
+    digests = [F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256")]
+    read = media.tensors(stored, rgb=False)
+    return read.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", *digests, "feature")
+
+
 def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
     held_out = langid.fold(langid.FOLDS) == langid.HELD_OUT
@@ -61,6 +68,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_tokenstore": op2_tokenstore,
+    "op3_media": op3_media,
     "op6_langid": op6_langid,
     "op7_simhash": op7_simhash,
     "op8_bpe": op8_bpe,
