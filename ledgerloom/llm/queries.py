@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, lexicon, media, packing, pii, quality, simhash, tokenstore
+from . import langid, lexicon, linededup, media, packing, pii, quality, simhash, tokenstore
 from .common import documents, materialize
 from .wordpieces import public_path
 
@@ -30,6 +30,10 @@ def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", *digests, "feature")
 
 
+def op4_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.drop_recurring(documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
     held_out = langid.fold(langid.FOLDS) == langid.HELD_OUT
@@ -69,6 +73,7 @@ QUERIES = {
     "op1_packing": op1_packing,
     "op2_tokenstore": op2_tokenstore,
     "op3_media": op3_media,
+    "op4_linededup": op4_linededup,
     "op6_langid": op6_langid,
     "op7_simhash": op7_simhash,
     "op8_bpe": op8_bpe,
