@@ -53,6 +53,20 @@ def partitions_for(df: DataFrame, rows: int, per_partition: int) -> int:
     return max(least, -(-rows // per_partition))
 
 
+def without(df: DataFrame, *names: str) -> DataFrame:
+    """``df`` less the columns whose places an operator's own results take, whatever their case."""
+    return df.drop(*[c for c in df.columns if c.lower() in names])
+
+
+def with_text(name: str) -> Column:
+    """Column ``name`` of the struct ``row``, with what a new ``text`` beside it means for it."""
+    if name == "text":
+        return F.col("text")
+    if name == "n_chars":
+        return F.when(F.col("text").isNull(), F.col("row.n_chars")).otherwise(F.length("text")).cast("long").alias("n_chars")
+    return F.col(f"row.`{name}`").alias(name)
+
+
 def text_or_empty(col: str = "text") -> Column:
     return F.coalesce(F.col(col), F.lit(""))
 

@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import without
+
 BUCKETS = 4096
 #: The classifiers are fitted on about this many labelled documents, shared evenly by the languages.
 SAMPLE = 4000
@@ -144,8 +146,10 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     """``docs`` without ``text``, with ``lang_pred``, ``score`` and ``ambiguous``.
 
     ``und`` is predicted for null texts and for those without a letter. Only ``text`` is looked at.
-    Other columns pass through; repeated rows get equal answers; an empty table stays empty.
+    Other columns pass through, but for those with the names of the answers; repeated rows get equal
+    answers; an empty table stays empty.
     """
+    docs = without(docs, "lang_pred", "score", "ambiguous")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -159,10 +163,10 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
 
 
 def reject_unknown(docs: DataFrame) -> DataFrame:
-    """``docs`` without those of no language or of two that cannot be told apart."""
-    model = fit(docs)
-    names = docs.columns
-    judged = identify(docs.select(*names, F.col("text").alias("_text")), model) if "_text" not in names else None
-    if judged is None:
-        raise ValueError("a column is called _text")
-    return judged.where((F.col("lang_pred") != "und") & ~F.col("ambiguous")).select(*[F.col("_text").alias(n) if n == "text" else n for n in names])
+    """``docs`` without those of no language or of two that cannot be told apart. All columns stay.
+
+    The stage learns from the non-null ``lang`` of its own input.
+    """
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
+    judged = identify(whole, fit(docs))
+    return judged.where((F.col("lang_pred") != "und") & ~F.col("ambiguous")).select("row.*")

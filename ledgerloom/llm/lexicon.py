@@ -28,6 +28,8 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import without
+
 #: Words in the automaton.
 WORDS = 1 << 16
 #: Only words up to so many bytes go in.
@@ -274,8 +276,9 @@ def encode(docs: DataFrame, path: str, lexicon: str) -> DataFrame:
     """``docs`` with ``ids`` (binary, little-endian unsigned 32-bit) in place of ``text``.
 
     Null and empty texts have no ids. Special tokens' strings in a text become their ids, as the
-    tokenizer does. Other columns pass through.
+    tokenizer does. Other columns pass through, but for one called ids.
     """
+    docs = without(docs, "ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(ByteBpe(path), Transducer.load(SparkFiles.get(lexicon)))
@@ -289,6 +292,7 @@ def encode(docs: DataFrame, path: str, lexicon: str) -> DataFrame:
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """``encoded`` with ``decoded``, the text that its ``ids`` stand for; null ids give null."""
+    encoded = without(encoded, "decoded")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = ByteBpe(path)

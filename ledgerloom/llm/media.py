@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import jpeg
+from .common import without
 
 BLOCK = 64
 
@@ -24,11 +25,11 @@ def padded(text: str | None) -> tuple[int, bytes]:
 def to_media(docs: DataFrame) -> DataFrame:
     """``docs`` with ``n_bytes`` and ``media``, a progressive JPEG that holds the whole text, in place of ``text``.
 
-    Equal texts give equal files. Other columns pass through; ``n_bytes`` and ``media`` must be new.
+    Equal texts give equal files. Other columns pass through; the new ones take the place of
+    columns with their names.
     """
+    docs = without(docs, "n_bytes", "media")
     rest = [(n, t) for n, t in docs.dtypes if n != "text"]
-    if {"n_bytes", "media"} & {n for n, _ in rest}:
-        raise ValueError("a column is called n_bytes or media")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -57,6 +58,7 @@ def tensors(stored: DataFrame, rgb: bool = True) -> DataFrame:
     file that cannot be read, or null, gives nulls and says why in ``error``.
     """
     names = ["height", "width", *(["rgb"] if rgb else []), "feature", "payload_bytes", "payload_sha256", "tail_crc32", "error"]
+    stored = without(stored, *names)
     kinds = {"rgb": pa.binary(), "feature": pa.string(), "payload_sha256": pa.string(), "error": pa.string()}
 
     def look(media: bytes | None) -> dict:

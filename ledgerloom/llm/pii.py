@@ -15,6 +15,9 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import with_text, without
 
 KINDS = ["email", "secret", "card", "phone", "ssn", "iban", "ip", "date"]
 DEMO_KEY = b"replace this key in production"
@@ -212,12 +215,11 @@ def pseudonymize_text(text: str | None, key: bytes = DEMO_KEY) -> tuple[str | No
 def pseudonymize(docs: DataFrame, key: bytes = DEMO_KEY, counts: bool = True) -> DataFrame:
     """``docs`` with pseudonyms in ``text``; with ``counts`` also n_<kind> for each kind found.
 
-    Every row is treated by itself, so order, ties, repeated rows and other columns do not matter;
-    a column that is already called n_<kind> is refused.
+    Every row is treated by itself, so order, ties and repeated rows do not matter. Other columns
+    pass through; the counts take the place of columns with their names. An empty table stays so.
     """
     names = [f"n_{k}" for k in KINDS] if counts else []
-    if clash := set(names) & set(docs.columns):
-        raise ValueError(f"columns exist already: {sorted(clash)}")
+    docs = without(docs, *names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -228,3 +230,9 @@ def pseudonymize(docs: DataFrame, key: bytes = DEMO_KEY, counts: bool = True) ->
 
     schema = ", ".join([f"`{n}` {t}" for n, t in docs.dtypes] + [f"{n} long" for n in names])
     return docs.mapInArrow(run, schema)
+
+
+def pseudonymize_all(docs: DataFrame, key: bytes = DEMO_KEY) -> DataFrame:
+    """``docs`` with its own columns, pseudonyms in ``text``, and ``n_chars``, where there is one, in step."""
+    kept = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
+    return pseudonymize(kept, key, counts=False).select(*[with_text(c) for c in docs.columns])

@@ -13,7 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, without
 
 ROUNDS = 12
 #: Strength of the prior in documents, the prior share of good documents, and for each class the
@@ -48,42 +48,44 @@ def _without(text: Column, chars: str) -> Column:
 def measures(docs: DataFrame) -> DataFrame:
     """All columns of ``docs`` but ``text``, and the counts that the rules look at.
 
-    Null text counts as empty: all counts are 0. The whole text is measured.
+    Null text counts as empty: all counts are 0. The whole text is measured. Columns that have the
+    name of a count, a vote or a verdict make way for it.
     """
     gaps = "\t\n\x0b\x0c\r "
+    docs = without(docs, *BASE, "n_lines", "n_upper", "n_stops", *[f"v_{n}" for n, _, _ in RULES], "posterior", "base_failed", "kept")
     rest = [c for c in docs.columns if c != "text"]
     text = F.coalesce("text", F.lit(""))
     spaced = F.trim(F.translate(text, gaps, " " * 6))
     step = docs.select(
         *rest,
-        text.alias("_t"),
-        F.when(spaced == "", F.array().cast("array<string>")).otherwise(F.split(spaced, " +")).alias("_w"),
-        F.filter(F.split(text, "\n"), lambda x: F.trim(F.translate(x, gaps, " " * 6)) != "").alias("_l"),
+        text.alias("__t"),
+        F.when(spaced == "", F.array().cast("array<string>")).otherwise(F.split(spaced, " +")).alias("__w"),
+        F.filter(F.split(text, "\n"), lambda x: F.trim(F.translate(x, gaps, " " * 6)) != "").alias("__l"),
     )
     step = step.select(
         "*",
         F.transform(
-            F.slice("_w", 1, F.greatest(F.size("_w") - 2, F.lit(0))),
-            lambda w, i: F.struct(F.xxhash64(w, F.get("_w", i + 1), F.get("_w", i + 2)).alias("h"), i.alias("i")),
-        ).alias("_g"),
+            F.slice("__w", 1, F.greatest(F.size("__w") - 2, F.lit(0))),
+            lambda w, i: F.struct(F.xxhash64(w, F.get("__w", i + 1), F.get("__w", i + 2)).alias("h"), i.alias("i")),
+        ).alias("__g"),
     )
-    step = step.select("*", F.array_sort("_g").alias("_s"))
+    step = step.select("*", F.array_sort("__g").alias("__s"))
     again = F.filter(
-        "_s",
-        lambda x, k: (x.h == F.get("_s", k + 1).h).eqNullSafe(F.lit(True)) | (x.h == F.get("_s", k - 1).h).eqNullSafe(F.lit(True)),
+        "__s",
+        lambda x, k: (x.h == F.get("__s", k + 1).h).eqNullSafe(F.lit(True)) | (x.h == F.get("__s", k - 1).h).eqNullSafe(F.lit(True)),
     )
     covered = F.flatten(F.transform(again, lambda x: F.array(x.i, x.i + 1, x.i + 2)))
-    chars = F.length(_without(F.col("_t"), gaps))
+    chars = F.length(_without(F.col("__t"), gaps))
     return step.select(
         *rest,
-        F.size("_w").cast("long").alias("n_words"),
+        F.size("__w").cast("long").alias("n_words"),
         chars.cast("long").alias("word_chars"),
-        (F.length("_t") - F.length(_without(F.col("_t"), SYMBOLS))).cast("long").alias("n_symbols"),
-        (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
+        (F.length("__t") - F.length(_without(F.col("__t"), SYMBOLS))).cast("long").alias("n_symbols"),
+        (F.size("__l") - F.size(F.array_distinct("__l"))).cast("long").alias("n_dup_lines"),
         F.size(F.array_distinct(covered)).cast("long").alias("n_repeat_words"),
-        F.size("_l").cast("long").alias("n_lines"),
-        (F.length("_t") - F.length(_without(F.col("_t"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ"))).cast("long").alias("n_upper"),
-        (F.length("_t") - F.length(_without(F.col("_t"), ".!?"))).cast("long").alias("n_stops"),
+        F.size("__l").cast("long").alias("n_lines"),
+        (F.length("__t") - F.length(_without(F.col("__t"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ"))).cast("long").alias("n_upper"),
+        (F.length("__t") - F.length(_without(F.col("__t"), ".!?"))).cast("long").alias("n_stops"),
     )
 
 

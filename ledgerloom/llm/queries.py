@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, lexicon, linededup, media, packing, pii, quality, simhash, tokenstore
+from . import langid, lexicon, linededup, lm, media, packing, pii, quality, simhash, tokenstore
 from .common import documents, materialize
 from .wordpieces import public_path
 
@@ -34,6 +34,13 @@ def op4_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.drop_recurring(documents(spark, sf_dir).select("doc_id", "text"))
 
 
+def op5_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text").withColumn("held_out", lm.held_out())
+    model = lm.fit(docs.where(~F.col("held_out")))
+    scored = lm.score(docs, model).withColumn("train_tokens", F.lit(model.tokens).cast("long"))
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
     held_out = langid.fold(langid.FOLDS) == langid.HELD_OUT
@@ -74,6 +81,7 @@ QUERIES = {
     "op2_tokenstore": op2_tokenstore,
     "op3_media": op3_media,
     "op4_linededup": op4_linededup,
+    "op5_lm": op5_lm,
     "op6_langid": op6_langid,
     "op7_simhash": op7_simhash,
     "op8_bpe": op8_bpe,

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_ASCII, materialize
+from .common import LOWER_ASCII, materialize, without
 from .components import stars
 
 RADIUS = 2
@@ -127,8 +127,9 @@ def components(docs: DataFrame, id_col: str = "doc_id", blocks: int = BLOCKS, ce
     ``component_id`` is the smallest id reachable over links, the own one included. Null and
     empty texts have fingerprint 0 and are linked like any other. Rows whose id is null belong to
     their group as well; a group without any id has the null component. Repeated rows stay. An
-    empty table gives an empty result.
+    empty table gives an empty result. Columns called fp, component_id or root_fp make way.
     """
+    docs = without(docs, "fp", "component_id", "root_fp")
     prints = materialize(fingerprints(docs), "prints")
     distinct = materialize(prints.groupBy("fp").agg(F.min(id_col).alias("least_id")), "distinct")
     root = stars(links(distinct.select("fp"), blocks, cell_cap))
@@ -147,7 +148,7 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     """One row of each group of near-duplicates, with the columns of ``docs``.
 
     The row with the smallest doc_id stays (null ids come last); of rows with the same id, the one
-    with the smallest hash of its text; of fully repeated rows, one.
+    with the smallest hash of its text; of rows with the same id and text, one. All columns stay.
     """
     key = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
     found = components(key)
@@ -159,8 +160,8 @@ def deduplicate(docs: DataFrame) -> DataFrame:
         .join(same, F.col("w_id").eqNullSafe(F.col("doc_id")) & (F.col("w_hash") == F.col("text_hash")))
         .select("w_id", "w_hash", "copies")
     )
-    hashed = docs.withColumn("_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
-    kept = hashed.join(best, F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("_hash") == F.col("w_hash")))
-    once = kept.where("copies = 1").select(docs.columns)
-    repeated = kept.where("copies > 1").dropDuplicates(["doc_id", "_hash"]).select(docs.columns)
-    return once.union(repeated)
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    hashed = docs.select(whole, "doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"))
+    kept = hashed.join(best, F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("h") == F.col("w_hash")))
+    repeated = kept.where("copies > 1").dropDuplicates(["doc_id", "h"])
+    return kept.where("copies = 1").select("row.*").union(repeated.select("row.*"))
