@@ -1,0 +1 @@
+"""Event-log read models, temporal monitors, document cleaning, clause building and retrieval, as Spark plans."""
