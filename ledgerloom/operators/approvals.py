@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .folds import SEQ, TYPE, P, is_type
+from .folds import P, is_type, kind, seq
 
 
 def parse_signers(text: Column | str) -> Column:
@@ -19,20 +19,20 @@ def approvals(log: DataFrame) -> DataFrame:
 
     signatures is an array of (signer, result, opinion, ts) in order; the rule is ``all`` if missing.
     """
-    own = log.where(TYPE.startswith("approval.") & F.col(P + "approval_id").isNotNull()).withColumn("approval_id", F.col(P + "approval_id"))
+    own = log.where(kind().startswith("approval.") & F.col(P + "approval_id").isNotNull()).withColumn("approval_id", F.col(P + "approval_id"))
     asked = own.where(is_type("approval.requested")).groupBy("approval_id")
     start = asked.agg(
         F.max("log_seq").alias("start"),
-        F.max_by(F.struct("project_id", "task_id", P + "scope", P + "initiator", "created_at_ts"), SEQ).alias("r"),
+        F.max_by(F.struct("project_id", "task_id", P + "scope", P + "initiator", "created_at_ts"), seq()).alias("r"),
     )
     live = own.join(start, "approval_id").where("log_seq >= start")
     named = is_type("approval.requested", "approval.signers_set")
-    signed = F.struct(SEQ.alias("s"), F.col(P + "signer").alias("signer"), F.col(P + "result").alias("result"), F.col(P + "opinion").alias("opinion"), F.col("created_at_ts").alias("ts"))
+    signed = F.struct(seq().alias("s"), F.col(P + "signer").alias("signer"), F.col(P + "result").alias("result"), F.col(P + "opinion").alias("opinion"), F.col("created_at_ts").alias("ts"))
     rows = live.groupBy("approval_id").agg(
         F.first("r").alias("r"),
-        F.max_by(F.struct(P + "signers", P + "rule"), F.when(named, SEQ)).alias("n"),
+        F.max_by(F.struct(P + "signers", P + "rule"), F.when(named, seq())).alias("n"),
         F.array_sort(F.collect_list(F.when(is_type("approval.signed"), signed))).alias("signatures"),
-        F.max_by(P + "result", F.when(is_type("approval.decided"), SEQ)).alias("decision"),
+        F.max_by(P + "result", F.when(is_type("approval.decided"), seq())).alias("decision"),
     )
     return rows.select(
         "approval_id", "r.project_id", "r.task_id", "r.scope", "r.initiator", F.col("r.created_at_ts").alias("requested_ts"),

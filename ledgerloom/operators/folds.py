@@ -11,20 +11,28 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-TYPE, SEQ, P = F.col("event_type"), F.col("log_seq"), "payload."
+P = "payload."
+
+
+def kind() -> Column:
+    return F.col("event_type")
+
+
+def seq() -> Column:
+    return F.col("log_seq")
 
 
 def last(value: Column | str, when: Column) -> Column:
     """The value at the latest event for which ``when`` holds; null if there is none."""
-    return F.max_by(value, F.when(when, SEQ))
+    return F.max_by(value, F.when(when, seq()))
 
 
 def first(value: Column | str, when: Column) -> Column:
-    return F.min_by(value, F.when(when, SEQ))
+    return F.min_by(value, F.when(when, seq()))
 
 
 def is_type(*names: str) -> Column:
-    return TYPE == names[0] if len(names) == 1 else TYPE.isin(list(names))
+    return kind() == names[0] if len(names) == 1 else kind().isin(list(names))
 
 
 def project_list(log: DataFrame, viewer: str | None = None) -> DataFrame:
@@ -33,14 +41,14 @@ def project_list(log: DataFrame, viewer: str | None = None) -> DataFrame:
     With a viewer only the own projects are seen; None sees all.
     """
     created, stopped = is_type("project.created"), is_type("project.paused", "project.archived")
-    status = F.when(TYPE == "project.paused", "paused").otherwise("archived")
+    status = F.when(kind() == "project.paused", "paused").otherwise("archived")
     rows = log.where(created | stopped).groupBy("project_id").agg(
         last(P + "title", created).alias("title"),
         last(P + "goal", created).alias("goal"),
         last("user_id", created).alias("owner"),
-        F.max(F.when(created, SEQ)).alias("made"),
+        F.max(F.when(created, seq())).alias("made"),
         last(status, stopped).alias("stop"),
-        F.max(F.when(stopped, SEQ)).alias("stopped"),
+        F.max(F.when(stopped, seq())).alias("stopped"),
     )
     rows = rows.where("made IS NOT NULL").select(
         "project_id", "title", "goal", "owner", F.when(F.col("stopped") > F.col("made"), F.col("stop")).otherwise("active").alias("status")
@@ -61,7 +69,7 @@ def task_board(log: DataFrame) -> DataFrame:
         log.where(F.col("task_id").isNotNull())
         .groupBy("task_id")
         .agg(
-            F.max(F.when(created, SEQ)).alias("made"),
+            F.max(F.when(created, seq())).alias("made"),
             last("project_id", created).alias("project_id"),
             last(P + "title", created).alias("title"),
             last(P + "agent", owner).alias("owner"),
@@ -82,23 +90,23 @@ def task_context(log: DataFrame) -> DataFrame:
         F.coalesce(last(P + "description", created), F.lit("")).alias("description"),
         last(P + "deadline_ts", created).alias("deadline_ts"),
         F.transform(
-            F.array_sort(F.collect_list(F.when(is_type("deliverable.submitted"), F.struct(SEQ.alias("s"), F.col(P + "file_ref").alias("f"))))), lambda x: x.f
+            F.array_sort(F.collect_list(F.when(is_type("deliverable.submitted"), F.struct(seq().alias("s"), F.col(P + "file_ref").alias("f"))))), lambda x: x.f
         ).alias("deliverables"),
     )
     return task_board(log).join(more, "task_id")
 
 
 def project_of_task(log: DataFrame) -> DataFrame:
-    return log.where(is_type("task.created")).groupBy("task_id").agg(F.min_by("project_id", SEQ).alias("project_id"))
+    return log.where(is_type("task.created")).groupBy("task_id").agg(F.min_by("project_id", seq()).alias("project_id"))
 
 
 def project_owner(log: DataFrame) -> DataFrame:
-    return log.where(is_type("project.created") & F.col("user_id").isNotNull()).groupBy("project_id").agg(F.min_by("user_id", SEQ).alias("owner"))
+    return log.where(is_type("project.created") & F.col("user_id").isNotNull()).groupBy("project_id").agg(F.min_by("user_id", seq()).alias("owner"))
 
 
 def project_context(log: DataFrame) -> DataFrame:
     """Goal and number of project-level events."""
-    own = log.where(TYPE.startswith("project."))
+    own = log.where(kind().startswith("project."))
     return own.groupBy("project_id").agg(first(P + "goal", is_type("project.created")).alias("goal"), F.count("*").alias("event_count"))
 
 
@@ -174,8 +182,8 @@ def notifications(log: DataFrame, viewer: str | None, viewer_name: str | None =
 
     owners = project_owner(log) if owners is None else owners
     asked = log.where(is_type("approval.requested", "approval.signers_set")).groupBy(F.col(P + "approval_id").alias("approval_id"))
-    signers = asked.agg(F.max_by(P + "signers", SEQ).alias("signers"))
-    rows = log.where(TYPE.isin(NOTIFYING)).select("*", F.col(P + "approval_id").alias("approval_id"))
+    signers = asked.agg(F.max_by(P + "signers", seq()).alias("signers"))
+    rows = log.where(kind().isin(NOTIFYING)).select("*", F.col(P + "approval_id").alias("approval_id"))
     rows = rows.join(owners, "project_id", "left").join(signers, "approval_id", "left")
     mine = F.lit(viewer is None) | (F.col("owner") == F.lit(viewer))
     if viewer_name:
@@ -188,18 +196,18 @@ def summary() -> Column:
     """One line about a notifying event."""
     approve = F.col(P + "result") == "approve"
     return (
-        F.when(TYPE == "task.state_changed", F.concat(F.lit("任务状态 → "), F.coalesce(P + "to", F.lit("?"))))
-        .when(TYPE == "review.decided", F.concat(F.lit("复核结论: "), F.coalesce(P + "verdict", F.lit("?"))))
+        F.when(kind() == "task.state_changed", F.concat(F.lit("任务状态 → "), F.coalesce(P + "to", F.lit("?"))))
+        .when(kind() == "review.decided", F.concat(F.lit("复核结论: "), F.coalesce(P + "verdict", F.lit("?"))))
         .when(
-            (TYPE == "approval.requested") & (F.size(F.col(P + "signers")) > 0),
+            (kind() == "approval.requested") & (F.size(F.col(P + "signers")) > 0),
             F.concat(F.lit("会签请求（"), F.size(P + "signers").cast("string"), F.lit(" 人）："), F.coalesce(P + "scope", F.lit(""))),
         )
-        .when(TYPE == "approval.requested", F.concat(F.lit("审批请求："), F.coalesce(P + "scope", F.lit(""))))
+        .when(kind() == "approval.requested", F.concat(F.lit("审批请求："), F.coalesce(P + "scope", F.lit(""))))
         .when(
-            TYPE == "approval.signers_set",
+            kind() == "approval.signers_set",
             F.concat(F.lit("会签人已设置（"), F.coalesce(F.size(P + "signers"), F.lit(0)).cast("string"), F.lit(" 人）："), F.coalesce(F.array_join(P + "signers", "、"), F.lit(""))),
         )
-        .when(TYPE == "approval.signed", F.concat(F.lit("会签："), F.coalesce(P + "signer", F.lit("?")), F.when(approve, " 已同意").otherwise(" 已驳回")))
-        .when(TYPE == "approval.decided", F.when(approve, "审批: 已批准").otherwise("审批: 已拒绝"))
+        .when(kind() == "approval.signed", F.concat(F.lit("会签："), F.coalesce(P + "signer", F.lit("?")), F.when(approve, " 已同意").otherwise(" 已驳回")))
+        .when(kind() == "approval.decided", F.when(approve, "审批: 已批准").otherwise("审批: 已拒绝"))
         .otherwise("")
     )

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..model import TERMINAL
-from .folds import SEQ, P, is_type, last
+from .folds import P, is_type, last, seq
 
 
 def current_episode(log: DataFrame) -> DataFrame:
@@ -96,7 +96,7 @@ def deps_ready(tasks: DataFrame, states: DataFrame) -> DataFrame:
 def upstream_deliverables(tasks: DataFrame, log: DataFrame, cap: int = 4000) -> DataFrame:
     """Of (task_id, depends_on): the latest deliverable of each upstream task, cut to ``cap`` characters."""
     latest = log.where(is_type("deliverable.submitted") & (F.coalesce(P + "file_ref", F.lit("")) != "")).groupBy(F.col("task_id").alias("dep"))
-    latest = latest.agg(F.max_by(P + "file_ref", SEQ).alias("file_ref"), F.max("log_seq").alias("at"))
+    latest = latest.agg(F.max_by(P + "file_ref", seq()).alias("file_ref"), F.max("log_seq").alias("last_seq"))
     return tasks.select("task_id", F.explode("depends_on").alias("dep")).join(latest, "dep").withColumn("file_ref", F.substring("file_ref", 1, cap))
 
 

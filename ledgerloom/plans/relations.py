@@ -27,9 +27,9 @@ def deps_ready(spark, sf_dir):
     return monitors.deps_ready(rows.select("task_id", "depends_on"), rows.select("task_id", "status"))
 
 
-@query(f"""WITH log AS ({LOG_SQL}), latest AS (SELECT task_id, arg_max(file_ref, log_seq) AS file_ref, max(log_seq) AS at FROM log WHERE event_type = 'deliverable.submitted' GROUP BY task_id),
+@query(f"""WITH log AS ({LOG_SQL}), latest AS (SELECT task_id, arg_max(file_ref, log_seq) AS file_ref, max(log_seq) AS last_seq FROM log WHERE event_type = 'deliverable.submitted' GROUP BY task_id),
   d AS (SELECT DISTINCT user_id AS k, unnest([user_id // 2, user_id // 3]) AS dep FROM (SELECT DISTINCT user_id FROM events))
-  SELECT CAST(k AS VARCHAR) AS task_id, CAST(dep AS VARCHAR) AS dep, file_ref, at FROM d JOIN latest ON CAST(dep AS VARCHAR) = latest.task_id""")
+  SELECT CAST(k AS VARCHAR) AS task_id, CAST(dep AS VARCHAR) AS dep, file_ref, last_seq FROM d JOIN latest ON CAST(dep AS VARCHAR) = latest.task_id""")
 def upstream_latest(spark, sf_dir):
     log = event_log(spark, sf_dir)
     user = F.col("user_id")
