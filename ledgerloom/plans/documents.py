@@ -35,7 +35,7 @@ def context_block(spark, sf_dir):
     return retrieval.context_block(retrieval.keyword_search(_docs(spark, sf_dir), SEARCH))
 
 
-_TERMS = "list_filter(regexp_extract_all(text, '[一-龥]{2,}|[A-Za-z0-9]{2,}'), t -> t NOT IN (" + ", ".join(f"'{w}'" for w in tx.STOP) + "))"
+_TERMS = "[t FOR t IN regexp_extract_all(text, '[一-龥]{2,}|[A-Za-z0-9]{2,}') IF t NOT IN (" + ", ".join(f"'{w}'" for w in tx.STOP) + ")]"
 
 
 @query(f"SELECT lang, term, count(*) AS n FROM (SELECT lang, unnest({_TERMS}) AS term FROM documents) GROUP BY ALL HAVING count(*) >= 20")
@@ -116,7 +116,7 @@ def generalize_ratio(spark, sf_dir):
 
 
 _CLASS = ", ".join("CASE WHEN " + " OR ".join(f"contains(line, '{w}')" for w in ws) + f" THEN '{c}' END" for c, ws in CLASSES.items())
-_LABELLED = f"l AS ({_LINES}), c AS (SELECT *, list_filter([{_CLASS}], x -> x IS NOT NULL) AS labels FROM l WHERE line <> '')"
+_LABELLED = f"l AS ({_LINES}), c AS (SELECT *, [x FOR x IN [{_CLASS}] IF x IS NOT NULL] AS labels FROM l WHERE line <> '')"
 
 
 def _clauses(spark, sf_dir):
