@@ -147,6 +147,8 @@ def _secret(m: re.Match, key: bytes) -> str:
     return m[0].replace(m["value"], "[SECRET]") if "value" in m.re.groupindex and m["value"] else "[SECRET]"
 
 
+_has_digit = re.compile("[0-9]").search
+
 #: kind, a test that is cheap on a whole text, pattern, replacement or None if not valid. Earlier kinds win.
 FINDERS: list[tuple[str, Callable[[str], bool], re.Pattern, Callable]] = [
     ("email", lambda t: "@" in t, re.compile(r"(?<![\w.%+-])[\w.%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}"), _email),
@@ -161,27 +163,22 @@ FINDERS: list[tuple[str, Callable[[str], bool], re.Pattern, Callable]] = [
         ),
         _secret,
     ),
-    ("iban", lambda t: True, re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"), _iban),
-    ("ip", lambda t: True, re.compile(r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])"), _ip),
-    ("date", lambda t: True, re.compile(r"(?<![0-9/.-])([0-9]{4}|[0-9]{1,2})([-/.])([0-9]{1,2})(\2)([0-9]{1,2}(?![0-9])|[0-9]{4})(?![0-9]|[/.-][0-9])"), _date),
+    ("iban", _has_digit, re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"), _iban),
+    ("ip", _has_digit, re.compile(r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])"), _ip),
+    ("date", _has_digit, re.compile(r"(?<![0-9/.-])([0-9]{4}|[0-9]{1,2})([-/.])([0-9]{1,2})(\2)([0-9]{1,2}(?![0-9])|[0-9]{4})(?![0-9]|[/.-][0-9])"), _date),
     ("ssn", lambda t: "-" in t, re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"), _ssn),
-    ("card", lambda t: True, re.compile(r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5})(?![0-9])"), _card),
+    ("card", _has_digit, re.compile(r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5})(?![0-9])"), _card),
     (
         "phone",
-        lambda t: True,
+        _has_digit,
         re.compile(r"(?<![0-9A-Za-z])(?P<prefix>\+[0-9]{1,3}[ .-]?|(?:1[ .-])?)(?P<national>\([0-9]{3}\) ?[0-9]{3}[ .-]?[0-9]{4}|[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4})(?![0-9])"),
         _phone,
     ),
     ("phone", lambda t: "+" in t, re.compile(r"(?<![0-9A-Za-z])(?P<prefix>\+[0-9]{1,3}[ .-]?)(?P<national>(?:\(?[0-9]{1,4}\)?[ .-]?){1,4}[0-9]{2,4})(?![0-9])"), _phone),
 ]
-_HAS_DIGIT = re.compile("[0-9]")
-
-
 def spans(text: str, key: bytes) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, replacement) of what is found, in order and without overlaps."""
     found: list[tuple[int, int, str, str]] = []
-    if "@" not in text and not _HAS_DIGIT.search(text):
-        return found
     taken = bytearray(len(text))
     for kind, cheap, pattern, new in FINDERS:
         if not cheap(text):
