@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -37,7 +38,7 @@ def read_events(spark: SparkSession, path: str | list[str], project_id: str | No
 
 def read_corpus(spark: SparkSession, path: str) -> DataFrame:
     """(path, title, topic, source, text, body) of all Markdown files below a folder."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(path)
+    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.md")
     rows = files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
     fields = [tx.front_matter("text", k).alias(k) for k in ("title", "topic", "source")]
     return rows.select("path", *fields, "text", tx.body("text").alias("body"))
@@ -45,7 +46,7 @@ def read_corpus(spark: SparkSession, path: str) -> DataFrame:
 
 def read_letters(spark: SparkSession, path: str) -> DataFrame:
     """(path, transfer_id, target_task, created_ts) of transfer letters; the file's own time stands in for a missing one."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path)
+    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
     line = lambda name: F.regexp_extract("value", rf"(?m)^{name}:\s*(.*?)\s*$", 1)
     given = F.from_json(line("transfer"), "transfer_id string, target_project string, target_task string, payload string")
     written = F.unix_timestamp(F.try_to_timestamp(line("created_at"), F.lit("yyyy-MM-dd'T'HH:mm:ssZ"))).cast("double")
@@ -141,8 +142,6 @@ def markdown_tables(docs: DataFrame) -> DataFrame:
     """
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("row_no", "line")).withColumn("line", F.trim("line"))
     bars = lines.where(F.col("line").startswith("|"))
-    from pyspark.sql import Window as W
-
     order = W.partitionBy("doc_id").orderBy("row_no")
     island = F.col("row_no") - F.row_number().over(order)
     numbered = bars.withColumn("island", island)
