@@ -179,7 +179,8 @@ def fit(docs: DataFrame) -> Model:
     counts = materialize(word_counts(docs), "words")
     at_end = F.when(F.octet_length("word") == 0, F.col("n")).otherwise(0)
     tokens, distinct, ends = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.coalesce(F.sum(at_end), F.lit(0))).first()
-    top = [(bytes(r["word"]), r["n"]) for r in counts.where(F.octet_length("word") > 0).orderBy(F.desc("n"), "word").limit(DICTIONARY).collect()]
+    frequent = counts.where(F.octet_length("word") > 0).orderBy(F.desc("n"), "word").limit(DICTIONARY).toArrow()
+    top = list(zip(frequent["word"].to_pylist(), frequent["n"].to_pylist()))
     symbols = Symbols([w for w, _ in top[:TOP_WORDS]])
     bucket = F.crc32(F.substring("word", -2, 2)) % BUCKETS
     single = F.col("word").isin([bytearray(w) for w in symbols.number])
@@ -189,8 +190,8 @@ def fit(docs: DataFrame) -> Model:
         within[symbols.first + r["b"]] = np.log10(r["n"] + r["v"] + 1)
     size = symbols.size
     grid = np.zeros((size + 1) ** 2 * size, np.int64)
-    found = context_counts(docs, symbols).toPandas()
-    grid[found["code"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
+    found = context_counts(docs, symbols).toArrow()  # columns of numbers, no object for each row
+    grid[found["code"].to_numpy()] = found["n"].to_numpy()
     table = train(grid.reshape(size + 1, size + 1, size)).reshape(-1)
     return Model(symbols, table, within, counts, dict(top), int(tokens), int(distinct), int(ends))
 
