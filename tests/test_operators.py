@@ -138,7 +138,7 @@ def test_text_functions(spark):
     assert run("电话 13812345678，邮箱 a.b@cc.cn", tx.redact) == "电话 [手机号]，邮箱 [邮箱]"
     assert run("收入1,200万元和3元", tx.mask_amounts) == "收入[金额≈千万级]和[金额]"
     assert run("TaxTax report", tx.collapse_doubled) == "TaxTax report" and run("ReportReport", tx.collapse_doubled) == "Report"
-    assert run("持股100%、60%和12%，2024年3月5日", tx.generalize) == "持股[全资]、[控股]和[参股]，2024年"
+    assert run("持股 100%、60%和12%，2024年3月5日", tx.generalize) == "持股 [全资]、[控股]和[参股]，2024年"
     assert run("---\ntitle: 出海架构\ntopic: x\n---\nbody", lambda c: tx.front_matter(c, "title")) == "出海架构"
     assert run("---\ntitle: a\n---\n\nbody", tx.body) == "body"
     assert run('x {"a": 1} y', tx.json_object) == '{"a": 1}'
