@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from .running import with_earlier_blocks
 
 #: What may still leak from a cleaned document, by kind.
 LEAKS = {
@@ -94,9 +95,9 @@ def line_runs(docs: DataFrame, least: int = 3) -> DataFrame:
 
 
 def unique_names(docs: DataFrame, base: Column, order: str = "doc_id") -> DataFrame:
-    """``name``: the base for the first of its kind, base-2, base-3 ... for the next."""
-    n = F.row_number().over(W.partitionBy("base").orderBy(order))
-    rows = docs.withColumn("base", base).withColumn("n", n)
+    """``name``: the base for the first of its kind, base-2, base-3 ... for the next. ``order`` is a whole number."""
+    rows = with_earlier_blocks(docs.select(order, base.alias("base")), "base", order, F.lit(1))
+    rows = rows.withColumn("n", F.row_number().over(W.partitionBy("base", "block").orderBy(order)) + F.col("before"))
     return rows.select(order, F.when(F.col("n") == 1, F.col("base")).otherwise(F.concat_ws("-", "base", "n")).alias("name"))
 
 

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .running import with_earlier_blocks
+
 P = "payload."
 
 
@@ -170,10 +172,14 @@ def feedback(log: DataFrame) -> DataFrame:
 
 
 def project_materials(materials: DataFrame, cap: int = 60_000) -> DataFrame:
-    """Texts (project_id, log_seq, text) in order of upload up to ``cap`` characters; the last is cut, later ones go."""
-    before = F.sum(F.length("text")).over(W.partitionBy("project_id").orderBy("log_seq").rowsBetween(W.unboundedPreceding, -1))
-    room = F.lit(cap) - F.coalesce(before, F.lit(0))
-    return materials.withColumn("room", room).where("room > 0").withColumn("text", F.expr("substring(text, 1, CAST(room AS INT))")).drop("room")
+    """Texts (project_id, log_seq, text) in order of upload up to ``cap`` characters; the last is cut, later ones go.
+
+    Blocks of uploads that begin beyond the cap go before anything is sorted.
+    """
+    rows = with_earlier_blocks(materials, "project_id", "log_seq", F.length("text")).where(F.col("before") < cap)
+    inside = F.sum(F.length("text")).over(W.partitionBy("project_id", "block").orderBy("log_seq").rowsBetween(W.unboundedPreceding, -1))
+    rows = rows.withColumn("room", F.lit(cap) - F.col("before") - F.coalesce(inside, F.lit(0))).where("room > 0")
+    return rows.withColumn("text", F.expr("substring(text, 1, CAST(room AS INT))")).drop("room", "block", "before")
 
 
 def notifications(log: DataFrame, viewer: str | None, viewer_name: str | None = None, owners: DataFrame | None = None, limit: int = 20) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ledgerloom.functions import text as tx
 from ledgerloom.model import EVENT, events_frame, transition_table
 from ledgerloom.operators import approvals, chunks, clauses, documents, folds, monitors, packs, retrieval, teams
+from ledgerloom.operators.running import with_earlier_blocks
 from ledgerloom.sources import files
 from ledgerloom.streaming import ingest
 
@@ -273,3 +274,17 @@ def test_windows_and_heartbeats_stream(spark, tmp_path):
         q = df.writeStream.format("memory").queryName(name).outputMode("append" if name == "beats" else "complete").trigger(availableNow=True).start()
         q.awaitTermination(120)
         assert spark.table(name).count() == n
+
+
+def test_running_blocks(spark):
+    rows = [("a", 5), ("a", 1), ("a", 3), ("a", 8), ("b", 2), (None, 4), (None, 9), ("b", None)]
+    df = spark.createDataFrame(rows, "k string, o long")
+    got = {(r["k"], r["o"]): r["before"] for r in with_earlier_blocks(df, "k", "o", F.lit(1), block=4).collect()}
+    assert got == {("a", 1): 0, ("a", 3): 0, ("a", 5): 2, ("a", 8): 3, ("b", None): 0, ("b", 2): 1, (None, 4): 0, (None, 9): 1}
+
+
+def test_project_materials_over_blocks(spark):
+    rows = [("p", k * 40_000, "x" * 30) for k in range(6)] + [("q", 7, None), ("q", 8, "y" * 200)]
+    df = spark.createDataFrame(rows, "project_id string, log_seq long, text string")
+    got = {(r["project_id"], r["log_seq"]): r["text"] and len(r["text"]) for r in folds.project_materials(df, cap=100).collect()}
+    assert got == {("p", 0): 30, ("p", 40_000): 30, ("p", 80_000): 30, ("p", 120_000): 10, ("q", 7): None, ("q", 8): 100}
