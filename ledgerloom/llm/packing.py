@@ -17,8 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import wordpieces
 from .common import text_or_empty
-from .wordpieces import WordEncoder
 
 WINDOW = 2048
 END_ID = 1
@@ -86,12 +86,12 @@ def pieces(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_I
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(path)
+        words = wordpieces.encoder(path)
         end = array("I", [end_id]).tobytes()
         for batch in batches:
             names = batch.schema.names
             ids, out = batch.column(names.index("doc_id")).to_pylist(), []
-            for doc_id, data in zip(ids, encoder.encode(batch.column(names.index("text")).to_pylist(), end)):
+            for doc_id, data in zip(ids, words.encode(batch.column(names.index("text")).to_pylist(), end)):
                 n = len(data) // 4
                 out += [(doc_id, a, min(window, n - a), n, data[4 * a : 4 * (a + window)]) for a in range(0, n, window)]
                 if len(out) >= 4000:

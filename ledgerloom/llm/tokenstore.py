@@ -18,8 +18,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import wordpieces
 from .common import shared_dir, text_or_empty
-from .wordpieces import WordEncoder
 
 END_ID = 2
 BLOCK_TOKENS = 1 << 16
@@ -62,8 +62,8 @@ def blocks(docs: DataFrame, path: str, end_id: int = END_ID, block_tokens: int =
         shards = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // SHARD_BYTES))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(path)
-        bits = bits_for(encoder.vocabulary())
+        words = wordpieces.encoder(path)
+        bits = bits_for(words.vocabulary())
         end = array("I", [end_id]).tobytes()
         shard, block, first = TaskContext.get().partitionId(), 0, 0
         ids: list[int | None] = []
@@ -80,7 +80,7 @@ def blocks(docs: DataFrame, path: str, end_id: int = END_ID, block_tokens: int =
         for batch in batches:
             names = batch.schema.names
             texts = batch.column(names.index("text")).to_pylist()
-            for doc_id, x in zip(batch.column(names.index("doc_id")).to_pylist(), encoder.encode(texts, end)):
+            for doc_id, x in zip(batch.column(names.index("doc_id")).to_pylist(), words.encode(texts, end)):
                 ids.append(doc_id)
                 data.append(x)
                 held += len(x) // 4

@@ -8,6 +8,7 @@ one after the other.
 from __future__ import annotations
 
 from array import array
+from functools import lru_cache
 
 from .common import single_threaded
 
@@ -58,3 +59,9 @@ class WordEncoder:
             for w in new:
                 if len(w) > CACHE_BYTES:
                     del known[w]
+
+
+@lru_cache(maxsize=2)
+def encoder(path: str) -> WordEncoder:
+    """One for each Python worker: Spark uses workers for many tasks, and known words stay known."""
+    return WordEncoder(path)
