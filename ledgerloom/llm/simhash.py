@@ -17,6 +17,7 @@ linear in the size of the cell.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import combinations
 
 import numpy as np
@@ -132,7 +133,12 @@ def components(docs: DataFrame, id_col: str = "doc_id", blocks: int = BLOCKS, ce
     docs = without(docs, "fp", "component_id", "root_fp")
     prints = materialize(fingerprints(docs), "prints")
     distinct = materialize(prints.groupBy("fp").agg(F.min(id_col).alias("least_id")), "distinct")
-    root = stars(links(distinct.select("fp"), blocks, cell_cap))
+    return grouped(prints, distinct, links(distinct.select("fp"), blocks, cell_cap))
+
+
+def grouped(prints: DataFrame, distinct: DataFrame, edges: DataFrame) -> DataFrame:
+    """``prints`` with ``component_id`` and ``root_fp``, from ``distinct(fp, least_id)`` and ``edges(a, b)``."""
+    root = stars(edges)
     # Only what has a link needs the detour over its root.
     member = root.join(distinct, root.node == distinct.fp).select("fp", "root", "least_id")
     group = member.groupBy("root").agg(F.min("least_id").alias("group_id"))
@@ -144,14 +150,14 @@ def components(docs: DataFrame, id_col: str = "doc_id", blocks: int = BLOCKS, ce
     return prints.join(materialize(table, "groups"), "fp")
 
 
-def deduplicate(docs: DataFrame) -> DataFrame:
-    """One row of each group of near-duplicates, with the columns of ``docs``.
+def deduplicate(docs: DataFrame, find: Callable[[DataFrame], DataFrame] = components) -> DataFrame:
+    """One row of each group of near-duplicates that ``find`` tells, with the columns of ``docs``.
 
     The row with the smallest doc_id stays (null ids come last); of rows with the same id, the one
     with the smallest hash of its text; of rows with the same id and text, one. All columns stay.
     """
     key = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
-    found = components(key)
+    found = find(key)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("w")
     best = found.groupBy("root_fp").agg(first)
     same = found.groupBy("doc_id", "text_hash").agg(F.count("*").alias("copies"))

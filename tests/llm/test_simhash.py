@@ -7,7 +7,8 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import queries, simhash
+import corpus_pipeline
+from ledgerloom.llm import queries, similar, simhash
 from ledgerloom.llm.components import stars
 
 
@@ -107,3 +108,59 @@ def test_one_of_each_group_stays(spark):
     assert kept.columns == docs.columns
     assert sorted((r["copies"] for r in kept.collect())) == [2, 3, 5]
     assert simhash.deduplicate(docs.limit(0)).count() == 0
+
+
+def slow_similarity(a: str, b: str) -> float:
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(max(1, len(t.split()) - 4))} for t in (a, b)]
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+
+
+def near_copies(n: int) -> list[tuple[int, str]]:
+    """Pairs of texts of 40 to 200 words, one or more words apart, and similar from 0.8 on."""
+    rng, out = random.Random(5), []
+    while len(out) < 2 * n:
+        words = [f"w{rng.randrange(10**6)}" for _ in range(rng.randint(40, 200))]
+        copy = list(words)
+        for _ in range(rng.randint(1, max(1, len(words) // 45))):
+            copy[rng.randrange(len(words))] = f"x{rng.randrange(10**6)}"
+        if slow_similarity(" ".join(words), " ".join(copy)) >= 0.8:
+            out += [(len(out), " ".join(words)), (len(out) + 1, " ".join(copy))]
+    return out
+
+
+def test_stage_finds_near_copies(spark):
+    rows = near_copies(150)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, "").collect()}
+    assert kept == {d for d, _ in rows if d % 2 == 0}
+    # The rule of op7, two bits of words in threes, misses most of them.
+    assert simhash.deduplicate(docs).count() > 1.5 * len(kept)
+
+
+@pytest.mark.parametrize("crowd", [2, 64])
+def test_similar_texts_equal_brute_force(spark, crowd):
+    rng = random.Random(crowd)
+    base = [f"w{i}" for i in range(120)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 60):  # one large group, and texts that share only a part of it
+        words = list(base)
+        for _ in range(rng.choice([1, 2, 3, 9])):
+            words[rng.randrange(len(words))] = f"y{rng.randrange(10**6)}"
+        rows.append((i, " ".join(words)))
+    rows += [(100 + d, t) for d, t in near_copies(10)] + [(200, None), (201, ""), (202, "a b"), (203, "A  b"), (204, "a c")]
+    texts = dict(rows)
+    parent = {d: d for d in texts}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in texts:
+        for b in texts:
+            if a < b and slow_similarity((texts[a] or "").lower(), (texts[b] or "").lower()) >= 0.8:
+                x, y = sorted((find(a), find(b)))
+                parent[y] = x
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in similar.components(docs, crowd=crowd).collect()}
+    assert got == {d: find(d) for d in texts}
