@@ -14,6 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import without
@@ -21,6 +22,8 @@ from .common import without
 BUCKETS = 4096
 #: The classifiers are fitted on about this many labelled documents, shared evenly by the languages.
 SAMPLE = 4000
+#: So many documents of each language are taken at least, where there are as many.
+LEAST = 8
 #: A table with more labels than this is refused; labels are then hardly languages.
 MAX_LANGUAGES = 1000
 AMBIGUOUS_MARGIN = 0.02
@@ -94,22 +97,28 @@ def _train(x: np.ndarray, y: np.ndarray, languages: list[str], steps: int = 200,
 def fit(docs: DataFrame, held_out: Column | None = None, sample: int = SAMPLE) -> Model | None:
     """Learn from ``text`` and non-null ``lang``, except where ``held_out``; None if there is nothing to learn from.
 
-    Labels are counted over all documents. Features are taken from whole texts inside the tasks;
-    the driver receives those of at most about ``sample`` documents, chosen by a hash of the text.
+    Labels are counted over all documents with a letter; a pair of id and text counts once.
+    Features are taken from whole texts inside the tasks. The driver receives those of at most
+    ``sample`` documents, or LEAST of each language if that is more, chosen by a hash of id and text.
     """
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
+    known = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     if held_out is not None:
         known = known.where(~held_out)
-    counts = sorted((r["lang"], r["n"]) for r in known.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect())
+    known = known.select("lang", "text", F.xxhash64("doc_id", "text").alias("rank"))
+    per = known.select("lang", "rank").distinct().groupBy("lang").agg(F.count("*").alias("n"))
+    counts = sorted((r["lang"], r["n"]) for r in per.limit(MAX_LANGUAGES + 1).collect())
     if len(counts) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} labels")
     if not counts:
         return None
     languages = [name for name, _ in counts]
+    most = max(LEAST, sample // len(counts))
+    # A few more than needed are drawn by the hash, so that the exact limit is taken over few rows.
     share = F.lit(0.0)
     for name, n in counts:
-        share = F.when(F.col("lang") == name, min(1.0, sample / len(counts) / n)).otherwise(share)
-    chosen = F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < share * 1_000_000
+        share = F.when(F.col("lang") == name, min(1.0, (2 * most + 40) / n)).otherwise(share)
+    drawn = known.where(F.pmod("rank", F.lit(1 << 40)) < share * (1 << 40)).groupBy("lang", "rank").agg(F.first("text").alias("text"))
+    chosen = drawn.withColumn("k", F.row_number().over(W.partitionBy("lang").orderBy("rank"))).where(F.col("k") <= most)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -118,7 +127,7 @@ def fit(docs: DataFrame, held_out: Column | None = None, sample: int = SAMPLE) -
                 [pa.array([g for g, _ in rows], pa.string()), pa.array([v.astype(np.float16).tobytes() for _, v in rows], pa.binary())], names=["lang", "x"]
             )
 
-    got = known.where(chosen).select("lang", "text").mapInArrow(vectors, "lang string, x binary").toPandas()
+    got = chosen.select("lang", "text").mapInArrow(vectors, "lang string, x binary").toPandas()
     if got.empty:
         return None
     got = got.sort_values(["lang", "x"])  # the same model whatever the order of arrival
