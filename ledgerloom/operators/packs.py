@@ -5,16 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Hexadecimal digits of a digest that name its block.
+BLOCK_DIGITS = 3
+
 
 def shard_manifest(docs: DataFrame, shard: str = "source", id_col: str = "doc_id") -> DataFrame:
-    """(shard, hash, n): a shard's hash covers its rows' ids and texts in order of the ids.
+    """(shard, hash, n): a shard's hash covers its rows' ids and texts, in whatever order they come.
 
-    Rows are hashed where they are; of each only a digest and an id are gathered.
+    Rows are hashed where they are and counted by digest. The digests of a shard are hashed in 4096
+    blocks by their first BLOCK_DIGITS digits, then the blocks, so that no task gathers a whole shard.
     """
     digest = F.sha2(F.concat_ws("\x1f", F.col(id_col).cast("string"), F.coalesce("text", F.lit(""))), 256)
-    rows = docs.select(F.col(shard).alias("shard"), F.struct(F.col(id_col).alias("i"), digest.alias("d")).alias("r"))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list("r")), lambda r: r.d), "")
-    return rows.groupBy("shard").agg(F.sha2(joined, 256).alias("hash"), F.count("*").alias("n"))
+    rows = docs.select(F.col(shard).alias("shard"), digest.alias("d")).groupBy("shard", "d").agg(F.count("*").alias("n"))
+    joined = lambda c: F.sha2(F.array_join(F.array_sort(F.collect_list(c)), ""), 256)
+    block = F.substring("d", 1, BLOCK_DIGITS).alias("block")
+    blocks = rows.groupBy("shard", block).agg(joined(F.concat_ws(":", "d", F.col("n").cast("string"))).alias("d"), F.sum("n").alias("n"))
+    return blocks.groupBy("shard").agg(joined(F.concat("block", "d")).alias("hash"), F.sum("n").alias("n"))
 
 
 def shard_diff(new: DataFrame, base: DataFrame) -> DataFrame:

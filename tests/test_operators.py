@@ -242,6 +242,24 @@ def test_packs(spark):
     assert packs.same_multiset(had.union(had), had.union(had)) and not packs.same_multiset(had, had.union(had))
 
 
+def test_shards_are_hashed_in_blocks(spark):
+    import hashlib
+    from collections import Counter, defaultdict
+
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    rows = [(i, f"text {i}", "hot" if i % 3 else "s") for i in range(9000)] + [(1, "text 1", "hot"), (7, None, "null")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    blocks = defaultdict(lambda: defaultdict(list))
+    for (shard, d), n in Counter((r[2], sha(f"{r[0]}\x1f{r[1] or ''}")) for r in rows).items():
+        blocks[shard][d[:3]].append(f"{d}:{n}")
+    want = {s: sha("".join(sorted(k + sha("".join(sorted(v))) for k, v in b.items()))) for s, b in blocks.items()}
+    got = packs.shard_manifest(docs).collect()
+    assert {r["shard"]: r["hash"] for r in got} == want and sum(r["n"] for r in got) == len(rows)
+    once = packs.shard_manifest(docs.dropDuplicates().where("source <> 'null'"))
+    change = {r["shard"]: r["change"] for r in packs.shard_diff(packs.shard_manifest(docs), once).collect()}
+    assert change == {"hot": "changed", "s": "same", "null": "added"}
+
+
 def zipped(**parts):
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w") as z:
