@@ -144,7 +144,7 @@ def _email(m: re.Match, key: bytes) -> str:
 
 
 def _secret(m: re.Match, key: bytes) -> str:
-    return m[0].replace(m["value"], "[SECRET]") if "value" in m.re.groupindex and m["value"] else "[SECRET]"
+    return m[0][: m.start("value") - m.start()] + "[SECRET]" if "value" in m.re.groupindex else "[SECRET]"
 
 
 _has_digit = re.compile("[0-9]").search
@@ -159,7 +159,8 @@ FINDERS: list[tuple[str, Callable[[str], bool], re.Pattern, Callable]] = [
         lambda t: "=" in t or ":" in t,
         re.compile(
             r"(?i:password|passwd|pwd|passphrase|secret|token|api[_-]?key|access[_-]?key|auth[_-]?key|private[_-]?key)[\"']?[ \t]{0,8}[=:][ \t]{0,8}"
-            r"[\"']?(?P<value>(?=[A-Za-z0-9+/_.~$!@#%^&*=-]*[0-9])[A-Za-z0-9+/_.~$!@#%^&*=-]{6,512})"
+            r"(?:(?P<quote>[\"'])(?=[A-Za-z0-9+/_.~$!@#%^&*=-]{6,}(?P=quote))|[\"']?(?=[A-Za-z0-9+/_.~$!@#%^&*=-]*[0-9]))"
+            r"(?P<value>[A-Za-z0-9+/_.~$!@#%^&*=-]{6,})"
         ),
         _secret,
     ),
