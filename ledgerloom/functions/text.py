@@ -34,6 +34,8 @@ REDACTIONS = [
 
 #: Lines that are only noise.
 NOISE_LINE = r"(?m)^[ \t]*(?:[0-9]{1,3}|初稿|终稿|讨论稿|定稿|草稿|DRAFT|Draft|FINAL|Final|目录|引言|序号|附注|注释|谢谢|感谢聆听)[ \t]*$"
+#: A share.
+SHARE = r"([0-9]{1,3}(?:\.[0-9]+)?)\s*%"
 #: Sizes of amounts and their units.
 AMOUNT = r"([0-9][0-9,]*(?:\.[0-9]+)?)\s*(亿元|百万元|万元|千元|元)"
 UNITS = {"元": 1.0, "千元": 1e3, "万元": 1e4, "百万元": 1e6, "亿元": 1e8}
@@ -75,9 +77,14 @@ def snippet(text: str, words: list[str], before: int = 200, after: int = 600) ->
 
 
 def redact(text: Column | str) -> Column:
+    """All redactions, in order.
+
+    The part of a mail address before its sign is looked for only where such a run begins, as a long
+    run of letters would be tried from each of its characters.
+    """
     out = F.col(text) if isinstance(text, str) else text
-    for pattern, by in REDACTIONS:
-        out = F.regexp_replace(out, pattern, by)
+    for k, (pattern, by) in enumerate(REDACTIONS):
+        out = F.regexp_replace(out, pattern if k else r"(?:\G|(?<![A-Za-z0-9._%+-]))" + pattern.replace("+-]+", "+-]++", 1), by)
     return out
 
 
@@ -145,10 +152,13 @@ def garbled(text: Column | str, least: float = 0.6) -> Column:
 
 
 def generalize(text: Column | str) -> Column:
-    """Exact shares become tiers of control; dates keep their year."""
-    out = F.regexp_replace(text, r"\b(?:100(?:\.0+)?|99\.[5-9][0-9]*)\s*%", "[全资]")
-    out = F.regexp_replace(out, r"\b(?:[5-9][0-9](?:\.[0-9]+)?|[1-9][0-9]{2}(?:\.[0-9]+)?)\s*%", "[控股]")
-    out = F.regexp_replace(out, r"[0-9]{1,3}(?:\.[0-9]+)?\s*%", "[参股]")
+    """Exact shares become tiers of control, by their value; dates keep their year."""
+    text = F.col(text) if isinstance(text, str) else text
+    gaps = F.split(text, SHARE.replace("(", "(?:", 1).replace("(?:?:", "(?:"))
+    shares = F.regexp_extract_all(text, F.lit(SHARE), F.lit(1))
+    tier = lambda v: F.when(v >= 99.5, "[全资]").when(v >= 50, "[控股]").otherwise("[参股]")
+    tiers = F.transform(shares, lambda x: tier(x.cast("double")))
+    out = F.array_join(F.zip_with(gaps, tiers, lambda g, t: F.concat(F.coalesce(g, F.lit("")), F.coalesce(t, F.lit("")))), "")
     return F.regexp_replace(out, r"(20[0-9]{2})\s*年\s*[0-9]{1,2}\s*月(?:\s*[0-9]{1,2}\s*日)?", "$1年")
 
 

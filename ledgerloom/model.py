@@ -41,6 +41,7 @@ PAYLOAD = T.StructType(
         for kind, names in [
             (T.StringType(), "title goal description status from to trigger verdict opinion reason agent role file_ref summary review_id reviewer approval_id scope initiator rule signer result name capability executor permission provider model label content contact".split()),
             (T.DoubleType(), "deadline_ts rating".split()),
+            (T.BooleanType(), ["file_missing"]),
             (T.LongType(), "version input_tokens output_tokens".split()),
             (T.ArrayType(T.StringType()), "deliverables depends_on signers".split()),
         ]

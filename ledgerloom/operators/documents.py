@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import masks
 from ..functions import text as tx
 from .running import with_earlier_blocks
 
@@ -47,6 +48,18 @@ def clean(text: Column | str) -> Column:
     return drop_repeated_lines(tx.strip_noise(tx.redact(tx.collapse_doubled(text))))
 
 
+def desensitized(text: Column | str, watched: list[str] | None = None) -> Column:
+    """The whole chain for a text that leaves the house.
+
+    Doubled words, personal data, lists of clients, notices and noise, running headers, watched names,
+    names behind labels, and placeholders side by side, in this order.
+    """
+    out = masks.strip_boilerplate(masks.hide_rosters(tx.redact(tx.collapse_doubled(text))))
+    out = drop_repeated_lines(tx.strip_noise(out))
+    out = masks.mask_people(masks.mask_watched(masks.merge_branches(out), watched or []))
+    return masks.merge_marks(out)
+
+
 def fingerprint_dedupe(docs: DataFrame, name: str = "doc_id") -> DataFrame:
     """Of documents with equal fingerprints the longest stays, of equally long ones that with the greatest name."""
     rows = docs.select(name, F.length("text").alias("n"), tx.fingerprint("text").alias("fingerprint"))
@@ -73,16 +86,18 @@ def strip_frames(pages: DataFrame, share: float = 0.02, least: int = 3) -> DataF
     """Page texts without the lines that many pages have: navigation, headers and footers.
 
     Tags and scripts go first. A line is frame if it is on at least ``least`` pages and on that
-    share of all.
+    share of all. A page of which nothing is left has an empty text.
     """
     plain = F.regexp_replace(F.regexp_replace("html", r"(?is)<(script|style)[^>]*>.*?</(script|style)>", "\n"), r"<[^>]*>", "\n")
     rows = pages.select("page_id", F.posexplode(F.split(plain, "\n")).alias("line_no", "line")).withColumn("line", F.trim(F.regexp_replace("line", r"\s+", " "))).where("line <> ''")
-    total = pages.count()
-    on = rows.groupBy("line", "page_id").agg(F.lit(1).alias("one")).groupBy("line").agg(F.count("*").alias("n"))
-    frame = on.where((F.col("n") >= least) & (F.col("n") >= share * total)).select("line")
+    total = pages.agg(F.count("*").alias("total"))
+    on = rows.groupBy("line", "page_id").agg(F.lit(1).alias("one")).groupBy("line").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    frame = on.crossJoin(F.broadcast(total)).where(F.col("n") >= share * F.col("total")).select("line")  # one row
     kept = rows.join(frame, "line", "left_anti")
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x.line)
-    return kept.groupBy("page_id").agg(F.count("*").alias("n_lines"), F.array_join(ordered, "\n").alias("text"))
+    texts = kept.groupBy("page_id").agg(F.count("*").alias("n_lines"), F.array_join(ordered, "\n").alias("text"))
+    whole = pages.select("page_id").join(texts, "page_id", "left")
+    return whole.select("page_id", F.coalesce("n_lines", F.lit(0)).alias("n_lines"), F.coalesce("text", F.lit("")).alias("text"))
 
 
 def line_runs(docs: DataFrame, least: int = 3) -> DataFrame:
@@ -101,17 +116,27 @@ def unique_names(docs: DataFrame, base: Column, order: str = "doc_id") -> DataFr
     return rows.select(order, F.when(F.col("n") == 1, F.col("base")).otherwise(F.concat_ws("-", "base", "n")).alias("name"))
 
 
-def contained(docs: DataFrame, passages: DataFrame) -> DataFrame:
-    """(doc_id, item_id): the whole passage, its case and spacing set aside, is in the document.
+#: Beginnings of passages that are broadcast, at most; more of them are met by a shuffle.
+HEADS = 100_000
+
+
+def contained(docs: DataFrame, passages: DataFrame, head: int = 4, most: int = HEADS) -> DataFrame:
+    """(doc_id, item_id): the whole passage, its case and spacing set aside, is in the document as whole words.
 
-    Passages and documents meet on the passage's first four words, so only documents that have
-    those are searched.
+    Passages and documents meet on a passage's first words, at most ``head``; a shorter one meets by
+    all of its words. Where the distinct beginnings are at most ``most`` they are broadcast and a
+    document is searched where it lies; beyond that only the beginnings found are shuffled.
     """
     even = lambda c: F.trim(F.regexp_replace(F.lower(c), r"\s+", " "))
-    wanted = passages.select("item_id", even("text").alias("passage")).withColumn("w", F.split("passage", " ")).where(F.size("w") >= 4)
-    wanted = wanted.select("item_id", "passage", F.concat_ws(" ", F.slice("w", 1, 4)).alias("head"))
-    words = docs.select("doc_id", F.split(even("text"), " ").alias("w"))
-    heads = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - 3), lambda i: F.concat_ws(" ", F.slice("w", i, 4))))
-    met = words.where(F.size("w") >= 4).select("doc_id", F.explode(heads).alias("head")).join(wanted, "head").select("doc_id", "item_id", "passage")
-    texts = docs.select("doc_id", even("text").alias("even"))
-    return met.join(texts, "doc_id").where(F.contains("even", "passage")).select("doc_id", "item_id")
+    wanted = passages.select("item_id", even("text").alias("passage")).where("passage <> ''").withColumn("w", F.split("passage", " "))
+    wanted = wanted.select("item_id", "passage", F.least(F.lit(head), F.size("w")).alias("k"), F.concat_ws(" ", F.slice("w", 1, head)).alias("head"))
+    lengths = sorted(r["k"] for r in wanted.select("k").distinct().collect())  # at most ``head`` numbers
+    words = docs.select("doc_id", even("text").alias("even")).withColumn("w", F.split("even", " "))
+    sequence = lambda k: F.when(F.size("w") >= k, F.sequence(F.lit(1), F.size("w") - (k - 1))).otherwise(F.array().cast("array<int>"))
+    heads = F.flatten(F.array(*[F.transform(sequence(k), lambda i, k=k: F.concat_ws(" ", F.slice("w", i, F.lit(k)))) for k in lengths or [head]]))
+    found = words.select("doc_id", "even", F.explode(F.array_distinct(heads)).alias("head"))
+    few = wanted.select("head").distinct().limit(most + 1).count() <= most
+    grouped = wanted.groupBy("head").agg(F.collect_list(F.struct("item_id", "passage")).alias("p")) if few else None
+    met = found.join(F.broadcast(grouped), "head").select("doc_id", "even", F.inline("p")) if few else found.join(wanted, "head")
+    inside = F.contains(F.concat(F.lit(" "), "even", F.lit(" ")), F.concat(F.lit(" "), "passage", F.lit(" ")))
+    return met.where(inside).select("doc_id", "item_id")

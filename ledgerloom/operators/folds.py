@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .running import with_earlier_blocks
+from .running import with_earlier_blocks, with_previous
 
 P = "payload."
 
@@ -40,14 +40,15 @@ def is_type(*names: str) -> Column:
 def project_list(log: DataFrame, viewer: str | None = None) -> DataFrame:
     """Projects by their last creation; paused or archived after it; archived ones are left out.
 
-    With a viewer only the own projects are seen; None sees all.
+    A creation without an owner or goal leaves those that an earlier one gave. With a viewer only the
+    own projects are seen; None sees all.
     """
     created, stopped = is_type("project.created"), is_type("project.paused", "project.archived")
     status = F.when(kind() == "project.paused", "paused").otherwise("archived")
     rows = log.where(created | stopped).groupBy("project_id").agg(
         last(P + "title", created).alias("title"),
-        last(P + "goal", created).alias("goal"),
-        last("user_id", created).alias("owner"),
+        last(P + "goal", created & F.col(P + "goal").isNotNull()).alias("goal"),
+        last("user_id", created & F.col("user_id").isNotNull()).alias("owner"),
         F.max(F.when(created, seq())).alias("made"),
         last(status, stopped).alias("stop"),
         F.max(F.when(stopped, seq())).alias("stopped"),
@@ -90,7 +91,7 @@ def task_context(log: DataFrame) -> DataFrame:
     created = is_type("task.created")
     more = log.groupBy("task_id").agg(
         F.coalesce(last(P + "description", created), F.lit("")).alias("description"),
-        last(P + "deadline_ts", created).alias("deadline_ts"),
+        last(P + "deadline_ts", created & F.col(P + "deadline_ts").isNotNull()).alias("deadline_ts"),
         F.transform(
             F.array_sort(F.collect_list(F.when(is_type("deliverable.submitted"), F.struct(seq().alias("s"), F.col(P + "file_ref").alias("f"))))), lambda x: x.f
         ).alias("deliverables"),
@@ -140,8 +141,10 @@ def usage(log: DataFrame) -> DataFrame:
 
 def deliverable_versions(log: DataFrame) -> DataFrame:
     """Deliverables of each task numbered from 1 in order."""
-    order = W.partitionBy("task_id").orderBy("log_seq")
-    return log.where(is_type("deliverable.submitted")).select("task_id", "log_seq", F.col(P + "file_ref").alias("file_ref"), F.row_number().over(order).alias("version"))
+    rows = log.where(is_type("deliverable.submitted")).select("task_id", "log_seq", F.col(P + "file_ref").alias("file_ref"))
+    rows = with_earlier_blocks(rows, "task_id", "log_seq", F.lit(1))
+    place = F.row_number().over(W.partitionBy("task_id", "block").orderBy("log_seq")) + F.col("before")
+    return rows.select("task_id", "log_seq", "file_ref", place.cast("int").alias("version"))
 
 
 def rework_counts(log: DataFrame, limit: int = 3) -> DataFrame:
@@ -153,11 +156,9 @@ def rework_counts(log: DataFrame, limit: int = 3) -> DataFrame:
 
 def illegal_transitions(log: DataFrame, legal: DataFrame) -> DataFrame:
     """State changes that the state machine does not allow from the state the task was in."""
-    order = W.partitionBy("task_id").orderBy("log_seq")
-    moves = log.where(is_type("task.state_changed")).select(
-        "task_id", "log_seq", F.lag(P + "to", 1, "todo").over(order).alias("from_state"), F.col(P + "to").alias("to_state")
-    )
-    return moves.where("from_state <> to_state").join(legal, ["from_state", "to_state"], "left_anti")
+    moves = log.where(is_type("task.state_changed")).select("task_id", "log_seq", F.col(P + "to").alias("to_state"))
+    moves = with_previous(moves, "task_id", "log_seq", "to_state", "from_state", default="todo")
+    return moves.where("from_state <> to_state").select("from_state", "to_state", "task_id", "log_seq").join(legal, ["from_state", "to_state"], "left_anti")
 
 
 def open_reviews(log: DataFrame) -> DataFrame:

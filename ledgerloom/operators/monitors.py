@@ -82,6 +82,29 @@ def stale_transfers(letters: DataFrame, log: DataFrame, as_of: float, timeout_s:
     return late.join(delivered, "task_id", "left_anti")
 
 
+def transfer_escalations(late: DataFrame, states: DataFrame) -> DataFrame:
+    """The events to emit for stale transfers (transfer_id, task_id): (task_id, step, event, from_state, to_state, idempotency_key).
+
+    Each transfer blocks its task once. The state goes there by legal steps: a task still to do
+    starts first. Tasks in any other state than these two are left as they are.
+    """
+    rows = late.join(states.select("task_id", "status"), "task_id", "left").withColumn("status", F.coalesce("status", F.lit("todo")))
+    key = F.concat_ws(":", F.lit("transfer_block"), "task_id", "transfer_id")
+    row = lambda step, event, a, b, k: F.struct(F.lit(step).alias("step"), F.lit(event).alias("event"), F.lit(a).alias("from_state"), F.lit(b).alias("to_state"), k.alias("idempotency_key"))
+    told = row(0, "task.blocked", None, None, F.concat_ws(":", F.lit("transfer_esc"), "task_id", "transfer_id"))
+    start = row(1, "task.state_changed", "todo", "in_progress", F.concat(key, F.lit(":start")))
+    block = row(2, "task.state_changed", "in_progress", "blocked", F.concat(key, F.lit(":block")))
+    steps = F.when(F.col("status") == "todo", F.array(told, start, block)).when(F.col("status") == "in_progress", F.array(told, block))
+    return rows.where(steps.isNotNull()).select("task_id", F.inline(steps))
+
+
+def auto_starts(tasks: DataFrame, states: DataFrame) -> DataFrame:
+    """(task_id, from_state, to_state) of tasks still to do whose dependencies are all done."""
+    ready = deps_ready(tasks, states).where("ready").select("task_id")
+    todo = tasks.select("task_id").join(states, "task_id", "left").where(F.coalesce("status", F.lit("todo")) == "todo").select("task_id")
+    return todo.join(ready, "task_id", "left_semi").select("task_id", F.lit("todo").alias("from_state"), F.lit("in_progress").alias("to_state"))
+
+
 def deps_ready(tasks: DataFrame, states: DataFrame) -> DataFrame:
     """Of (task_id, depends_on): whether all it depends on is completed or archived; without any it is ready.
 

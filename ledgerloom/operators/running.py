@@ -23,3 +23,16 @@ def with_earlier_blocks(df: DataFrame, key: str, order: str, amount: Column, blo
     sums = sums.select("__key", "__block", F.coalesce(earlier, F.lit(0)).alias("before"))
     met = rows.join(sums, F.col(key).eqNullSafe(F.col("__key")) & F.col("block").eqNullSafe(F.col("__block")))
     return met.drop("__key", "__block")
+
+
+def with_previous(df: DataFrame, key: str, order: str, value: str, name: str, default: str, block: int = BLOCK) -> DataFrame:
+    """``df`` with ``name``: ``value`` of the row before of the same key, ``default`` for the first.
+
+    The last value of each block is carried to the next, so no task sorts a whole key.
+    """
+    rows = df.withColumn("__block", F.expr(f"`{order}` DIV {block}"))
+    ends = rows.groupBy(F.col(key).alias("__key"), F.col("__block").alias("__b")).agg(F.max_by(value, order).alias("__end"))
+    carried = ends.select("__key", "__b", F.lag("__end").over(W.partitionBy("__key").orderBy("__b")).alias("__carried"))
+    met = rows.join(carried, F.col(key).eqNullSafe(F.col("__key")) & F.col("__block").eqNullSafe(F.col("__b")))
+    inside = F.lag(value).over(W.partitionBy(key, "__block").orderBy(order))
+    return met.withColumn(name, F.coalesce(inside, "__carried", F.lit(default))).drop("__key", "__b", "__block", "__carried")

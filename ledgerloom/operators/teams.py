@@ -2,47 +2,85 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-#: Permission levels that actions need, and those that need an approval as well.
-LEVELS = ["L1", "L2", "L3", "L4"]
+#: The level that each action needs, that of any other, and the levels that need an approval as well.
+NEEDS = {
+    "read_project": 0, "read_audit": 0, "write_message": 1, "change_task_state": 1, "submit_deliverable": 1, "send_handover": 2,
+    "modify_chain": 3, "approve_action": 3, "pause_project": 3, "external_irreversible": 4,
+}
+DEFAULT_NEED, APPROVED_FROM, APPROVAL = 1, 3, "approve_action"
+
+
+def available(agents: DataFrame) -> DataFrame:
+    """Agents that are not disabled; those of a registry without a status all are."""
+    return agents.where(F.coalesce("status", F.lit("available")) != "disabled").drop("status") if "status" in agents.columns else agents
+
+
+def _words(c: str) -> Column:
+    return F.array_distinct(F.filter(F.split(F.lower(c), r"\s+"), lambda w: F.length(w) > 1))
+
+
+def _capabilities(agents: DataFrame, score: Column) -> DataFrame:
+    """(word, a) for every word that can be found in a capability, with the best agent.
+
+    A word has no space, so it is part of one word of the capability; all parts of those words are
+    listed, some hundred for an agent, and titles meet them by equality.
+    """
+    tokens = agents.select("name", "pos", score.alias("score"), F.explode(_words("capability")).alias("t"))
+    lengths = lambda i: F.sequence(F.lit(2), F.length("t") - i + 1)
+    parts = F.flatten(F.transform(F.sequence(F.lit(1), F.length("t") - 1), lambda i: F.transform(lengths(i), lambda n: F.substring(F.col("t"), i, n))))
+    return tokens.select("name", "pos", "score", F.explode(F.array_distinct(parts)).alias("word"))
 
 
 def match_owner(tasks: DataFrame, agents: DataFrame) -> DataFrame:
-    """(task_id, owner) for tasks (task_id, title, hint) from agents (pos, name, capability, executor).
+    """(task_id, owner) for tasks (task_id, title, hint) from agents (pos, name, capability, executor, perhaps status).
 
     Builtin agents come first, by hint and then by a title word that is in their capability;
-    external ones next, likewise; then the first builtin agent. Names meet by equality; each
-    distinct title word is looked for in the registry once, before any task meets the result.
-    Ties go to the smaller position.
+    external ones next, likewise; then the first builtin agent. Disabled agents do nothing. Ties go
+    to the smaller position. A task for which there is nobody has a null owner.
     """
+    agents = available(agents)
     outside = F.when(F.col("executor") == "builtin", 0).otherwise(2)
     named = agents.select(F.lower("name").alias("word"), "name", "pos", outside.alias("score"))
     hints = tasks.where("hint <> ''").select("task_id", F.lower(F.trim("hint")).alias("word"))
-    words = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), r"\s+"), lambda w: F.length(w) > 1))
-    asked = tasks.select("task_id", F.explode(words("title")).alias("word"))
-    in_it = F.contains(F.lower(F.coalesce("capability", F.lit(""))), F.col("word"))
-    able = asked.select("word").distinct().join(agents, in_it).select("word", "name", "pos", (outside + 1).alias("score"))
+    asked = tasks.select("task_id", F.explode(_words("title")).alias("word"))
     # Equal words are reduced to their best agent before any task meets them.
     best = lambda df: df.groupBy("word").agg(F.min(F.struct("score", "pos", "name")).alias("a"))
-    hits = hints.join(best(named), "word").select("task_id", "a").union(asked.join(best(able), "word").select("task_id", "a"))
+    able = best(_capabilities(agents, outside + 1))
+    hits = hints.join(best(named), "word").select("task_id", "a").union(asked.join(able, "word").select("task_id", "a"))
     found = hits.groupBy("task_id").agg(F.min("a").alias("a"))
     default = agents.where("executor = 'builtin'").agg(F.min_by("name", "pos").alias("fallback"))
     rows = tasks.select("task_id").join(found, "task_id", "left").crossJoin(F.broadcast(default))  # one row
-    return rows.select("task_id", F.coalesce("a.name", "fallback").alias("owner")).where("owner IS NOT NULL")
+    return rows.select("task_id", F.coalesce("a.name", "fallback").alias("owner"))
 
 
 def match_reviewer(owners: DataFrame, agents: DataFrame) -> DataFrame:
-    """The first agent that is not the owner; the first two are enough to know."""
+    """(task_id, owner, reviewer): the agent that a hint names, else the first, but never the owner.
+
+    ``owners`` may have ``reviewer_hint``. The first two agents are enough to know the first other one.
+    """
+    agents = available(agents)
     two = agents.orderBy("pos").limit(2).agg(F.array_sort(F.collect_list(F.struct("pos", "name"))).alias("c"))
-    other = F.get(F.filter("c", lambda x: x["name"] != F.col("owner")), F.lit(0))["name"]
-    return owners.crossJoin(F.broadcast(two)).select("task_id", "owner", other.alias("reviewer"))  # one row
+    other = F.get(F.filter("c", lambda x: ~x["name"].eqNullSafe(F.col("owner"))), F.lit(0))["name"]
+    if "reviewer_hint" not in owners.columns:
+        owners = owners.withColumn("reviewer_hint", F.lit(None).cast("string"))
+    named = agents.groupBy(F.lower("name").alias("word")).agg(F.min_by("name", "pos").alias("hinted"))
+    rows = owners.withColumn("word", F.lower(F.trim("reviewer_hint"))).join(named, "word", "left").crossJoin(F.broadcast(two))  # one row
+    hinted = F.when(~F.col("hinted").eqNullSafe(F.col("owner")), F.col("hinted"))
+    return rows.select("task_id", "owner", F.coalesce(hinted, other).alias("reviewer"))
+
 
+def permissions(requests: DataFrame) -> DataFrame:
+    """``requests(level, action ...)`` with ``needed`` and ``outcome``: denied, approval or allowed.
 
-def may(levels: DataFrame, needs: DataFrame) -> DataFrame:
-    """Of (user, level) and (action, level): what each may do. A missing level is the lowest."""
-    rank = lambda c: F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, LEVELS)), F.col(c)), F.lit(0)), F.lit(1))
-    have = levels.withColumn("have", rank("level")).drop("level")
-    return have.crossJoin(F.broadcast(needs.withColumn("need", rank("level")).drop("level"))).select("user", "action", (F.col("have") >= F.col("need")).alias("allowed"))
+    A missing level is the lowest but one, as is the need of an unknown action. Approving is no
+    action that needs an approval.
+    """
+    needs = F.create_map(*[F.lit(x) for pair in NEEDS.items() for x in pair])
+    needed = F.coalesce(F.try_element_at(needs, "action"), F.lit(DEFAULT_NEED))
+    short = F.coalesce("level", F.lit(DEFAULT_NEED)) < needed
+    gate = (needed >= APPROVED_FROM) & ~F.col("action").eqNullSafe(F.lit(APPROVAL))
+    return requests.withColumn("needed", needed).withColumn("outcome", F.when(short, "denied").when(gate, "approval").otherwise("allowed"))
