@@ -9,45 +9,60 @@ in it are merged exactly, by rank.
 
 from __future__ import annotations
 
-import atexit
 import heapq
 import json
 import os
 import re
-import shutil
-import tempfile
 import uuid
 from array import array
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark import SparkFiles
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import without
+from .common import materialize, shared_dir, small, without
 
 #: Words in the automaton.
 WORDS = 1 << 16
 #: Only words up to so many bytes go in.
 WORD_BYTES = 32
-#: Words that a task keeps beside the automaton; beyond that it starts anew.
-CACHE_WORDS = 300_000
+#: Pieces of text and words that a worker keeps beside the automaton; beyond that it starts anew.
+CACHE_WORDS = 200_000
 CACHE_CHARS = 64
 SLICE = 256
-COUNTER_WORDS = 500_000
+COUNTER_WORDS = 250_000
+#: Longest word that is merged beside others in one matrix.
+MATRIX = 32
+#: Classes of counts to each doubling; whole classes of frequent words go in.
+CLASSES = 16
 
 #: White space as Unicode has it; Python's own class has four characters more.
 WS = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: A word with the space before it, or white space; no token crosses such a border.
 CHUNK = re.compile(f" ?[^{WS}]+|[{WS}]+(?![^{WS}])|[{WS}]+")
+#: Letters and what punctuation follows them, two pre-tokens at most; the usual kind of chunk.
+PLAIN = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 #: Fixed value: how the byte-level tokenizer splits a text.
 PRETOKEN = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WS}\p{{L}}\p{{N}}]+|[{WS}]+(?![^{WS}])|[{WS}]+")
 
 
+#: Rank of a pair that does not merge.
+NEVER = 1 << 40
+
+
+def pretokens(chunk: str) -> list[str] | tuple[str, ...]:
+    """Where the tokenizer cuts a chunk; tokens never reach across."""
+    if m := PLAIN.fullmatch(chunk):
+        return m.groups() if m[2] else (m[1],)
+    return PRETOKEN.findall(chunk)
+
+
 def byte_alphabet() -> dict[str, int]:
     """The printable character that stands for each byte in the vocabulary file."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -77,6 +92,10 @@ class ByteBpe:
         for rank, pair in enumerate(data["model"]["merges"]):
             a, b = pair.split(" ") if isinstance(pair, str) else pair
             self.merge[vocab[a], vocab[b]] = rank, vocab[a + b]
+        order = sorted((a << 32 | b, *m) for (a, b), m in self.merge.items())
+        self.pairs, self.rank_of = (np.array([x[k] for x in order], np.int64) for k in (0, 1))
+        self.id_of_rank = np.array([x[2] for x in sorted(order, key=lambda x: x[1])], np.int64)
+        self.byte_ids = np.array(self.byte_id, np.int64)
         self.split_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 
     def merged(self, word: bytes) -> list[int]:
@@ -104,9 +123,69 @@ class ByteBpe:
                 heapq.heappush(heap, (m[0], h, m[1], ids[h], new))
         return [x for x in ids if x >= 0]
 
+    def _ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Rank of each pair; NEVER where it does not merge, so too where one id is -1."""
+        key = a.astype(np.int64) << 32 | b
+        at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
+        return np.where(self.pairs[at] == key, self.rank_of[at], NEVER)
+
+    def merged_all(self, words: list[bytes]) -> list[bytes]:
+        """``merged`` of many words as little-endian unsigned 32-bit ids.
+
+        Words of similar length are columns of a matrix; each round merges in every column the
+        pair of lowest rank, the topmost of equals, until no column has one.
+        """
+        out: list[bytes] = [b""] * len(words)
+        lens = np.fromiter(map(len, words), np.int64, len(words))
+        for low, high in ((0, 6), (6, 10), (10, 16), (16, MATRIX)):
+            some = np.flatnonzero((lens > low) & (lens <= high))
+            if len(some):
+                for k, x in zip(some.tolist(), self._columns([words[k] for k in some.tolist()], lens[some], high)):
+                    out[k] = x
+        for k in np.flatnonzero(lens > MATRIX).tolist():
+            out[k] = array("I", self.merged(words[k])).tobytes()
+        return out
+
+    def _columns(self, words: list[bytes], lens: np.ndarray, high: int) -> list[bytes]:
+        n = len(words)
+        # The last row stays -1: it is what lies below the last token and, as row -1, above the first.
+        ids = np.full((high + 1, n), -1, np.int64)
+        col = np.repeat(np.arange(n), lens)
+        ids[np.arange(len(col)) - np.repeat(np.cumsum(lens) - lens, lens), col] = self.byte_ids[np.frombuffer(b"".join(words), np.uint8)]
+        rows = np.arange(high + 1)[:, None]
+        after = np.where(rows + 1 < lens, rows + 1, high)
+        before = np.broadcast_to(rows - 1, ids.shape).copy()
+        rank = np.full(ids.shape, NEVER, np.int64)
+        rank[:high] = self._ranks(ids[:high], ids[1:])
+        result, where = np.full((n, high), -1, np.int64), np.arange(n)
+        while True:
+            i = rank.argmin(0)
+            least = rank[i, np.arange(len(where))]
+            busy = np.flatnonzero(least < NEVER)
+            if 2 * len(busy) <= len(where):  # those that are done leave the matrix
+                done = np.flatnonzero(least == NEVER)
+                result[where[done]] = ids[:high, done].T
+                if not len(busy):
+                    break
+                ids, after, before, rank = (x[:, busy] for x in (ids, after, before, rank))
+                where, i, least = where[busy], i[busy], least[busy]
+                busy = np.arange(len(where))
+            i, new = i[busy], self.id_of_rank[least[busy]]
+            j = after[i, busy]
+            k, h = after[j, busy], before[i, busy]
+            ids[i, busy], ids[j, busy] = new, -1
+            after[i, busy], before[k, busy] = k, i
+            rank[j, busy] = NEVER
+            rank[i, busy] = self._ranks(new, ids[k, busy])
+            rank[h, busy] = self._ranks(ids[h, busy], new)
+        kept = result >= 0
+        ends = (np.cumsum(kept.sum(1)) * 4).tolist()
+        data = result[kept].astype("<u4").tobytes()
+        return [data[a:b] for a, b in zip([0, *ends], ends)]
+
     def word_ids(self, chunk: str) -> list[int]:
         out: list[int] = []
-        for token in PRETOKEN.findall(chunk):
+        for token in pretokens(chunk):
             out += self.merged(token.encode())
         return out
 
@@ -163,12 +242,13 @@ class Transducer:
         arrays = [keys, targets, skips, [f for f, _, _ in done], starts, [i for x in lists for i in x]]
         return cls([np.array(a, k) for a, k in zip(arrays, cls.KINDS)])
 
+    def dump(self) -> bytes:
+        arrays = [getattr(self, n) for n in self.NAMES]
+        return np.array([len(a) for a in arrays], "<i8").tobytes() + b"".join(a.tobytes() + bytes(-a.nbytes % 8) for a in arrays)
+
     def save(self, path: str) -> None:
         with open(path, "wb") as f:
-            arrays = [getattr(self, n) for n in self.NAMES]
-            np.array([len(a) for a in arrays], "<i8").tofile(f)
-            for a in arrays:
-                f.write(a.tobytes() + bytes(-a.nbytes % 8))
+            f.write(self.dump())
 
     @classmethod
     def load(cls, path: str) -> Transducer:
@@ -210,45 +290,79 @@ class Encoder:
 
     def __init__(self, bpe: ByteBpe, transducer: Transducer):
         self.bpe, self.transducer = bpe, transducer
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}  # by chunk
+        self.words: dict[str, bytes] = {}  # by pre-token
 
     def _learn(self, new: list[str]) -> None:
-        numbers = self.transducer.numbers([w.encode() for w in new])
-        starts, ids = self.transducer.starts, self.transducer.ids
-        for w, n in zip(new, numbers.tolist()):
-            self.known[w] = ids[starts[n] : starts[n + 1]].tobytes() if n >= 0 else array("I", self.bpe.word_ids(w)).tobytes()
+        cut = [pretokens(c) for c in new]
+        words = self.words
+        fresh = list({w for ws in cut for w in ws if w not in words})
+        coded = [w.encode() for w in fresh]
+        numbers = self.transducer.numbers(coded)
+        inside, unseen = np.flatnonzero(numbers >= 0), np.flatnonzero(numbers < 0).tolist()
+        data = self.transducer.ids.tobytes() if self.transducer.ids.nbytes <= 1 << 16 else memoryview(self.transducer.ids).cast("B")
+        starts = self.transducer.starts
+        for k, a, b in zip(inside.tolist(), (starts[numbers[inside]] * 4).tolist(), (starts[numbers[inside] + 1] * 4).tolist()):
+            words[fresh[k]] = bytes(data[a:b])
+        words.update(zip([fresh[k] for k in unseen], self.bpe.merged_all([coded[k] for k in unseen])))
+        self.known.update([(c, words[ws[0]] if len(ws) == 1 else b"".join([words[w] for w in ws])) for c, ws in zip(new, cut)])
+        if len(words) > CACHE_WORDS:
+            self.words = {}
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         """Ids as little-endian unsigned 32-bit integers; null as empty."""
-        split_special, special = self.bpe.split_special, self.bpe.special
+        split_special = self.bpe.split_special
+        special = {w: array("I", [i]).tobytes() for w, i in self.bpe.special.items()}
         for at in range(0, len(texts), SLICE):
             split = []
             for t in texts[at : at + SLICE]:
                 t = t or ""
                 parts = split_special.split(t) if split_special and any(s in t for s in special) else [t]
-                split.append([c for p in parts for c in ([p] if p in special else CHUNK.findall(p))])
+                split.append([c for p in parts for c in ([p] if p in special else CHUNK.findall(p))] if len(parts) > 1 else CHUNK.findall(t))
             new = set().union(*split) - self.known.keys()
             if len(self.known) + len(new) > CACHE_WORDS:
                 self.known = {}
                 new = set().union(*split)
             self._learn([w for w in new if w not in special])
-            self.known.update((w, array("I", [i]).tobytes()) for w, i in special.items())
-            known = self.known
+            self.known.update(special)
+            get = self.known.__getitem__
             for chunks in split:
-                yield b"".join([known[c] for c in chunks])
-            for w in new:
-                if len(w) > CACHE_CHARS:
-                    del known[w]
+                yield b"".join(map(get, chunks))
+            for w in [w for w in new if len(w) > CACHE_CHARS and w not in special]:
+                del self.known[w]
+
+
+@lru_cache(maxsize=2)
+def bpe(path: str) -> ByteBpe:
+    """One for each Python worker."""
+    return ByteBpe(path)
+
+
+@lru_cache(maxsize=1)
+def encoder(path: str, lexicon: str) -> Encoder:
+    """One for each Python worker: Spark uses workers for many tasks, and known words stay known.
+
+    Only the last one is kept, as its words take the most memory of all.
+    """
+    return Encoder(bpe(path), Transducer.load(SparkFiles.get(lexicon)))
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """(word, n) over all whole texts; a word has the space before it. Counted within tasks first."""
+    """(word, n) of the pre-tokens of all whole texts, with the space before them. Counted within tasks first."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
-        out = lambda: pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.string()), pa.array(seen.values(), pa.int64())], names=["word", "n"])
-        for batch in batches:
-            for text in batch.column("text").to_pylist():
+
+        def out() -> pa.RecordBatch:
+            words: Counter = Counter()
+            for chunk, n in seen.items():
+                for w in pretokens(chunk):
+                    if len(w) <= WORD_BYTES:
+                        words[w] += n
+            return pa.RecordBatch.from_arrays([pa.array(words.keys(), pa.string()), pa.array(words.values(), pa.int64())], names=["word", "n"])
+
+        for part in small(batches):
+            for text in part.column("text").to_pylist():
                 seen.update(CHUNK.findall(text or ""))
                 if len(seen) > COUNTER_WORDS:
                     yield out()
@@ -258,17 +372,47 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def frequent_words(counts: DataFrame, most: int = WORDS) -> DataFrame:
+    """At most ``most`` of the most frequent words of ``counts``: whole classes of counts, from the top.
+
+    A class holds counts up to a factor of 2 ** (1 / CLASSES) apart. The driver sees how many words
+    each class has, some hundred numbers however large the corpus, and where to cut; no task sends
+    words that are not kept.
+    """
+    counts = counts.withColumn("__class", F.floor(F.log2("n") * CLASSES))
+    room, least = most, None
+    for r in counts.groupBy("__class").count().orderBy(F.desc("__class")).collect():
+        room -= r["count"]
+        if room < 0:
+            break
+        least = r["__class"]
+    return counts.where(F.lit(False) if least is None else F.col("__class") >= least).drop("__class")
+
+
+def _share(spark: SparkSession, data: bytes, name: str) -> None:
+    """Write a file to the shared folder and let Spark bring it to every executor."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{name}")
+    out = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(path, True)
+    try:
+        for at in range(0, len(data), 1 << 20):
+            out.write(bytearray(data[at : at + (1 << 20)]))
+    finally:
+        out.close()
+    spark.sparkContext.addFile(path.toString())
+
+
 def compile_lexicon(docs: DataFrame, path: str, words: int = WORDS) -> str:
-    """Build the automaton of the most frequent words and hand it to all executors; its name there."""
-    counts = word_counts(docs).where(F.octet_length("word") <= WORD_BYTES)
-    top = counts.orderBy(F.desc("n"), "word").limit(words).collect()
-    bpe = ByteBpe(path)
-    machine = Transducer.build({r["word"].encode(): bpe.word_ids(r["word"]) for r in top if r["word"] not in bpe.special})
-    folder = tempfile.mkdtemp(prefix="lexicon-")  # the driver serves it from there as long as it runs
-    atexit.register(shutil.rmtree, folder, True)
+    """Build the automaton of the most frequent words and hand it to all executors; its name there.
+
+    The driver holds at most ``words`` words of up to WORD_BYTES bytes.
+    """
+    counts = materialize(word_counts(docs).where(F.octet_length("word") <= WORD_BYTES), "words")
+    top = frequent_words(counts, words).select("word").toArrow().column("word").to_pylist()
+    own = bpe(path)
+    machine = Transducer.build({w.encode(): own.word_ids(w) for w in top if w not in own.special})
     name = f"lexicon-{uuid.uuid4().hex}.bin"
-    machine.save(os.path.join(folder, name))
-    docs.sparkSession.sparkContext.addFile(os.path.join(folder, name))
+    _share(docs.sparkSession, machine.dump(), name)
     return name
 
 
@@ -281,10 +425,10 @@ def encode(docs: DataFrame, path: str, lexicon: str) -> DataFrame:
     docs = without(docs, "ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(ByteBpe(path), Transducer.load(SparkFiles.get(lexicon)))
-        for batch in batches:
+        own = encoder(path, lexicon)
+        for batch in small(batches):
             keep = [n for n in batch.schema.names if n != "text"]
-            ids = pa.array(list(encoder.encode(batch.column("text").to_pylist())), pa.binary())
+            ids = pa.array(list(own.encode(batch.column("text").to_pylist())), pa.binary())
             yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in keep], ids], names=[*keep, "ids"])
 
     return docs.mapInArrow(run, ", ".join([*[f"`{n}` {t}" for n, t in docs.dtypes if n != "text"], "ids binary"]))
@@ -295,9 +439,9 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     encoded = without(encoded, "decoded")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = ByteBpe(path)
-        for batch in batches:
-            texts = [None if x is None else bpe.decode(np.frombuffer(x, "<u4").tolist()) for x in batch.column("ids").to_pylist()]
+        own = bpe(path)
+        for batch in small(batches):
+            texts = [None if x is None else own.decode(np.frombuffer(x, "<u4").tolist()) for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "decoded"])
 
     return encoded.mapInArrow(run, ", ".join([*[f"`{n}` {t}" for n, t in encoded.dtypes], "decoded string"]))
