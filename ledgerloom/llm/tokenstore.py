@@ -1,8 +1,8 @@
 """A table of token ids in fixed-width bit packing, with random access.
 
 Ids are written in ascending order of the document ids. Each row of the store is a block of some
-documents: the ids in the fewest bits that hold the vocabulary, highest bit first, and where each
-document begins. ``read`` needs the blocks asked for only; unpacking is one numpy operation.
+documents: the ids in the fewest bits that hold the vocabulary, highest bit first, where each
+document begins, and the least and greatest document id (null if none has one). ``read`` needs the blocks asked for only; unpacking is one numpy operation.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import wordpieces
-from .common import shared_dir, text_or_empty
+from .common import shared_dir, small, text_or_empty
 
 END_ID = 2
 BLOCK_TOKENS = 1 << 16
@@ -56,7 +56,10 @@ def unpack_bits(packed: bytes, bits: int, first: int, last: int) -> np.ndarray:
 
 
 def blocks(docs: DataFrame, path: str, end_id: int = END_ID, block_tokens: int = BLOCK_TOKENS, shards: int | None = None) -> DataFrame:
-    """The rows of a store. Null ids come first; rows of one id are ordered by their texts' hashes."""
+    """The rows of a store. Null ids come first; rows of one id are ordered by their texts' hashes.
+
+    An empty table gives no row; columns beyond doc_id and text are left out.
+    """
     if shards is None:
         total = docs.agg(F.sum(F.octet_length(text_or_empty()))).first()[0] or 0
         shards = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // SHARD_BYTES))
@@ -72,12 +75,13 @@ def blocks(docs: DataFrame, path: str, end_id: int = END_ID, block_tokens: int =
         def row() -> pa.RecordBatch:
             starts = np.concatenate(([0], np.cumsum([len(x) // 4 for x in data]))).tolist()
             packed = pack_bits(np.frombuffer(b"".join(data), "<u4"), bits)
-            cells = [shard, block, bits, len(ids), starts[-1], first, ids[0], ids[-1], ids, starts, packed]
+            given = [d for d in ids if d is not None] or [None]
+            cells = [shard, block, bits, len(ids), starts[-1], first, min(given), max(given), ids, starts, packed]
             kinds = [pa.int32()] * 4 + [pa.int64()] * 4 + [pa.list_(pa.int64())] * 2 + [pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array([c], k) for c, k in zip(cells, kinds)], names=[f.split()[0] for f in SCHEMA.split(", ")])
 
         held = 0
-        for batch in batches:
+        for batch in small(batches):
             names = batch.schema.names
             texts = batch.column(names.index("text")).to_pylist()
             for doc_id, x in zip(batch.column(names.index("doc_id")).to_pylist(), words.encode(texts, end)):
@@ -110,7 +114,8 @@ def read(spark: SparkSession, store: str, first_doc: int | None = None, last_doc
     """(doc_id, start, n_tokens, ids) of the documents, or of those with ids in a range.
 
     ``start`` counts the ids of all documents before. Shards are one row each of the sums that
-    this takes; which blocks hold a range is read from the Parquet statistics.
+    this takes; which blocks hold a range is read from the Parquet statistics. Documents without
+    an id are in no range.
     """
     table = spark.read.schema(SCHEMA).parquet(store)
     sums = table.groupBy("shard").agg(F.sum("n_tokens").alias("n"))

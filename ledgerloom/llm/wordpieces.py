@@ -2,21 +2,30 @@
 
 For tokenizers that drop white space, as that of ``word_bpe_49k.json`` does: its normalizer and
 pre-tokenizer never look across ASCII white space, so the ids of a text are those of its words,
-one after the other.
+one after the other. A word of plain letters between punctuation is cut there, as the
+pre-tokenizer does, and its letters go to the library's merging without the costly patterns.
 """
 
 from __future__ import annotations
 
+import re
 from array import array
 from functools import lru_cache
 
+import numpy as np
+
 from .common import single_threaded
 
-#: Words kept; beyond that the cache starts anew. About 150 bytes each.
-CACHE_WORDS = 400_000
+#: Words kept, and letter sequences kept; beyond that the cache starts anew. About 150 bytes each.
+CACHE_WORDS, CACHE_LETTERS = 200_000, 200_000
 #: Words longer than this are not kept.
 CACHE_BYTES = 64
-SLICE = 256
+SLICE = 512
+
+#: A line of punctuation, letters, punctuation; else three empty groups. The letters are such that
+#: lower-casing and composing leave them alone, and letters to every version of Unicode. An
+#: apostrophe may begin a pre-token with letters, so none leads.
+PLAIN = re.compile(r"(?m)^(?:([!-&(-/:-@\[-`{-~]*)([a-zà-öø-ÿ]+)([!-/:-@\[-`{-~]*)|.*)$")
 
 
 def public_path(name: str) -> str:
@@ -30,19 +39,72 @@ class WordEncoder:
 
     def __init__(self, path: str):
         single_threaded()
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        two = self._whole(["ab", "cd"])
+        gaps = [f"ab{gap}cd" for gap in " \t\n\x0b\x0c\r"] + [f"{gap}ab{gap}cd{gap}" for gap in " \n"]
+        if any(x != b"".join(two) for x in self._whole(gaps)) or any(t.split() != [t] for t in self.added):
+            raise ValueError(f"the tokenizer of {path} does not drop white space")
+        # Merging alone, for words of plain letters; each word's last token says that it ends one.
+        self.merging = Tokenizer(self.tokenizer.model)
+        self.merging.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.ends = np.zeros(self.vocabulary(), bool)
+        self.ends[[i for w, i in self.tokenizer.get_vocab().items() if suffix and w.endswith(suffix)]] = True
+        self._forget()
+        probes = ["Straße,", "(Niño)", "ÉLÈVE...", "ab###", "a'", "encoding", *(f"a{chr(c)}b" for c in [*range(97, 123), *range(0xE0, 0x100)])]
+        self.plain = bool(suffix)
+        self.plain = self.plain and list(self.encode(probes)) == self._whole(probes)
+        self._forget()
+
+    def _forget(self) -> None:
         self.known: dict[bytes, bytes] = {}
+        self.letters: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {"": b""}
 
     def vocabulary(self) -> int:
         return self.tokenizer.get_vocab_size(with_added_tokens=True)
 
-    def _learn(self, words: list[bytes]) -> dict[bytes, bytes]:
-        found = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
-        return {w: array("I", e.ids).tobytes() for w, e in zip(words, found)}
+    def _whole(self, words: list[str]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
+        return [array("I", e.ids).tobytes() for e in found]
+
+    def _merged(self, words: list[str]) -> list[bytes]:
+        """Ids of words of plain letters: all in one text, cut where a word ends."""
+        # The vocabulary spells bytes as Latin-1 characters, but for two that have no shape.
+        text = " ".join(words).encode().decode("latin-1").replace("\xa0", "\u0142").replace("\xad", "\u0143")
+        ids = np.array(self.merging.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+        cuts = [0, *((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()]
+        data = ids.tobytes()
+        return [data[a:b] for a, b in zip(cuts, cuts[1:])]
+
+    def _learn(self, new: list[bytes]) -> None:
+        known, letters, marks = self.known, self.letters, self.marks
+        text = b"\n".join(new)
+        cut = PLAIN.findall(text.decode().lower()) if self.plain else [("", "", "")] * len(new)
+        if any(t in text for t in self.added):
+            cut = [("", "", "") if any(t in w for t in self.added) else x for w, x in zip(new, cut)]
+        wanted = list({c for _, c, _ in cut if c not in letters} - {""})
+        for at in range(0, len(wanted), 2000):
+            some = wanted[at : at + 2000]
+            letters.update(zip(some, self._merged(some)))
+        unseen = list({m for x in cut for m in x[::2] if m not in marks})
+        marks.update(zip(unseen, self._whole(unseen)))
+        rest = []
+        for w, (a, c, b) in zip(new, cut):
+            if not c:
+                rest.append(w)
+            elif a or b:
+                known[w] = marks[a] + letters[c] + marks[b]
+            else:
+                known[w] = letters[c]
+        known.update(zip(rest, self._whole([w.decode() for w in rest])))
+        if len(letters) > CACHE_LETTERS:
+            self.letters, self.marks = {}, {"": b""}
 
     def encode(self, texts: list[str | None], end: bytes = b""):
         """The ids of each text, null as empty, followed by ``end``."""
@@ -52,13 +114,13 @@ class WordEncoder:
             if len(self.known) + len(new) > CACHE_WORDS:
                 self.known = {}
                 new = list(set().union(*split))
-            known = self.known
-            known.update(self._learn(new))
+            if new:
+                self._learn(new)
+            get = self.known.__getitem__
             for words in split:
-                yield b"".join([known[w] for w in words]) + end
-            for w in new:
-                if len(w) > CACHE_BYTES:
-                    del known[w]
+                yield b"".join(map(get, words)) + end
+            for w in [w for w in new if len(w) > CACHE_BYTES]:
+                del self.known[w]
 
 
 @lru_cache(maxsize=2)
