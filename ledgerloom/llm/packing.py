@@ -18,12 +18,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import wordpieces
-from .common import text_or_empty
+from .common import small, text_or_empty
 
 WINDOW = 2048
 END_ID = 1
 #: Bytes of text dealt to a group, about.
 GROUP_BYTES = 10_000_000
+#: Bytes of text to a partition, at most about; the session's number of partitions counts below that.
+PARTITION_BYTES = 128 << 20
 
 
 class OpenSequences:
@@ -88,7 +90,7 @@ def pieces(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_I
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = wordpieces.encoder(path)
         end = array("I", [end_id]).tobytes()
-        for batch in batches:
+        for batch in small(batches):
             names = batch.schema.names
             ids, out = batch.column(names.index("doc_id")).to_pylist(), []
             for doc_id, data in zip(ids, words.encode(batch.column(names.index("text")).to_pylist(), end)):
@@ -116,7 +118,10 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_ID,
     """
     total = docs.agg(F.sum(F.octet_length(text_or_empty()) + 64)).first()[0] or 0
     groups = max(1, round(total / group_bytes))
+    # Partitions follow the input: beyond the session's number each takes PARTITION_BYTES of text.
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // PARTITION_BYTES))
     dealt = pieces(docs, path, window, end_id).withColumn("g", F.pmod(F.xxhash64("doc_id", "start", "ids"), F.lit(groups)))
+    dealt = dealt.repartition(parts, "g")
 
     def place(table: pa.Table) -> pa.Table:
         table = table.sort_by([(c, "ascending") for c in ("doc_id", "start", "ids")])

@@ -170,3 +170,41 @@ def test_bpe_keeps_odd_rows(spark):
     assert sorted(len(r["decoded"]) for r in both) == [0, 0, 50_000, 50_000]
     empty = docs.limit(0)
     assert lexicon.encode(empty, path, lexicon.compile_lexicon(empty, path)).count() == 0
+
+
+def test_store_range_finds_documents_beside_null_ids(spark):
+    docs = spark.createDataFrame([(None, "a b"), (3, "c"), (5, "d e f"), (7, None), (7, "z")], "doc_id long, text string")
+    store = tokenstore.write(docs, public_path(queries.WORD_BPE), shards=1)
+    every = sorted((r["doc_id"] or 0, r["start"], r["n_tokens"]) for r in tokenstore.read(spark, store).collect())
+    assert [x[0] for x in every] == [0, 3, 5, 7, 7]
+    assert sorted(r["doc_id"] for r in tokenstore.read(spark, store, 3, 5).collect()) == [3, 5]
+    assert sorted(r["doc_id"] for r in tokenstore.read(spark, store, first_doc=5).collect()) == [5, 7, 7]
+    assert sorted(r["doc_id"] for r in tokenstore.read(spark, store, last_doc=3).collect()) == [3]
+
+
+def test_store_of_an_empty_table(spark):
+    docs = spark.createDataFrame([], "doc_id long, text string, ids binary, start int")
+    store = tokenstore.write(docs, public_path(queries.WORD_BPE))
+    assert tokenstore.read(spark, store).count() == 0
+    assert tokenstore.read(spark, store, 1, 2).count() == 0
+
+
+def test_word_encoder_refuses_a_tokenizer_that_keeps_white_space():
+    with pytest.raises(ValueError, match="white space"):
+        WordEncoder(public_path(queries.BYTE_BPE))
+
+
+@given(st.lists(st.binary(min_size=1, max_size=45), max_size=40))
+@settings(deadline=None, max_examples=100)
+def test_words_merged_in_a_matrix_equal_those_merged_one_by_one(words):
+    words = [*words, b"x", b"aaaa" * 7, b" encoding", b"abc" * 30, b""]
+    assert [np.frombuffer(x, "<u4").tolist() for x in BPE.merged_all(words)] == [BPE.merged(w) for w in words]
+
+
+def test_frequent_words_are_whole_classes_from_the_top(spark):
+    counts = spark.createDataFrame([(f"w{i}", n) for i, n in enumerate([1000, 900, 50, 50, 50, 2, 2, 1])], "word string, n long")
+    kept = lambda most: sorted(r["n"] for r in lexicon.frequent_words(counts, most).collect())
+    assert kept(2) == [900, 1000]
+    assert kept(4) == [900, 1000]  # three words of one class do not fit
+    assert kept(5) == [50, 50, 50, 900, 1000]
+    assert len(kept(100)) == 8 and kept(0) == []
