@@ -180,6 +180,15 @@ def front_matter(text: Column | str, key: str) -> Column:
     return F.coalesce(F.trim(F.regexp_replace(F.get(own, F.lit(0)), "^[^:]*:", "")), F.lit(""))
 
 
+def front_fields(text: Column | str) -> Column:
+    """All ``key: value`` lines of the head between the first two rules, as a map; of equal keys the first counts."""
+    head = F.regexp_extract(text, r"(?s)\A---\n(.*?)\n---(?:\n|\z)", 1)
+    rows = F.filter(F.split(head, "\n"), lambda x: F.rlike(x, F.lit(r"^\s*[^:\s][^:]*:")))
+    pairs = F.transform(rows, lambda x: F.struct(F.trim(F.regexp_extract(x, "^([^:]*):", 1)).alias("k"), F.trim(F.regexp_extract(x, "^[^:]*:(.*)$", 1)).alias("v")))
+    first = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, F.lit(1), i), lambda q: q.k == p.k))
+    return F.map_from_entries(first)
+
+
 def body(text: Column | str) -> Column:
     return F.regexp_replace(text, r"(?s)\A---\n.*?\n---\n+", "")
 

@@ -133,7 +133,8 @@ def contained(docs: DataFrame, passages: DataFrame, head: int = 4, most: int = H
     lengths = sorted(r["k"] for r in wanted.select("k").distinct().collect())  # at most ``head`` numbers
     words = docs.select("doc_id", even("text").alias("even")).withColumn("w", F.split("even", " "))
     sequence = lambda k: F.when(F.size("w") >= k, F.sequence(F.lit(1), F.size("w") - (k - 1))).otherwise(F.array().cast("array<int>"))
-    heads = F.flatten(F.array(*[F.transform(sequence(k), lambda i, k=k: F.concat_ws(" ", F.slice("w", i, F.lit(k)))) for k in lengths or [head]]))
+    starts = lambda k: F.transform(sequence(k), lambda i: F.concat_ws(" ", F.slice("w", i, F.lit(k))))
+    heads = F.flatten(F.array(*[starts(k) for k in lengths or [head]]))
     found = words.select("doc_id", "even", F.explode(F.array_distinct(heads)).alias("head"))
     few = wanted.select("head").distinct().limit(most + 1).count() <= most
     grouped = wanted.groupBy("head").agg(F.collect_list(F.struct("item_id", "passage")).alias("p")) if few else None

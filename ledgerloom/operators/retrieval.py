@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -15,8 +16,9 @@ def keyword_search(docs: DataFrame, query: str, top: int = 3, min_score: int = 2
     """
     words = tx.terms(query)
     rows = docs.select(name, "text", (tx.term_score("text", words) if words else F.lit(0).cast("long")).alias("score"))
-    best = rows.where(F.col("score") >= max(min_score, 1)).orderBy(F.desc("score"), name).limit(top)
-    return best.select(name, "score", (tx.snippet("text", words) if words else F.lit("")).alias("snippet"))
+    # Texts are cut to their snippets before they are ranked, so no whole text travels.
+    rows = rows.where(F.col("score") >= max(min_score, 1)).select(name, "score", (tx.snippet("text", words) if words else F.lit("")).alias("snippet"))
+    return rows.orderBy(F.desc("score"), name).limit(top)
 
 
 def context_block(hits: DataFrame, title: str = "doc_id") -> DataFrame:
@@ -70,3 +72,44 @@ def search_or_keyword(vectors: DataFrame | None, docs: DataFrame, query: str, qu
     if vectors is None or query_vector is None:
         return keyword_search(docs, query, top).select(F.col("doc_id").alias("id"), F.col("score").cast("double").alias("score"))
     return vector_search(vectors, query_vector, top).select(F.col("vec_id").alias("id"), "score")
+
+
+#: What goes before a query, not before a passage, when it is embedded.
+QUERY_PREFIX = "为这个句子生成表示以用于检索相关文章："
+QUERY_PREFIX_EN = "Represent this sentence for searching relevant passages:"
+
+
+def has_chinese(text: Column | str) -> Column:
+    return F.coalesce(F.rlike(text, F.lit("[一-鿿]")), F.lit(False))
+
+
+def query_text(query: Column | str) -> Column:
+    """A query as it is embedded: behind the instruction in its language."""
+    return F.concat(F.when(has_chinese(query), QUERY_PREFIX).otherwise(QUERY_PREFIX_EN), query)
+
+
+def mean_pooled(tokens: Column | str, mask: Column | str) -> Column:
+    """The mean of the token vectors that the mask keeps, at unit length; zeros if it keeps none."""
+    tokens = F.col(tokens) if isinstance(tokens, str) else tokens
+    kept = F.transform(F.filter(F.arrays_zip(tokens.alias("v"), (F.col(mask) if isinstance(mask, str) else mask).alias("m")), lambda x: x.m > 0), lambda x: x.v)
+    size = F.size(F.get(tokens, F.lit(0)))
+    zeros = F.transform(F.sequence(F.lit(1), size), lambda _: F.lit(0.0))
+    total = F.aggregate(kept, zeros, lambda a, v: F.zip_with(a, v, lambda x, y: x + y.cast("double")))
+    mean = F.transform(total, lambda x: x / F.greatest(F.size(kept).cast("double"), F.lit(1e-9)))
+    norm = F.greatest(F.sqrt(dot(mean, mean)), F.lit(1e-9))
+    return F.transform(mean, lambda x: x / norm)
+
+
+def cli_search(docs: DataFrame, query: str, top: int = 5, name: str = "doc_id") -> DataFrame:
+    """(name, score) of the best documents with any term; of equals the greater name comes first."""
+    words = tx.terms(query)
+    rows = docs.select(name, (tx.term_score("text", words) if words else F.lit(0).cast("long")).alias("score"))
+    return rows.where("score > 0").orderBy(F.desc("score"), F.desc(name)).limit(top)
+
+
+def compared(vectors: DataFrame, docs: DataFrame, query: str, query_vector: list[float], top: int = 5) -> DataFrame:
+    """(way, place, id, score): what vectors and what keywords find for one query, side by side."""
+    by_vector = vector_search(vectors, query_vector, top).select(F.lit("semantic").alias("way"), F.col("vec_id").alias("id"), F.col("score").cast("double").alias("score"))
+    by_word = keyword_search(docs, query, top).select(F.lit("keyword").alias("way"), F.col("doc_id").alias("id"), F.col("score").cast("double").alias("score"))
+    order = W.partitionBy("way").orderBy(F.desc("score"), "id")  # at most ``top`` rows a way
+    return by_vector.union(by_word).select("way", F.row_number().over(order).alias("place"), "id", "score")

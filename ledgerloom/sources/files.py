@@ -37,11 +37,16 @@ def read_events(spark: SparkSession, path: str | list[str], project_id: str | No
 
 
 def read_corpus(spark: SparkSession, path: str) -> DataFrame:
-    """(path, title, topic, source, text, body) of all Markdown files below a folder."""
-    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.md")
+    """(path, title, topic, source, fields, text, body) of all Markdown files below a folder, in the order of their paths.
+
+    A file that cannot be read is skipped and stops nothing.
+    """
+    files = spark.read.option("ignoreCorruptFiles", True).text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.md")
     rows = files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    # Every field of the head, the first value of each; the common ones as columns of their own.
+    rows = rows.withColumn("fields", tx.front_fields("text"))
     fields = [tx.front_matter("text", k).alias(k) for k in ("title", "topic", "source")]
-    return rows.select("path", *fields, "text", tx.body("text").alias("body"))
+    return rows.select("path", *fields, "fields", "text", tx.body("text").alias("body")).orderBy("path")
 
 
 def read_letters(spark: SparkSession, path: str) -> DataFrame:
@@ -119,7 +124,9 @@ def materials(files: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in keep], *more], names=[*keep, "text", "note"])
 
     schema = ", ".join([*[f"`{n}` {t}" for n, t in rows.dtypes if n != "content"], "text string, note string"])
-    return rows.mapInArrow(run, schema).withColumn("text_len", F.length("text"))
+    done = rows.withColumn("material_id", F.substring(F.sha2("content", 256), 1, 16)) if "material_id" not in rows.columns else rows
+    schema = ", ".join([*[f"`{n}` {t}" for n, t in done.dtypes if n != "content"], "text string, note string"])
+    return done.mapInArrow(run, schema).withColumn("text_len", F.length("text"))
 
 
 def read_materials(spark: SparkSession, path: str) -> DataFrame:
@@ -148,3 +155,63 @@ def markdown_tables(docs: DataFrame) -> DataFrame:
     numbered = numbered.withColumn("table_no", F.dense_rank().over(W.partitionBy("doc_id").orderBy("island")))
     cells = F.transform(F.split(F.regexp_replace("line", r"^\||\|$", ""), r"\|"), lambda c: F.trim(c))
     return numbered.where(~F.col("line").rlike(r"^\|[\s:|-]+$")).select("doc_id", "table_no", "row_no", cells.alias("cells"))
+
+
+def read_ledgers(spark: SparkSession, paths: list[str], agent: str | None = None) -> DataFrame:
+    """JSON lines of several folders with the file each comes from; of one agent only if one is named."""
+    rows = spark.read.option("mode", "DROPMALFORMED").option("recursiveFileLookup", True).json(paths).select("*", F.col("_metadata.file_path").alias("path"))
+    return rows.where(F.col("agent") == agent) if agent else rows
+
+
+def read_clauses(spark: SparkSession, path: str, taxes: list[str] | None = None, events: list[str] | None = None) -> DataFrame:
+    """(batch, kind, bucket, line_no, line) of clause lines in ``batch/kind/bucket.md`` files below a folder.
+
+    Folders that begin with a point or an underscore are left out. ``taxes`` and ``events`` restrict
+    the buckets; which files are read is known from their paths.
+    """
+    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.md").withColumn("p", F.split("_metadata.file_path", "/"))
+    at = lambda k: F.url_decode(F.element_at("p", -k))
+    rows = files.select(at(3).alias("batch"), at(2).alias("kind"), F.regexp_replace(at(1), r"\.md$", "").alias("bucket"), "value")
+    rows = rows.where(~F.col("batch").rlike("^[._]") & ~F.col("kind").rlike("^[._]"))
+    if taxes is not None or events is not None:
+        rows = rows.where(F.col("bucket").isin([*(taxes or []), *(events or [])]))
+    lines = rows.select("batch", "kind", "bucket", F.posexplode(F.split("value", r"\r?\n")).alias("line_no", "line"))
+    return lines.where(F.startswith("line", F.lit("- ")))
+
+
+def clauses_to_judge(clauses: DataFrame, least: int = 12) -> DataFrame:
+    """Clauses with a unit, and those without that are long enough to say something."""
+    return clauses.where((F.coalesce("unit", F.lit("")) != "") | (F.length("text") >= least))
+
+
+def dump_clauses(clauses: DataFrame, path: str) -> None:
+    """``clauses_to_judge`` as JSON lines."""
+    clauses_to_judge(clauses).write.mode("overwrite").json(path)
+
+
+def write_vectors(vectors: DataFrame, path: str) -> None:
+    """A table of vectors, written whole, with a folder for each language."""
+    vectors.write.mode("overwrite").partitionBy("lang").parquet(path)
+
+
+def read_vectors(spark: SparkSession, path: str, lang: str | None = None, skip_broken: bool = True) -> DataFrame:
+    """Vectors of one language, or of all; only that language's files are read. Broken files are skipped."""
+    rows = spark.read.option("ignoreCorruptFiles", skip_broken).parquet(path)
+    return rows.where(F.col("lang") == lang) if lang else rows
+
+
+#: Characters that a file name cannot have, and the fields that a published shard may have.
+BAD_NAME = r'[/\\:*?"<>|\s]+'
+PUBLIC_FIELDS = ["file", "title", "type", "topic", "snippet"]
+
+
+def file_name(title, cut: int = 80):
+    """A title as the name of a file."""
+    return F.substring(F.regexp_replace(F.regexp_replace(title, BAD_NAME, "_"), "^_+|_+$", ""), 1, cut)
+
+
+def check_public(shard: DataFrame, allowed: list[str] = PUBLIC_FIELDS) -> DataFrame:
+    """The shard itself; a field beside those that may be published stops it."""
+    if extra := sorted(set(shard.schema["meta"].dataType.names) - set(allowed)):
+        raise ValueError(f"fields that must not be published: {extra}")
+    return shard
