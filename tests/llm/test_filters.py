@@ -76,10 +76,8 @@ def slow_line_dedup(rows: list[tuple]) -> dict[tuple, str | None]:
         if len(tokens) >= linededup.GENERAL_TOKENS:
             leaves[len(tokens), tokens[: linededup.DEPTH]][tokens].add(doc)
     for leaf, kinds in leaves.items():
-        rest = dict(kinds) if len(kinds) > 1 else {}
-        for k in range(linededup.ROUNDS):
-            if not rest:
-                break
+        rest, k = (dict(kinds) if len(kinds) > 1 else {}), 0
+        while rest:  # no limit of rounds
             mode = []
             for pos in range(leaf[0]):
                 votes = Counter()
@@ -87,8 +85,15 @@ def slow_line_dedup(rows: list[tuple]) -> dict[tuple, str | None]:
                     votes[tokens[pos]] += len(where)
                 mode.append(max(votes, key=lambda t: (votes[t], t.encode())))
             near = {t for t in rest if sum(a == b for a, b in zip(t, mode)) >= linededup.SIMILARITY * len(t)}
+            if not near:
+                break
             found |= {t: (leaf, k) for t in near}
-            rest = {t: w for t, w in rest.items() if t not in near}
+            rest, k = {t: w for t, w in rest.items() if t not in near}, k + 1
+        groups = [{t} for t in rest]  # what the votes leave: linked if any two agree enough
+        for t in rest:
+            linked = [g for g in groups if any(sum(a == b for a, b in zip(t, u)) >= linededup.SIMILARITY * len(t) for u in g)]
+            groups = [g for g in groups if g not in linked] + [set().union(*linked)]
+        found |= {t: (leaf, "alike", min(g)) for g in groups if len(g) > 1 for t in g}
     where = defaultdict(list)
     for doc, k, tokens in lines:
         where[found.get(tokens, tokens)].append((doc, k))
