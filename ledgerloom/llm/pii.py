@@ -3,6 +3,10 @@
 Validated numbers and dates are replaced by a keyed Feistel permutation within their format: a
 payment card stays a card with a right check digit, a date stays a date, and equal values get
 equal pseudonyms in every document. Mail addresses become a keyed tag, secrets a fixed one.
+
+The key is the session's ``spark.ledgerloom.pseudonymKey``. Where that is unset, each application
+draws a key of its own and forgets it at its end: values stay linked within the application, and
+nobody can undo them.
 """
 
 from __future__ import annotations
@@ -10,21 +14,43 @@ from __future__ import annotations
 import datetime as dt
 import hashlib
 import hmac
+import ipaddress
 import re
+import secrets
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import with_text, without
 
 KINDS = ["email", "secret", "card", "phone", "ssn", "iban", "ip", "date"]
-DEMO_KEY = b"replace this key in production"
+KEY_SETTING = "spark.ledgerloom.pseudonymKey"
+_OWN_KEY = secrets.token_bytes(32)
 ROUNDS = 8
+#: Names of the months, in order, in the languages that are looked for.
+MONTHS = [
+    "January February March April May June July August September October November December".split(),
+    "Jan Feb Mar Apr May Jun Jul Aug Sep Oct Nov Dec".split(),
+    "Januar Februar März April Mai Juni Juli August September Oktober November Dezember".split(),
+    "enero febrero marzo abril mayo junio julio agosto septiembre octubre noviembre diciembre".split(),
+    "janvier février mars avril mai juin juillet août septembre octobre novembre décembre".split(),
+]
 _DAY0, _DAYS = dt.date(1900, 1, 1).toordinal(), dt.date(2100, 1, 1).toordinal() - dt.date(1900, 1, 1).toordinal()
 
 
+#: Years written with two digits are those of this century's window.
+_SHORT0 = dt.date(1950, 1, 1).toordinal()
+_SHORT = dt.date(2050, 1, 1).toordinal() - _SHORT0
+
+
+def key_of(spark: SparkSession) -> bytes:
+    """The session's key, else the application's own."""
+    given = spark.conf.get(KEY_SETTING, None)
+    return given.encode() if given else _OWN_KEY
+
+
 def feistel(value: int, size: int, key: bytes, tweak: str) -> int:
     """A keyed permutation of range(size): a balanced network over a slightly larger square, walked until inside."""
     if not 0 <= value < size:
@@ -125,10 +151,17 @@ def _date(m: re.Match, key: bytes) -> str | None:
     try:
         if len(a) == 4:
             order, day = "ymd", dt.date(int(a), int(b), int(c))
-        elif sep == "/" and int(a) <= 12:
-            order, day = "mdy", dt.date(int(c), int(a), int(b))
         else:
-            order, day = "dmy", dt.date(int(c), int(b), int(a))
+            if short := len(c) < 3:  # two digits of a year: between slashes only, as versions and sections have points
+                if sep != "/" or len(c) != 2:
+                    return None
+            year = int(c) + (1900 if int(c) >= 50 else 2000) if short else int(c)
+            order, day = ("mdy", dt.date(year, int(a), int(b))) if sep == "/" and int(a) <= 12 else ("dmy", dt.date(year, int(b), int(a)))
+            if short:
+                new = dt.date.fromordinal(_SHORT0 + feistel(day.toordinal() - _SHORT0, _SHORT, key, "short date"))
+                width = 2 if min(len(a), len(b)) > 1 else 1
+                part = {"y": f"{new.year % 100:02d}", "m": f"{new.month:0{width}d}", "d": f"{new.day:0{width}d}"}
+                return sep.join(part[x] for x in order)
     except ValueError:
         return None
     if not 0 <= (n := day.toordinal() - _DAY0) < _DAYS:
@@ -139,6 +172,43 @@ def _date(m: re.Match, key: bytes) -> str | None:
     return sep.join(part[x] for x in order)
 
 
+def _named_date(m: re.Match, key: bytes) -> str | None:
+    """A date with the name of its month keeps order, language and what stands between."""
+    name = m["month"]
+    table = next(t for t in MONTHS if name.lower() in [x.lower() for x in t])
+    try:
+        day = dt.date(int(m["year"]), [x.lower() for x in table].index(name.lower()) + 1, int(m["day"]))
+    except ValueError:
+        return None
+    if not 0 <= (n := day.toordinal() - _DAY0) < _DAYS:
+        return None
+    new = dt.date.fromordinal(_DAY0 + feistel(n, _DAYS, key, "date"))
+    month = table[new.month - 1]
+    month = month.upper() if name.isupper() else month.lower() if name.islower() else month[0].upper() + month[1:]
+    parts = sorted([(m.span("day"), str(new.day)), (m.span("month"), month), (m.span("year"), str(new.year))])
+    out, at = [], m.start()
+    for (a, b), value in parts:
+        out += [m.string[at:a], value]
+        at = b
+    return "".join([*out, m.string[at : m.end()]])
+
+
+def _ip6(m: re.Match, key: bytes) -> str | None:
+    if sum(map(bool, m[0].split(":"))) < 3:  # a::b may be anything
+        return None
+    try:
+        value = int(ipaddress.IPv6Address(m[0]))
+    except ValueError:
+        return None
+    return str(ipaddress.IPv6Address(feistel(value, 2**128, key, "ip6"))) if value > 1 else None
+
+
+def _labelled_phone(m: re.Match, key: bytes) -> str:
+    digits = _only_digits(m["national"])
+    ok = lambda d: d[0] not in "01"
+    return m[0][: m.start("national") - m.start()] + _refill(m["national"], _digits(digits, key, "phone", ok if ok(digits) else lambda d: True))
+
+
 def _email(m: re.Match, key: bytes) -> str:
     return f"[EMAIL-{hmac.digest(key, m[0].lower().encode(), hashlib.sha256).hex()[:12]}]"
 
@@ -148,11 +218,23 @@ def _secret(m: re.Match, key: bytes) -> str:
 
 
 _has_digit = re.compile("[0-9]").search
+_MONTH = "(?P<month>" + "|".join(sorted({x for t in MONTHS for x in t}, key=lambda x: (-len(x), x))) + ")"
+_has_month = re.compile(r"(?i)" + "|".join(sorted({x[:3].lower() for t in MONTHS for x in t}))).search
 
 #: kind, a test that is cheap on a whole text, pattern, replacement or None if not valid. Earlier kinds win.
 FINDERS: list[tuple[str, Callable[[str], bool], re.Pattern, Callable]] = [
     ("email", lambda t: "@" in t, re.compile(r"(?<![\w.%+-])[\w.%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}"), _email),
     ("secret", lambda t: "AKIA" in t or "ASIA" in t, re.compile(r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])"), _secret),
+    (
+        "secret",
+        lambda t: "_" in t or "-" in t or "eyJ" in t,
+        re.compile(
+            r"(?<![A-Za-z0-9_-])(?:gh[pousr]_[A-Za-z0-9]{20,}|github_pat_[A-Za-z0-9_]{20,}|glpat-[A-Za-z0-9_-]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk-[A-Za-z0-9_-]{20,}"
+            r"|eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]*)"
+        ),
+        _secret,
+    ),
+    ("secret", lambda t: "earer" in t, re.compile(r"(?<![A-Za-z])[Bb]earer (?P<value>(?=[A-Za-z._~+/-]*[0-9])[A-Za-z0-9._~+/-]{16,}=*)"), _secret),
     ("secret", lambda t: "-----BEGIN" in t, re.compile(r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----[\s\S]*?(?:-----END [A-Z ]{0,40}PRIVATE KEY-----|\Z)"), _secret),
     (
         "secret",
@@ -166,6 +248,19 @@ FINDERS: list[tuple[str, Callable[[str], bool], re.Pattern, Callable]] = [
     ),
     ("iban", _has_digit, re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"), _iban),
     ("ip", _has_digit, re.compile(r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])"), _ip),
+    ("ip", lambda t: "::" in t or t.count(":") > 6, re.compile(r"(?<![0-9A-Za-z:.])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?![0-9A-Za-z:.])"), _ip6),
+    (
+        "date",
+        lambda t: _has_digit(t) and _has_month(t),
+        re.compile(rf"(?i)(?<![0-9A-Za-z.,/-])(?P<day>[0-9]{{1,2}})(?:\.|st|nd|rd|th|er|º)?(?: de | of | ){_MONTH}(?:\.|,)?(?: de | del | )(?P<year>[0-9]{{4}})(?![0-9A-Za-z])"),
+        _named_date,
+    ),
+    (
+        "date",
+        lambda t: _has_digit(t) and _has_month(t),
+        re.compile(rf"(?i)(?<![A-Za-z]){_MONTH}\.? (?P<day>[0-9]{{1,2}})(?:st|nd|rd|th)?,? (?P<year>[0-9]{{4}})(?![0-9A-Za-z])"),
+        _named_date,
+    ),
     ("date", _has_digit, re.compile(r"(?<![0-9/.-])([0-9]{4}|[0-9]{1,2})([-/.])([0-9]{1,2})(\2)([0-9]{1,2}(?![0-9])|[0-9]{4})(?![0-9]|[/.-][0-9])"), _date),
     ("ssn", lambda t: "-" in t, re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"), _ssn),
     ("card", _has_digit, re.compile(r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5})(?![0-9])"), _card),
@@ -175,6 +270,12 @@ FINDERS: list[tuple[str, Callable[[str], bool], re.Pattern, Callable]] = [
         re.compile(r"(?<![0-9A-Za-z])(?P<prefix>\+[0-9]{1,3}[ .-]?|(?:1[ .-])?)(?P<national>\([0-9]{3}\) ?[0-9]{3}[ .-]?[0-9]{4}|[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4})(?![0-9])"),
         _phone,
     ),
+    (
+        "phone",
+        _has_digit,
+        re.compile(r"(?i)(?<![A-Za-z])(?:phone|tel|telephone|mobile|cell|fax|call|telefon|teléfono|téléphone)(?:\.|:| no\.?| number| at| me at){0,2}:? ?(?P<national>[2-9][0-9]{9}|[2-9][0-9]{2}[ .-][0-9]{4})(?![0-9]|[.-][0-9])"),
+        _labelled_phone,
+    ),
     ("phone", lambda t: "+" in t, re.compile(r"(?<![0-9A-Za-z])(?P<prefix>\+[0-9]{1,3}[ .-]?)(?P<national>(?:\(?[0-9]{1,4}\)?[ .-]?){1,4}[0-9]{2,4})(?![0-9])"), _phone),
 ]
 def spans(text: str, key: bytes) -> list[tuple[int, int, str, str]]:
@@ -197,7 +298,7 @@ def spans(text: str, key: bytes) -> list[tuple[int, int, str, str]]:
     return sorted(found)
 
 
-def pseudonymize_text(text: str | None, key: bytes = DEMO_KEY) -> tuple[str | None, dict[str, int]]:
+def pseudonymize_text(text: str | None, key: bytes = _OWN_KEY) -> tuple[str | None, dict[str, int]]:
     """The text with pseudonyms, and how many of each kind; null stays null."""
     counts = dict.fromkeys(KINDS, 0)
     if text is None:
@@ -210,12 +311,15 @@ def pseudonymize_text(text: str | None, key: bytes = DEMO_KEY) -> tuple[str | No
     return ("".join([*out, text[at:]]) if at else text), counts
 
 
-def pseudonymize(docs: DataFrame, key: bytes = DEMO_KEY, counts: bool = True) -> DataFrame:
+def pseudonymize(docs: DataFrame, key: bytes | None = None, counts: bool = True) -> DataFrame:
     """``docs`` with pseudonyms in ``text``; with ``counts`` also n_<kind> for each kind found.
 
-    Every row is treated by itself, so order, ties and repeated rows do not matter. Other columns
-    pass through; the counts take the place of columns with their names. An empty table stays so.
+    Every row is treated by itself, so order, ties and repeated rows do not matter. Null texts stay
+    null, with counts of 0, and empty ones empty. Of findings that overlap the earlier kind in FINDERS
+    counts. Other columns pass through; the counts take the place of columns with their names. An
+    empty table stays so. Without ``key`` that of the session is taken (``key_of``).
     """
+    key = key_of(docs.sparkSession) if key is None else key
     names = [f"n_{k}" for k in KINDS] if counts else []
     docs = without(docs, *names)
 
@@ -230,7 +334,7 @@ def pseudonymize(docs: DataFrame, key: bytes = DEMO_KEY, counts: bool = True) ->
     return docs.mapInArrow(run, schema)
 
 
-def pseudonymize_all(docs: DataFrame, key: bytes = DEMO_KEY) -> DataFrame:
+def pseudonymize_all(docs: DataFrame, key: bytes | None = None) -> DataFrame:
     """``docs`` with its own columns, pseudonyms in ``text``, and ``n_chars``, where there is one, in step."""
     kept = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
     return pseudonymize(kept, key, counts=False).select(*[with_text(c) for c in docs.columns])
