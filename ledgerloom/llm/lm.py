@@ -1,15 +1,19 @@
 """A log-bilinear language model, trained by noise-contrastive estimation in numpy.
 
-Words are mapped to a small set of symbols: the end of a text, the most frequent words, and
-buckets of all other words by their ending. The vectors of the two symbols before, each through a
-matrix of its own, add up to a prediction whose product with each symbol's vector is its score.
-A word's probability is that of its symbol, normalised over all symbols, times its smoothed
-share within the symbol, for which the counts of all distinct words are used.
-
-All the model needs from the corpus are counts: of words, and of symbols with the two before.
-Spark takes both over every training document. The second table has at most
-(symbols + 1)**2 * symbols rows however large the corpus is; with it the driver optimises the
-exact expectation of the noise-contrastive objective, so no sampling of noise or data remains.
+A token's probability has three parts. The first is that of its class: the end of a text, one of the
+most frequent words, or the bucket of all other words with its ending. The vectors of the two classes
+before, each through a matrix of its own, add up to a prediction whose product with each class's
+vector is its score. The second part is that of the word within its bucket, by the vector of the
+word before: words from LEAST_COUNT occurrences on, at most OWN_WORDS, have vectors of their own
+there, and all others of the bucket share one. The third, for those, is a word's smoothed share,
+for which the counts of all distinct words are used. Each part is normalised by products of whole
+matrices, so the probabilities of all words add up to one.
+
+All the model needs from the corpus are counts: of words, of classes with the two before, and of
+words with the one before. Spark takes all three over every training document. With the second, at
+most (classes + 1)**2 * classes rows however large the corpus is, the driver optimises the exact
+expectation of the noise-contrastive objective. The third stays in Spark: each bucket is trained by
+a task of its own against sampled noise.
 """
 
 from __future__ import annotations
@@ -28,6 +32,11 @@ from .common import LOWER_ASCII, materialize, without
 
 FOLDS, HELD_OUT = 7, 2
 TOP_WORDS, BUCKETS, DIMENSIONS, NOISE, STEPS = 79, 48, 24, 16, 200
+#: Words with a vector within their bucket: from so many occurrences on, and at most so many, as every
+#: task holds a table of their square.
+LEAST_COUNT, OWN_WORDS = 20, 3000
+#: Sizes of the model within a bucket; noise is drawn PAIR_DRAWS times; PRIOR holds the vectors of rare words back.
+PAIR_DIMENSIONS, PAIR_NOISE, PAIR_STEPS, PAIR_DRAWS, PRIOR = 16, 8, 40, 8, 3.0
 #: Words whose counts every task holds; rarer ones are looked up by a join. Bounds what is broadcast.
 DICTIONARY = 1 << 17
 COUNTER_WORDS = 500_000
@@ -62,14 +71,25 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 class Symbols:
-    """From words to symbols: 0 is the end, then the frequent words, then the buckets."""
+    """Words to numbers, and numbers to classes.
 
-    def __init__(self, frequent: list[bytes], buckets: int = BUCKETS):
-        self.number = {END: 0} | {w: i for i, w in enumerate(frequent, 1)}
-        self.first, self.buckets = len(frequent) + 1, buckets
-        self.size = self.first + buckets
+    Number 0 is the end, then come the words with a vector, then what is left of each bucket. The end
+    and the ``single`` first words are classes of their own; all others are in that of their bucket.
+    """
+
+    def __init__(self, own: list[bytes], single: int = TOP_WORDS, buckets: int = BUCKETS):
+        self.number = {END: 0} | {w: i for i, w in enumerate(own, 1)}
+        self.first, self.buckets = len(own) + 1, buckets
+        self.words = self.first + buckets
+        self.single = min(single, len(own)) + 1
+        self.size = self.single + buckets
+        in_bucket = [self.single + bucket_of(w, buckets) for w in own[self.single - 1 :]]
+        self.class_of = np.array([*range(self.single), *in_bucket, *range(self.single, self.size)], np.int64)
         self.cache: dict[bytes, int] = {}
 
+    def members(self, bucket: int) -> np.ndarray:
+        return np.flatnonzero(self.class_of == self.single + bucket)
+
     def of(self, words: list[bytes]) -> np.ndarray:
         get, cache = self.number.get, self.cache
         if len(cache) > 500_000:
@@ -81,36 +101,121 @@ class Symbols:
             out.append(s)
         return np.array(out, np.int64)
 
-    def codes(self, symbols: np.ndarray) -> np.ndarray:
-        """Each symbol with the two before it as one number; before the text stands symbol ``size``."""
-        base = self.size + 1
-        one = np.concatenate(([self.size], symbols[:-1]))
+    def codes(self, numbers: np.ndarray) -> np.ndarray:
+        """Each class with the two before it as one number; before the text stands class ``size``."""
+        base, classes = self.size + 1, self.class_of[numbers]
+        one = np.concatenate(([self.size], classes[:-1]))
         two = np.concatenate(([self.size], one[:-1]))
-        return (two * base + one) * self.size + symbols
+        return (two * base + one) * self.size + classes
+
+    def pairs(self, numbers: np.ndarray) -> np.ndarray:
+        """Each word with the one before it as one number; before the text stands word ``words``."""
+        return np.concatenate(([self.words], numbers[:-1])) * self.words + numbers
 
 
 def context_counts(docs: DataFrame, symbols: Symbols) -> DataFrame:
-    """(code, n) over all texts, counted within tasks before the shuffle."""
+    """(bucket, code, n) over all texts, counted within tasks before the shuffle.
+
+    Bucket -1 has the codes of classes; the others have the pairs whose second word is in them.
+    """
     size = (symbols.size + 1) ** 2 * symbols.size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, held, pending = np.zeros(size, np.int64), 0, []
+        seen, waiting = [(np.zeros(0, np.int64), np.zeros(0, np.int64))], []
+
+        def gather() -> None:
+            """Fold what is pending into the totals."""
+            nonlocal held, pending, seen, waiting
+            total[:] += np.bincount(np.concatenate(pending), minlength=size)
+            seen.append(np.unique(np.concatenate(waiting), return_counts=True))
+            held, pending, waiting = 0, [], []
+            if len(seen) > 8:
+                seen = [merged(seen)]
+
         for batch in batches:
             for text in batch.column("text").to_pylist():
-                codes = symbols.codes(symbols.of([*words_of(text), END]))
-                pending.append(codes)
-                held += len(codes)
+                numbers = symbols.of([*words_of(text), END])
+                pending.append(symbols.codes(numbers))
+                waiting.append(symbols.pairs(numbers)[symbols.class_of[numbers] >= symbols.single])
+                held += len(numbers)
                 if held > size:
-                    total += np.bincount(np.concatenate(pending), minlength=size)
-                    held, pending = 0, []
+                    gather()
         if pending:
-            total += np.bincount(np.concatenate(pending), minlength=size)
+            gather()
         some = np.flatnonzero(total)
-        for at in range(0, len(some), 100_000):
-            part = some[at : at + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(total[part])], names=["code", "n"])
+        pairs, n = merged(seen)
+        bucket = np.concatenate((np.full(len(some), -1), symbols.class_of[pairs % symbols.words] - symbols.single)).astype(np.int32)
+        code, n = np.concatenate((some, pairs)), np.concatenate((total[some], n))
+        for at in range(0, len(code), 100_000):
+            part = slice(at, at + 100_000)
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[part]), pa.array(code[part]), pa.array(n[part])], names=["bucket", "code", "n"])
+
+    return docs.select("text").mapInArrow(run, "bucket int, code long, n long").groupBy("bucket", "code").agg(F.sum("n").alias("n"))
+
+
+def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of codes, each code once."""
+    codes, place = np.unique(np.concatenate([c for c, _ in parts]), return_inverse=True)
+    return codes, np.bincount(place, np.concatenate([n for _, n in parts]), len(codes)).astype(np.int64)
 
-    return docs.select("text").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+
+def train_pairs(counts: np.ndarray, seed: int, dims: int = PAIR_DIMENSIONS, noise: int = PAIR_NOISE, steps: int = PAIR_STEPS, rate: float = 0.1, prior: float = PRIOR) -> np.ndarray:
+    """Normalised log10 probabilities of a bucket's words (columns) after each word (rows).
+
+    Noise is drawn anew every few steps: for each word before, ``noise`` times as many words as were
+    seen after it, by their shares. Words before that were never seen get the shares themselves.
+    """
+    rng = np.random.default_rng(seed)
+    m = counts.shape[1]
+    rows = np.flatnonzero(counts.sum(1))
+    n = counts[rows].astype(np.float32)
+    share = (n.sum(0) + 1) / (n.sum() + m)
+    expected = (noise * n.sum(1, keepdims=True) * share).astype(np.float32)
+    base = np.log(noise * share).astype(np.float32)
+    p = {"R": np.zeros((len(rows), dims)), "Q": rng.normal(0, 0.3, (m, dims)), "b": np.log(share)}
+    p = {k: v.astype(np.float32) for k, v in p.items()}
+    mean, square = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
+    for step in range(1, steps + 1):
+        if (step - 1) % max(1, steps // PAIR_DRAWS) == 0:
+            drawn = rng.poisson(expected).astype(np.float32)
+        real = 1 / (1 + np.exp(np.clip(base - p["R"] @ p["Q"].T - p["b"], -60, 60)))  # that it is data, not noise
+        pull = n * (1 - real) - drawn * real
+        grads = {"R": pull @ p["Q"] - prior * p["R"], "Q": pull.T @ p["R"] - prior * p["Q"], "b": pull.sum(0)}
+        for k, g in grads.items():
+            mean[k] = 0.9 * mean[k] + 0.1 * g
+            square[k] = 0.99 * square[k] + 0.01 * g * g
+            p[k] += rate * (mean[k] / (1 - 0.9**step)) / (np.sqrt(square[k] / (1 - 0.99**step)) + 1e-8)
+    score = np.broadcast_to(np.log(share), counts.shape).astype(np.float32)
+    score[rows] = p["R"] @ p["Q"].T + p["b"]
+    score -= score.max(1, keepdims=True)
+    return ((score - np.log(np.exp(score).sum(1, keepdims=True))) / np.log(10)).astype(np.float32)
+
+
+def pair_tables(counted: DataFrame, symbols: Symbols) -> np.ndarray:
+    """(words + 1) x words log10 probabilities of each word within its bucket, 0 for classes of their own.
+
+    One task trains one bucket, out of at most (words + 1) * members rows; the driver receives the
+    tables, which are as large whatever the corpus is.
+    """
+    rows = symbols.words + 1
+
+    def fit_bucket(table: pa.Table) -> pa.Table:
+        bucket = table.column("bucket")[0].as_py()
+        members = symbols.members(bucket)
+        code = table.column("code").to_numpy()
+        counts = np.zeros((rows, len(members)), np.int64)
+        counts[code // symbols.words, np.searchsorted(members, code % symbols.words)] = table.column("n").to_numpy()
+        return pa.table({"bucket": pa.array([bucket], pa.int32()), "logs": pa.array([train_pairs(counts, bucket).tobytes()], pa.binary())})
+
+    out = np.zeros((rows, symbols.words), np.float32)
+    for b in range(symbols.buckets):  # where nothing was seen, all are alike
+        out[:, symbols.members(b)] = -np.log10(len(symbols.members(b)))
+    found = counted.where("bucket >= 0").groupBy("bucket").applyInArrow(fit_bucket, "bucket int, logs binary").toArrow()
+    for bucket, logs in zip(found["bucket"].to_pylist(), found["logs"].to_pylist()):
+        members = symbols.members(bucket)
+        out[:, members] = np.frombuffer(logs, np.float32).reshape(rows, len(members))
+    return out
 
 
 def train(counts: np.ndarray, dims: int = DIMENSIONS, noise: int = NOISE, steps: int = STEPS, rate: float = 0.05) -> np.ndarray:
@@ -165,8 +270,9 @@ def train(counts: np.ndarray, dims: int = DIMENSIONS, noise: int = NOISE, steps:
 @dataclass
 class Model:
     symbols: Symbols
-    table: np.ndarray  # log10 probabilities by code
-    within: np.ndarray  # log10 of each symbol's denominator, 0 for those of one word
+    table: np.ndarray  # log10 probabilities of classes by code
+    pairs: np.ndarray  # log10 probabilities of words within their buckets, by the word before
+    within: np.ndarray  # log10 of the denominator of what is left of a bucket, by number; 0 for words with a vector
     counts: DataFrame  # (word, n), all distinct training words
     dictionary: dict[bytes, int]  # the counts of the most frequent
     tokens: int
@@ -181,19 +287,20 @@ def fit(docs: DataFrame) -> Model:
     tokens, distinct, ends = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.coalesce(F.sum(at_end), F.lit(0))).first()
     frequent = counts.where(F.octet_length("word") > 0).orderBy(F.desc("n"), "word").limit(DICTIONARY).toArrow()
     top = list(zip(frequent["word"].to_pylist(), frequent["n"].to_pylist()))
-    symbols = Symbols([w for w, _ in top[:TOP_WORDS]])
+    symbols = Symbols([w for k, (w, n) in enumerate(top[:OWN_WORDS]) if k < TOP_WORDS or n >= LEAST_COUNT])
     bucket = F.crc32(F.substring("word", -2, 2)) % BUCKETS
-    single = F.col("word").isin([bytearray(w) for w in symbols.number])
-    sums = counts.where(~single).groupBy(bucket.alias("b")).agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()
-    within = np.zeros(symbols.size)
+    own = docs.sparkSession.createDataFrame([(bytearray(w),) for w in symbols.number], "word binary")  # at most OWN_WORDS + 1
+    sums = counts.join(F.broadcast(own), "word", "left_anti").groupBy(bucket.alias("b")).agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()
+    within = np.zeros(symbols.words)
     for r in sums:
         within[symbols.first + r["b"]] = np.log10(r["n"] + r["v"] + 1)
     size = symbols.size
+    counted = materialize(context_counts(docs, symbols), "contexts")
     grid = np.zeros((size + 1) ** 2 * size, np.int64)
-    found = context_counts(docs, symbols).toArrow()  # columns of numbers, no object for each row
+    found = counted.where("bucket < 0").select("code", "n").toArrow()  # columns of numbers, no object for each row
     grid[found["code"].to_numpy()] = found["n"].to_numpy()
     table = train(grid.reshape(size + 1, size + 1, size)).reshape(-1)
-    return Model(symbols, table, within, counts, dict(top), int(tokens), int(distinct), int(ends))
+    return Model(symbols, table, pair_tables(counted, symbols), within, counts, dict(top), int(tokens), int(distinct), int(ends))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -206,17 +313,18 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """
     docs = without(docs, "n_tokens", "n_known", "base_score", "score")
     rest = [(n, t) for n, t in docs.dtypes if n != "text"]
-    symbols, table, within = model.symbols, model.table, model.within
+    symbols, within = model.symbols, model.within
     logs = docs.sparkSession.sparkContext.broadcast({w: float(np.log10(n + 1)) for w, n in model.dictionary.items()})
-    tables = docs.sparkSession.sparkContext.broadcast(table)
+    tables = docs.sparkSession.sparkContext.broadcast((model.table, model.pairs.reshape(-1)))
     ends = float(np.log10(model.ends + 1))
-    total, single = float(np.log10(model.tokens + model.distinct + 1)), symbols.first
+    total, first = float(np.log10(model.tokens + model.distinct + 1)), symbols.first
     know_end = int(model.ends > 0)
 
     def one(text: str | None) -> tuple:
         words = words_of(text)
         s = symbols.of([*words, END])
-        lm = float(tables.value[symbols.codes(s)].sum(dtype=np.float64)) - float(within[s].sum())
+        classes, pairs = tables.value
+        lm = float(classes[symbols.codes(s)].sum(dtype=np.float64) + pairs[symbols.pairs(s)].sum(dtype=np.float64) - within[s].sum())
         get, known, base, inside, rare = logs.value.get, know_end, ends, 0.0, Counter()
         for w, k in zip(words, s.tolist()):
             if (x := get(w)) is None:
@@ -224,7 +332,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             else:
                 known += 1
                 base += x
-                if k >= single:
+                if k >= first:
                     inside += x
         return len(s), known, base - len(s) * total, lm + inside, [{"word": w, "tf": n} for w, n in rare.items()]
 
