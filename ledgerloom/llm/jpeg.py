@@ -1,7 +1,8 @@
 """Progressive JPEG in numpy: coefficients to scans, scans to coefficients, coefficients to RGB.
 
 The decoder reads progressive files with Huffman coding, any spectral selection and successive
-approximation, restart intervals, and one or three components with any sampling factors. Every
+approximation, restart intervals, and one or three components whose sampling factors divide the
+largest. Whatever else it is given, it says so in a ValueError. Every
 scan adds its part to the components' coefficient arrays; then all blocks are transformed back at
 once, chroma is brought to full resolution, and the colours are converted.
 
@@ -23,6 +24,8 @@ _COS = np.array([[np.cos((2 * x + 1) * u * np.pi / 16) * (np.sqrt(0.125) if u ==
 #: From zigzag coefficients of a block to its 64 samples.
 _INVERSE = np.einsum("ux,vy->uvxy", _COS, _COS).reshape(64, 64)[_ZIGZAG].astype(np.float32)
 _MAX_RUN = 0x7FFF
+#: Pixels of a file, at most: what a header asks for is bound before it is made.
+MOST_PIXELS = 1 << 26
 
 
 # ---------------------------------------------------------------- writing
@@ -300,9 +303,13 @@ def _order(c: Component, alone: bool, units_wide: int, units_high: int) -> np.nd
 
 def _read_scan(image: Image, body: bytes, data: list[bytes], tables: dict, restart: int) -> None:
     n = body[0]
+    if len(body) != 4 + 2 * n:
+        raise ValueError("a scan header of another length")
     parts = [(next(c for c in image.components if c.number == body[1 + 2 * i]), body[2 + 2 * i]) for i in range(n)]
     first, last, approx = body[1 + 2 * n : 4 + 2 * n]
     high, low = approx >> 4, approx & 15
+    if not (first <= last < 64 and low < 14 and (first == 0) == (last == 0) and (first == 0 or n == 1) and high in (0, low + 1)):
+        raise ValueError("no progressive scan")
     h = max(c.h for c in image.components)
     v = max(c.v for c in image.components)
     wide, tall = -(-image.width // (8 * h)), -(-image.height // (8 * v))
@@ -339,13 +346,44 @@ def _read_scan(image: Image, body: bytes, data: list[bytes], tables: dict, resta
             c.coefficients[places(orders[0], 1)] = blocks
 
 
+def _frame(body: bytes, size: int) -> Image:
+    """The image that a frame header describes, still empty; ``size`` is that of the whole file."""
+    depth, high, wide, n = struct.unpack(">BHHB", body[:6])
+    if depth != 8 or not high or not wide or n not in (1, 3) or len(body) != 6 + 3 * n:
+        raise ValueError("a frame of another kind")
+    parts = [Component(body[6 + 3 * i], body[7 + 3 * i] >> 4, body[7 + 3 * i] & 15, body[8 + 3 * i]) for i in range(n)]
+    if any(not 1 <= x <= 4 for c in parts for x in (c.h, c.v)):
+        raise ValueError("sampling factors out of range")
+    h, v = max(c.h for c in parts), max(c.v for c in parts)
+    if any(h % c.h or v % c.v for c in parts):
+        raise ValueError("sampling factors that do not divide the largest")
+    for c in parts:
+        c.wide, c.high = -(-wide // (8 * h)) * c.h, -(-high // (8 * v)) * c.v
+        c.own_wide, c.own_high = -(-(-(-wide * c.h // h)) // 8), -(-(-(-high * c.v // v)) // 8)
+    # Each block takes a bit of the first scan at least, so a small file cannot hold a large image.
+    if wide * high > MOST_PIXELS or sum(c.wide * c.high for c in parts) > 8 * size:
+        raise ValueError("a frame too large for its file")
+    for c in parts:
+        c.coefficients = np.zeros((c.wide * c.high, 64), np.int16)
+    return Image(wide, high, parts, {}, [])
+
+
 def read(media: bytes) -> Image:
-    """Parse a progressive file and accumulate its scans."""
+    """Parse a progressive file and accumulate its scans; a ValueError says what a file lacks."""
+    try:
+        return _read(media)
+    except (struct.error, IndexError, KeyError, StopIteration, OverflowError, FloatingPointError) as e:
+        raise ValueError(f"malformed file: {type(e).__name__} {e}".rstrip()) from e
+
+
+def _read(media: bytes) -> Image:
     if media[:2] != b"\xff\xd8":
         raise ValueError("not a JPEG file")
     at, image, quants, tables, restart, comments = 2, None, {}, {}, 0, []
     while at < len(media) and media[at + 1] != 0xD9:
         marker, length = media[at + 1], int.from_bytes(media[at + 2 : at + 4], "big")
+        if media[at] != 0xFF or length < 2 or at + 2 + length > len(media):
+            raise ValueError("no segment where one should be")
         body, at = media[at + 4 : at + 2 + length], at + 2 + length
         if marker == 0xFE:
             comments.append(body)
@@ -362,17 +400,15 @@ def read(media: bytes) -> Image:
                 tables[body[0]] = _lookup(body[1:17], body[17 : 17 + m])
                 body = body[17 + m :]
         elif marker == 0xC2:
-            _, high, wide, n = struct.unpack(">BHHB", body[:6])
-            parts = [Component(body[6 + 3 * i], body[7 + 3 * i] >> 4, body[7 + 3 * i] & 15, body[8 + 3 * i]) for i in range(n)]
-            h, v = max(c.h for c in parts), max(c.v for c in parts)
-            for c in parts:
-                c.wide, c.high = -(-wide // (8 * h)) * c.h, -(-high // (8 * v)) * c.v
-                c.own_wide, c.own_high = -(-(-(-wide * c.h // h)) // 8), -(-(-(-high * c.v // v)) // 8)
-                c.coefficients = np.zeros((c.wide * c.high, 64), np.int16)
-            image = Image(wide, high, parts, quants, comments)
+            if image is not None:
+                raise ValueError("a second frame")
+            image = _frame(body, len(media))
+            image.quants, image.comments = quants, comments
         elif marker in (0xC0, 0xC1):
             raise ValueError("not a progressive file")
         elif marker == 0xDA:
+            if image is None:
+                raise ValueError("a scan before the frame")
             end, data = at, []
             while True:
                 end = media.index(b"\xff", end)
@@ -388,12 +424,16 @@ def read(media: bytes) -> Image:
             _read_scan(image, body, data, tables, restart)
     if image is None:
         raise ValueError("no frame")
+    if at >= len(media):
+        raise ValueError("no end of the file")
+    if any(c.quant not in quants for c in image.components):
+        raise ValueError("a component without a table")
     return image
 
 
 def payload(image: Image) -> bytes:
     """The bytes that ``encode`` has put into the coefficients."""
-    size = next(int(c[8:]) for c in image.comments if c.startswith(b"payload "))
+    size = int(next(c for c in image.comments if c.startswith(b"payload "))[8:])
     values = np.concatenate([c.coefficients for c in image.components])
     values[:, 1:] += 255 * (values[:, 1:] < 0)
     return values.astype(np.uint8).tobytes()[:size]

@@ -25,8 +25,8 @@ def padded(text: str | None) -> tuple[int, bytes]:
 def to_media(docs: DataFrame) -> DataFrame:
     """``docs`` with ``n_bytes`` and ``media``, a progressive JPEG that holds the whole text, in place of ``text``.
 
-    Equal texts give equal files. Other columns pass through; the new ones take the place of
-    columns with their names.
+    Equal texts give equal files. Null and empty texts give a file of 64 zero bytes. Other columns
+    pass through; the new ones take the place of columns with their names. An empty table stays so.
     """
     docs = without(docs, "n_bytes", "media")
     rest = [(n, t) for n, t in docs.dtypes if n != "text"]
@@ -55,7 +55,7 @@ def tensors(stored: DataFrame, rgb: bool = True) -> DataFrame:
 
     height, width, rgb (row by row, three bytes a pixel; left out unless asked for), feature,
     error; and of files made by ``to_media`` payload_bytes, payload_sha256 and tail_crc32. A
-    file that cannot be read, or null, gives nulls and says why in ``error``.
+    file that cannot be read, or null, gives nulls and says why in ``error``; one bad file stops nothing.
     """
     names = ["height", "width", *(["rgb"] if rgb else []), "feature", "payload_bytes", "payload_sha256", "tail_crc32", "error"]
     stored = without(stored, *names)
@@ -67,11 +67,11 @@ def tensors(stored: DataFrame, rgb: bool = True) -> DataFrame:
                 raise ValueError("null")
             image = jpeg.read(media)
             tensor = jpeg.rgb(image)
-        except (ValueError, IndexError, KeyError, StopIteration) as e:
+            data = jpeg.payload(image) if any(c.startswith(b"payload ") for c in image.comments) else None
+        except ValueError as e:
             return {"error": str(e) or type(e).__name__}
         out = {"height": tensor.shape[0], "width": tensor.shape[1], "feature": feature(tensor)} | ({"rgb": tensor.tobytes()} if rgb else {})
-        if any(c.startswith(b"payload ") for c in image.comments):
-            data = jpeg.payload(image)
+        if data is not None:
             out |= {"payload_bytes": len(data), "payload_sha256": hashlib.sha256(data).hexdigest(), "tail_crc32": zlib.crc32(data[-BLOCK:])}
         return out
 

@@ -225,3 +225,54 @@ def test_bad_files_and_odd_rows(spark):
     assert all(len(r["rgb"]) == 3 * r["height"] * r["width"] and r["error"] is None for r in good)
     assert sorted(r["payload_bytes"] for r in good) == [64, 64, 35008, 35008]
     assert media.tensors(stored.limit(0)).count() == 0
+
+
+def test_a_malformed_file_is_an_error_and_nothing_worse():
+    """Cut anywhere, and with one to four bytes changed: a file is read or refused with a ValueError."""
+    rng = np.random.default_rng(5)
+    whole = jpeg.encode(bytes(range(256)) * 2)
+    refused = 0
+    cases = [whole[:n] for n in range(0, len(whole), 3)]
+    for _ in range(1500):
+        data = bytearray(whole)
+        for at in rng.integers(0, len(data), rng.integers(1, 5)):
+            data[at] = rng.integers(256)
+        cases.append(bytes(data))
+    for data in cases:
+        try:
+            image = jpeg.read(data)
+            jpeg.rgb(image)
+            if any(c.startswith(b"payload ") for c in image.comments):
+                jpeg.payload(image)
+        except ValueError:
+            refused += 1
+    assert len(whole) // 3 - 1 < refused < len(cases)
+
+
+@pytest.mark.parametrize(
+    "at, new, why",
+    [(0, bytes([8, 255, 255, 255, 255]), "too large"), (7, b"\x00", "range"), (10, b"\x33", "divide"), (5, b"\x02", "another kind"), (0, b"\x0c", "another kind")],
+)
+def test_headers_are_checked_before_anything_is_made(at, new, why):
+    whole = jpeg.encode(bytes(64))
+    start = whole.index(b"\xff\xc2") + 4 + at
+    with pytest.raises(ValueError, match=why):
+        jpeg.read(whole[:start] + new + whole[start + len(new) :])
+
+
+def test_bad_files_stop_no_task(spark):
+    whole = jpeg.encode(bytes(64))
+    rows = [(0, bytearray(whole)), (1, bytearray(whole[:88])), (2, None), (3, bytearray(b"")), (4, bytearray(whole[:2] + b"\xff\xda\x00\x08\x01\x01\x00\x00\x00\x01" + whole[2:]))]
+    frame = spark.createDataFrame(rows, "doc_id int, media binary")
+    got = {r["doc_id"]: r for r in media.tensors(frame).collect()}
+    assert got[0]["error"] is None and len(got[0]["rgb"]) == 3 * got[0]["height"] * got[0]["width"]
+    assert all(got[k]["error"] and got[k]["rgb"] is None for k in range(1, 5))
+    assert media.tensors(frame.limit(0)).count() == 0
+
+
+def test_media_of_null_empty_and_equal_texts(spark):
+    docs = spark.createDataFrame([(1, None, 7), (2, "", 7), (3, "é" * 100, 7), (4, "é" * 100, 7)], "doc_id int, text string, media int")
+    got = {r["doc_id"]: r for r in media.tensors(media.to_media(docs), rgb=False).collect()}
+    assert got[1]["payload_sha256"] == got[2]["payload_sha256"] and got[1]["payload_bytes"] == 64 and got[1]["n_bytes"] == 0
+    assert got[3]["media"] == got[4]["media"] and got[3]["n_bytes"] == 200 and got[3]["payload_bytes"] == 256
+    assert media.to_media(docs.limit(0)).count() == 0
