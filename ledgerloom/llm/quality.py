@@ -139,7 +139,7 @@ def judge(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     measured = materialize(measures(docs), "measures")
     voted = measured.select("*", *_votes())
     names = [f"v_{name}" for name, _, _ in RULES]
-    patterns = materialize(voted.groupBy(*names).agg(F.count("*").alias("n")).coalesce(1), "patterns")
+    patterns = materialize(voted.groupBy(*names).agg(F.count("*").alias("n")).repartition(1), "patterns")
     model = fit(patterns)
     return voted.select(
         "*", _posterior(model).alias("posterior"), F.expr(BASE_FAILED).alias("base_failed")
