@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -13,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: ASCII upper case to lower case, for bytes.translate.
 LOWER_ASCII = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+#: Folders that ``materialize`` has written, in order, and that are still there.
+_WRITTEN: list[str] = []
 #: Word pattern of the contracts, in Java and Python syntax alike.
 WORD_GAP = r"[\x20\x09-\x0D]+"
 
@@ -25,13 +28,15 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    It is ``spark.checkpoint.dir`` of the session. Only where that is unset (tests on one
-    machine) a temporary folder is made and set.
+    It is ``spark.checkpoint.dir`` of the session. Only where that is unset and everything runs on
+    one machine a temporary folder is made and set; on a cluster that is an error.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         path = spark.sparkContext.getCheckpointDir()
     if not path:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="ledgerloom-")
         spark.sparkContext.setCheckpointDir(path)
     return path
@@ -45,6 +50,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -74,6 +80,27 @@ def text_or_empty(col: str = "text") -> Column:
     return F.coalesce(F.col(col), F.lit(""))
 
 
+def written() -> int:
+    """How many folders ``materialize`` has written so far; a mark for ``clean``."""
+    return len(_WRITTEN)
+
+
+def clean(spark: SparkSession, mark: int) -> None:
+    """Delete the folders written since a mark, but for the last one, on which nothing before it has a hold any more."""
+    for path in _WRITTEN[mark:-1]:
+        remove_tree(spark, path)
+    del _WRITTEN[mark:-1]
+
+
+@atexit.register
+def _clean_at_end() -> None:
+    """Nothing reads the folders once the application is over."""
+    spark = SparkSession.getActiveSession()
+    if spark is not None and spark.sparkContext._jsc is not None:
+        for path in _WRITTEN:
+            remove_tree(spark, path)
+
+
 def remove_tree(spark: SparkSession, path: str) -> None:
     """Delete a folder of the shared store, wherever it is."""
     jvm = spark.sparkContext._jvm

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import clean, materialize, written
 
 
 def _with_least(edges: DataFrame) -> DataFrame:
@@ -22,8 +22,10 @@ def stars(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root) for every node of ``edges(a, b)``; root is the least node of its component.
 
     Each round halves the longest path roughly; the result of each is written to the shared
-    folder, so lineage stays short. The rounds end when a whole round changes nothing.
+    folder, so lineage stays short, and the one before it is deleted. The rounds end when a whole
+    round changes nothing.
     """
+    start = written()
     now = materialize(
         edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges"
     )
@@ -39,6 +41,7 @@ def stars(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             .distinct()
         )
         now = materialize(small, "edges")
+        clean(edges.sparkSession, start)
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(seen) == mark:
             break

@@ -92,6 +92,15 @@ def _cells(vector: Column, blocks: int, radius: int) -> Column:
     return F.array(*cells)
 
 
+def blocks_for(n: int, cell_cap: int = CELL_CAP) -> int:
+    """Blocks so that of ``n`` random fingerprints a cell holds a quarter of ``cell_cap`` at most, on average."""
+    b = BLOCKS
+    # Two random segments have equal popcounts in 3 of 8 cases.
+    while b < 16 and n * (3 / 8) ** (32 * (b - RADIUS) // b) > cell_cap / 4:
+        b += 1
+    return b
+
+
 def links(prints: DataFrame, blocks: int = BLOCKS, cell_cap: int = CELL_CAP) -> DataFrame:
     """(a, b) so that all pairs of ``prints(fp)`` within 2 bits are connected.
 
@@ -122,17 +131,19 @@ def links(prints: DataFrame, blocks: int = BLOCKS, cell_cap: int = CELL_CAP) ->
     return pairs.union(linked).distinct()
 
 
-def components(docs: DataFrame, id_col: str = "doc_id", blocks: int = BLOCKS, cell_cap: int = CELL_CAP) -> DataFrame:
+def components(docs: DataFrame, id_col: str = "doc_id", blocks: int | None = None, cell_cap: int = CELL_CAP) -> DataFrame:
     """All columns of ``docs`` but ``text``, with ``fp`` and ``component_id``.
 
     ``component_id`` is the smallest id reachable over links, the own one included. Null and
     empty texts have fingerprint 0 and are linked like any other. Rows whose id is null belong to
     their group as well; a group without any id has the null component. Repeated rows stay. An
-    empty table gives an empty result. Columns called fp, component_id or root_fp make way.
+    empty table gives an empty result. Columns called fp, component_id or root_fp make way. The
+    number of blocks follows that of the fingerprints unless it is given.
     """
     docs = without(docs, "fp", "component_id", "root_fp")
     prints = materialize(fingerprints(docs), "prints")
     distinct = materialize(prints.groupBy("fp").agg(F.min(id_col).alias("least_id")), "distinct")
+    blocks = blocks_for(distinct.count(), cell_cap) if blocks is None else blocks
     return grouped(prints, distinct, links(distinct.select("fp"), blocks, cell_cap))
 
 
