@@ -34,6 +34,10 @@ REDACTIONS = [
 
 #: Lines that are only noise.
 NOISE_LINE = r"(?m)^[ \t]*(?:[0-9]{1,3}|初稿|终稿|讨论稿|定稿|草稿|DRAFT|Draft|FINAL|Final|目录|引言|序号|附注|注释|谢谢|感谢聆听)[ \t]*$"
+#: Scripts that only a broken font brings (Hebrew to Thaana, the Indic scripts to Ethiopic,
+#: Khmer, Coptic, Georgian, Bopomofo, Hangul), and characters that are ordinary.
+FOREIGN = "[\u0590-\u07bf\u0900-\u137f\u1780-\u17ff\u2c80-\u2cff\u2d00-\u2d2f\u3100-\u318f\uac00-\ud7af]"
+ORDINARY = "[一-鿿＀-￯0-9A-Za-z \n\t.,;:()\\[\\]{}%*\\-/+=&'\"、。，；：（）《》〈〉「」“”‘’！？…—·【】％]"
 #: A share.
 SHARE = r"([0-9]{1,3}(?:\.[0-9]+)?)\s*%"
 #: Sizes of amounts and their units.
@@ -146,9 +150,10 @@ def is_english(text: Column | str) -> Column:
 
 
 def garbled(text: Column | str, least: float = 0.6) -> Column:
-    """Too few of the characters are letters, digits, Chinese or ordinary punctuation."""
-    good = F.regexp_count(text, F.lit("[0-9A-Za-z一-鿿，。；：、！？（）《》“”‘’,.;:!?()\\s-]"))
-    return (F.length(text) > 0) & (good < least * F.length(text))
+    """Characters of a script that no such text has, or too few that are ordinary; white space at the ends is set aside."""
+    inner = F.regexp_replace(text, r"^\s+|\s+$", "")
+    few = F.regexp_count(inner, F.lit(ORDINARY)) < least * F.length(inner)
+    return (F.length(inner) > 0) & (F.rlike(inner, F.lit(FOREIGN)) | few)
 
 
 def generalize(text: Column | str) -> Column:
@@ -193,6 +198,14 @@ def body(text: Column | str) -> Column:
     return F.regexp_replace(text, r"(?s)\A---\n.*?\n---\n+", "")
 
 
+def json_or_raw(text: Column | str, schema: str) -> Column:
+    """struct(value, raw): the parsed text, or the text itself where it is no such JSON."""
+    value = F.from_json(text, schema)
+    whole = F.rlike(text, F.lit(r"(?s)^\s*[\[{].*[\]}]\s*$"))
+    kept = F.when(whole, value)
+    return F.struct(kept.alias("value"), F.when(kept.isNull(), text if isinstance(text, Column) else F.col(text)).alias("raw"))
+
+
 def json_object(text: Column | str) -> Column:
     """The outermost braces of a model's answer."""
     return F.nullif(F.regexp_extract(text, r"(?s)\{.*\}", 0), F.lit(""))

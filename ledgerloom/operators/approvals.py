@@ -44,9 +44,9 @@ def approvals(log: DataFrame) -> DataFrame:
 def votes(approvals: DataFrame) -> DataFrame:
     """``approvals`` with ``by``: the last result of each listed signer. Signatures of others do not count."""
     valid = F.filter("signatures", lambda s: F.array_contains(F.col("signers"), s.signer))
-    last_only = F.filter(
-        valid, lambda s: ~F.exists(valid, lambda t: (t.signer == s.signer) & (t.s > s.s))
-    )
+    # Sorted by signer and place, a signer's last is the one before another signer's first.
+    ordered = F.array_sort(F.transform(valid, lambda s: F.struct(s.signer.alias("signer"), s.s.alias("s"), s.result.alias("result"))))
+    last_only = F.filter(ordered, lambda s, i: ~F.coalesce(F.get(ordered, i + 1)["signer"] == s.signer, F.lit(False)))
     return approvals.withColumn("by", F.map_from_entries(F.transform(last_only, lambda s: F.struct(s.signer, s.result))))
 
 

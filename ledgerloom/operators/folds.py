@@ -60,9 +60,11 @@ def project_list(log: DataFrame, viewer: str | None = None) -> DataFrame:
     return rows if viewer is None else rows.where(F.col("owner") == viewer)
 
 
-def task_board(log: DataFrame) -> DataFrame:
+def task_board(log: DataFrame, orphans: bool = True) -> DataFrame:
     """One row for each task: title, owner, reviewer, status and whether anything was delivered.
 
+    Without ``orphans`` only tasks of a project are on it.
+
     A missing role means owner, any other than owner means reviewer; a missing status means todo.
     Without an event that creates it a task is not on the board.
     """
@@ -81,7 +83,7 @@ def task_board(log: DataFrame) -> DataFrame:
             F.bool_or(is_type("deliverable.submitted")).alias("has_deliverable"),
             F.count_if(is_type("task.state_changed")).alias("version"),
         )
-        .where("made IS NOT NULL")
+        .where("made IS NOT NULL" if orphans else "made IS NOT NULL AND project_id IS NOT NULL")
         .drop("made")
     )
 

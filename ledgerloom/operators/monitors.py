@@ -123,6 +123,13 @@ def upstream_deliverables(tasks: DataFrame, log: DataFrame, cap: int = 4000) ->
     return tasks.select("task_id", F.explode("depends_on").alias("dep")).join(latest, "dep").withColumn("file_ref", F.substring("file_ref", 1, cap))
 
 
+def latest_opinions(log: DataFrame) -> DataFrame:
+    """(task_id, opinion, verdict) of each task's last review that sent it back and says why."""
+    back = is_type("review.decided") & F.col(P + "verdict").isin("needs_changes", "reject")
+    given = log.where(back & (F.coalesce(P + "opinion", F.lit("")) != ""))
+    return given.groupBy("task_id").agg(F.max_by(P + "opinion", seq()).alias("opinion"), F.max_by(P + "verdict", seq()).alias("verdict"))
+
+
 def idempotency(log: DataFrame, content: list[str]) -> DataFrame:
     """For each key: the first event that has it, how often it came again, and whether with other content.
 

@@ -84,3 +84,8 @@ def permissions(requests: DataFrame) -> DataFrame:
     short = F.coalesce("level", F.lit(DEFAULT_NEED)) < needed
     gate = (needed >= APPROVED_FROM) & ~F.col("action").eqNullSafe(F.lit(APPROVAL))
     return requests.withColumn("needed", needed).withColumn("outcome", F.when(short, "denied").when(gate, "approval").otherwise("allowed"))
+
+
+def unregistered(templates: DataFrame, registry: DataFrame) -> DataFrame:
+    """Templates of agents that no registered agent has been made of."""
+    return templates.join(registry.select("name"), "name", "left_anti")

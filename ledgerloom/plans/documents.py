@@ -202,7 +202,14 @@ def cache_miss_anti(spark, sf_dir):
     return packs.cache_misses(rows, rows.where("doc_id % 7 <> 0"))
 
 
-@query()
+@query("""WITH RECURSIVE p AS (SELECT doc_id, [x FOR x IN [trim(y) FOR y IN regexp_split_to_array(text, '\\n\\s*\\n')] IF x <> ''] AS parts FROM documents),
+  w AS (SELECT doc_id, parts, 0 AS i, '' AS held, []::VARCHAR[] AS done FROM p UNION ALL
+    SELECT doc_id, parts, i + 1, CASE WHEN length(part) > 900 THEN held WHEN length(held) + length(part) >= 600 THEN part WHEN held = '' THEN part ELSE held || chr(10) || part END,
+      CASE WHEN length(part) > 900 THEN list_concat(done, [substring(part, CAST(k * 800 + 1 AS BIGINT), 800) FOR k IN range((length(part) - 1) // 800 + 1)])
+        WHEN length(held) + length(part) < 600 OR held = '' THEN done ELSE list_append(done, held) END
+    FROM (SELECT *, parts[i + 1] AS part FROM w) WHERE i < len(parts)),
+  c AS (SELECT doc_id, CASE WHEN held = '' THEN done ELSE list_append(done, held) END AS c FROM w WHERE i = len(parts))
+  SELECT doc_id, CAST(generate_subscripts(c, 1) - 1 AS INT) AS chunk_no, unnest(c) AS chunk FROM c""")
 def chunk_pack(spark, sf_dir):
     return chunks.chunk(_docs(spark, sf_dir))
 
@@ -265,10 +272,17 @@ def project_materials(spark, sf_dir):
     return folds.project_materials(_docs(spark, sf_dir).select(F.col("source").alias("project_id"), F.col("doc_id").alias("log_seq"), "text"))
 
 
-@query("""SELECT doc_id, len(regexp_extract_all(text, '[A-Za-z]')) > 0 AS is_english, length(text) > 0
-    AND len(regexp_extract_all(text, '[0-9A-Za-z一-鿿，。；：、！？（）《》“”‘’,.;:!?()\\s-]')) < 0.6 * length(text) AS garbled FROM documents""")
+_ORDINARY = tx.ORDINARY.replace("'", "''")
+
+
+@query(f"""WITH d AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN text || 'ඈ' WHEN 1 THEN repeat('ü', length(text) * 2) || text ELSE text END AS text FROM documents),
+  t AS (SELECT doc_id, text, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS x FROM d)
+  SELECT doc_id, len(regexp_extract_all(text, '[A-Za-z]')) > 0 AS is_english, length(x) > 0 AND (contains(x, 'ඈ') OR len(regexp_extract_all(x, '{_ORDINARY}')) < 0.6 * length(x)) AS garbled FROM t""")
 def text_checks(spark, sf_dir):
-    return _docs(spark, sf_dir).select("doc_id", tx.is_english("text").alias("is_english"), tx.garbled("text").alias("garbled"))
+    """A quarter of the texts gets a foreign character, another many that are not ordinary."""
+    d = F.col("doc_id")
+    text = F.when(d % 4 == 0, F.concat("text", F.lit("ඈ"))).when(d % 4 == 1, F.concat(F.repeat(F.lit("ü"), F.length("text") * 2), "text")).otherwise(F.col("text"))
+    return _docs(spark, sf_dir).select("doc_id", text.alias("t")).select("doc_id", tx.is_english("t").alias("is_english"), tx.garbled("t").alias("garbled"))
 
 
 @query("""WITH n AS (SELECT doc_id, len(regexp_extract_all(text, '\\b(?:the|of)\\b')) AS x, lang, source FROM documents)

@@ -24,7 +24,7 @@ from ..model import EVENT
 TEXT_KINDS = ["txt", "md", "json", "csv"]
 OFFICE_KINDS = ["docx", "pptx", "xlsx"]
 IMAGE_KINDS = ["png", "jpg", "jpeg"]
-MOST_BYTES, MOST_CHARS = 20 * 1024 * 1024, 200_000
+MOST_BYTES, MOST_CHARS, MOST_VALUES = 20 * 1024 * 1024, 200_000, 80
 
 
 def read_events(spark: SparkSession, path: str | list[str], project_id: str | None = None, task_id: str | None = None) -> DataFrame:
@@ -36,6 +36,21 @@ def read_events(spark: SparkSession, path: str | list[str], project_id: str | No
     return rows
 
 
+def read_events_jdbc(spark: SparkSession, url: str, table: str = "events", partitions: int = 16, **properties: str) -> DataFrame:
+    """A log from a database table (id, event_type ... created_at, payload as JSON text), read in ranges of ids at once.
+
+    The database is asked for the least and greatest id once; filters on plain columns go to it.
+    """
+    key = next(c for c in spark.read.jdbc(url, table, properties=properties).columns if c.lower() == "id")
+    bounds = spark.read.jdbc(url, f'(SELECT min("{key}") AS lo, max("{key}") AS hi FROM {table}) b', properties=properties).first()
+    lo, hi = (int(x) if x is not None else 0 for x in bounds)
+    rows = spark.read.jdbc(url, table, column=key, lowerBound=lo, upperBound=hi + 1, numPartitions=min(partitions, max(1, hi - lo + 1)), properties=properties)
+    rows = rows.toDF(*[c.lower() for c in rows.columns])
+    at = (F.unix_micros("created_at") / 1e6).alias("created_at_ts")
+    plain = ["event_type", "actor", "project_id", "task_id", "user_id", "idempotency_key"]
+    return rows.select(F.col("id").cast("bigint").alias("log_seq"), *plain, at, F.from_json("payload", EVENT["payload"].dataType).alias("payload"))
+
+
 def read_corpus(spark: SparkSession, path: str) -> DataFrame:
     """(path, title, topic, source, fields, text, body) of all Markdown files below a folder, in the order of their paths.
 
@@ -88,8 +103,12 @@ def office_text(kind: str, data: bytes) -> str:
             return "\n".join(x for n in parts for x in _paragraphs(z.read(n)))
         number = lambda n: int(re.sub(r"\D", "", n) or 0)
         if kind == "pptx":
-            parts = [n for n in names if re.fullmatch(r"ppt/(slides/slide|notesSlides/notesSlide)\d+\.xml", n)]
-            return "\n".join(x for n in sorted(parts, key=lambda n: (number(n), n)) for x in _paragraphs(z.read(n)))
+            parts = [n for n in names if re.fullmatch(r"ppt/(slides/slide|notesSlides/notesSlide|diagrams/data|diagrams/drawing)\d+\.xml", n)]
+            texts = [x for n in sorted(parts, key=lambda n: (number(n), n)) for x in _paragraphs(z.read(n))]
+            for n in sorted(n for n in names if re.fullmatch(r"ppt/charts/[^/]*\.xml", n)):
+                values = [e.text for e in ET.fromstring(z.read(n)).iter() if e.tag.rpartition("}")[2] == "v" and e.text]
+                texts += ["[图表数据] " + ", ".join(values[:MOST_VALUES])] if values else []
+            return "\n".join(texts)
         shared = []
         if "xl/sharedStrings.xml" in names:
             local = lambda e: e.tag.rpartition("}")[2]

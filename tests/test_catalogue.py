@@ -130,3 +130,53 @@ def test_similar_texts(spark):
     rows = [("一份文件的正文内容在这里", "一份文件的 正文内容在这里了", True), ("完全不同的甲乙丙丁", "毫无关系的子丑寅卯", False), ("", "x", False), ("ab", "ab", True)]
     df = spark.createDataFrame(rows, "a string, b string, want boolean").select(cat.similar_enough("a", "b").alias("got"), "want")
     assert all(r["got"] == r["want"] for r in df.collect())
+
+
+def test_delivery(spark, tmp_path):
+    from ledgerloom.operators import clauses, delivery
+
+    rows = [("增值税", "a/b", k, x) for k, x in enumerate(["# 题", "## 组", "- 甲〔仅适用：旧办法〕", "- 乙〔仅适用：新办法〕", ""])]
+    rows += [("增值税", "a:b", 0, "- 丙"), ("契税", "空", 0, "- 丁〔仅适用：旧办法〕")]
+    files = spark.createDataFrame(rows, "tax string, topic string, line_no int, line string")
+    repealed = spark.createDataFrame([("旧办法",)], "doc string")
+    out = delivery.deliveries(files, repealed)
+    got = {r["name"]: (r["text"], r["n_clauses"]) for r in out.collect()}
+    assert got == {
+        "a_b": ("---\ntitle: a/b\ntype: 法规\ntax: 增值税\ntopic: a/b\n---\n\n## 组\n- 乙〔仅适用：新办法〕\n", 1),
+        "a_b（2）": ("---\ntitle: a:b\ntype: 法规\ntax: 增值税\ntopic: a:b\n---\n\n- 丙\n", 1),
+    }
+    assert tuple(delivery.lost_clauses(files, repealed, out).first()) == (4, 2, 2)
+    path = str(tmp_path / "out")
+    delivery.write_delivery(out.withColumn("tax", F.lit("旧")), path)
+    delivery.write_delivery(out, path)
+    assert {r["tax"] for r in spark.read.json(path).select("tax").collect()} == {"增值税"}
+    both = clauses.union_batches([files.limit(1), files.limit(1).drop("line")])
+    assert sorted((r["batch"], r["line"]) for r in both.collect()) == [(0, "# 题"), (1, None)] or both.count() == 2
+
+
+def test_clause_files_and_sinks(spark, tmp_path):
+    from ledgerloom.sources import files
+
+    for batch, kind, name, text in [("b1", "按税种", "增值税", "# x\n- 甲\n- 乙"), ("b1", "按事件", "铁路", "- 丙"), ("_old", "按税种", "增值税", "- 旧"), (".x", "按税种", "契税", "- 隐")]:
+        folder = tmp_path / "in" / batch / kind
+        folder.mkdir(parents=True, exist_ok=True)
+        (folder / f"{name}.md").write_text(text, encoding="utf-8")
+    found = files.read_clauses(spark, str(tmp_path / "in"))
+    assert sorted(r["line"] for r in found.collect()) == sorted(["- 甲", "- 乙", "- 丙"])
+    assert [r["line"] for r in files.read_clauses(spark, str(tmp_path / "in"), taxes=[], events=["铁路"]).collect()] == ["- 丙"]
+    clauses = spark.createDataFrame([("1", "第一条", "短"), ("2", "", "太短"), ("3", None, "没有条号但是够长的一段文字")], "id string, unit string, text string")
+    files.dump_clauses(clauses, str(tmp_path / "dump"))
+    assert {r["id"] for r in spark.read.json(str(tmp_path / "dump")).collect()} == {"1", "3"}
+    vectors = spark.createDataFrame([(1, "zh"), (2, "en")], "vec_id int, lang string")
+    files.write_vectors(vectors, str(tmp_path / "vec"))
+    files.write_vectors(vectors, str(tmp_path / "vec"))
+    assert files.read_vectors(spark, str(tmp_path / "vec")).count() == 2 and files.read_vectors(spark, str(tmp_path / "vec"), "en").first()["vec_id"] == 2
+    (tmp_path / "led").mkdir()
+    (tmp_path / "led" / "a.jsonl").write_text('{"agent": "x", "n": 1}\n{"agent": "y", "n": 2}\nbroken')
+    assert files.read_ledgers(spark, [str(tmp_path / "led")], "y").first()["n"] == 2
+    shard = spark.createDataFrame([(("f", "t"),)], "meta struct<file: string, title: string>")
+    assert files.check_public(shard) is shard
+    import pytest
+
+    with pytest.raises(ValueError, match="secret"):
+        files.check_public(spark.createDataFrame([(("f", "s"),)], "meta struct<file: string, secret: string>"))

@@ -277,3 +277,44 @@ def test_spellings_are_patterns_of_java_too(spark):
     for pattern in [*masks.BOILERPLATE, metadata.NAME_NUMBER, body.ANNEX_LINE]:
         spark.createDataFrame([("x",)], "t string").select(F.regexp_replace("t", "(?dU)" + pattern, "")).collect()
         re.compile(pattern.replace(r"\z", r"\Z"))
+
+
+def test_audit_of_what_still_leaks(spark):
+    text = "type: 筹划案\n深圳星河有限公司与公司A有限公司 Bright Star Limited 和 The Group，1,200万元，a@bb.cn，经理：张三丰，顾问王五，经理：银行"
+    docs = spark.createDataFrame([(1, text), (2, "没有发现"), (3, None)], "doc_id int, text string")
+    rows = documents.audit(docs, watched=["王五"], masked=["Kept Limited"]).collect()
+    assert {r["doc_id"] for r in rows} == {1} and all(r["is_client"] for r in rows)
+    found = {}
+    for r in sorted(rows, key=lambda r: r["place"]):
+        found.setdefault(r["kind"], []).append(r["value"])
+    assert found == {"中文公司名": ["深圳星河有限公司"], "英文公司名": ["Bright Star Limited"], "精确金额": ["1,200万元"], "邮箱": ["a@bb.cn"], "人名": ["王五"], "可能人名": ["张三丰"]}
+
+
+def test_json_or_raw(spark):
+    from ledgerloom.functions import text as tx
+
+    rows = spark.createDataFrame([('{"a": 1}',), ("plain",), (None,), ("{broken",)], "t string").select(tx.json_or_raw("t", "a int").alias("x")).collect()
+    assert [(r["x"]["value"] and r["x"]["value"]["a"], r["x"]["raw"]) for r in rows] == [(1, None), (None, "plain"), (None, None), (None, "{broken")]
+
+
+def test_whole_table_against_plain_python(spark, tiny):
+    """The queries that SQL cannot say, row by row in plain Python over the whole table."""
+    from ledgerloom.functions import text as tx
+    from ledgerloom.plans import QUERIES
+
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{tiny}/documents.parquet").collect()}
+
+    def cleaned(t):
+        t = re.sub(r"([A-Za-z]{4,})\1", r"\1", t)
+        for pattern, by in tx.REDACTIONS:
+            t = re.sub(pattern, by.replace("$1", r"\1"), t, flags=re.ASCII)
+        t = re.sub(tx.NOISE_LINE, "", t)
+        t = re.sub("[ \t]{2,}", " ", re.sub(r"\n{3,}", "\n\n", t))
+        lines = t.split("\n")
+        short = [x.strip(" ") for x in lines if x.strip(" ") and len(x.strip(" ")) <= 80]
+        often = {x for x in short if short.count(x) >= 5}
+        return "\n".join("" if x.strip(" ") in often else x for x in lines)
+
+    doubled = {r["doc_id"]: r["text"] for r in QUERIES["doubled_word_collapse"](spark, tiny).collect()}
+    assert doubled == {d: re.sub(r"([A-Za-z]{4,})\1", r"\1", t) for d, t in texts.items()}
+    assert {r["doc_id"]: r["text"] for r in QUERIES["clean_documents"](spark, tiny).collect()} == {d: cleaned(t) for d, t in texts.items()}

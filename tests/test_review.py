@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ledgerloom.model import events_frame
 from ledgerloom.operators import folds, monitors, review, teams
 from ledgerloom.operators.running import with_previous
@@ -131,3 +133,80 @@ def test_an_owner_stays_when_a_project_is_created_anew(spark):
     log = events_frame(spark, [ev("project.created", None, user="u", title="A", goal="g"), ev("project.created", None, title="B")])
     row = folds.project_list(log).first()
     assert (row["title"], row["owner"], row["goal"]) == ("B", "u", "g")
+
+
+def test_notifications_reach_owners_and_signers(spark):
+    rows = [
+        ev("project.created", None, user="u", title="P"), ev("task.state_changed", at=1, to="blocked"), ev("review.decided", at=2, verdict="pass"),
+        ev("approval.requested", "x", 3, "other", approval_id="a", scope="s", signers=["Ann", "Bob"]), ev("approval.requested", "x", 4, "other", approval_id="b", scope="alone"),
+        ev("approval.signers_set", "x", 5, "other", approval_id="a", signers=["Ann", "Cy"]), ev("approval.signed", "x", 6, "other", approval_id="a", signer="Ann", result="reject"),
+        ev("approval.decided", "x", 7, "other", approval_id="a", result="approve"), ev("agent.execution_failed", at=8), ev("agent.heartbeat", at=9),
+    ]
+    log = events_frame(spark, rows)
+    told = lambda viewer, name=None: [r["summary"] for r in folds.notifications(log, viewer, name).collect()]
+    assert told("u") == ["", "复核结论: pass", "任务状态 → blocked"]
+    ann = ["审批: 已批准", "会签：Ann 已驳回", "会签人已设置（2 人）：Ann、Cy", "会签请求（2 人）：s"]
+    assert told("nobody", "Ann") == ann and told("nobody", "Bob") == [] and told("u", "Cy") == ["", *ann, "复核结论: pass", "任务状态 → blocked"]
+    assert "审批请求：alone" in told(None) and len(told(None)) == 8
+
+
+def test_a_log_in_a_database(spark, tmp_path):
+    import datetime as dt
+
+    from ledgerloom.sources import files
+
+    url = f"jdbc:derby:{tmp_path}/db;create=true"
+    rows = [(k, "task.created", "a", "p", f"t{k}", "u", f"k{k}", dt.datetime(2024, 1, 1, 0, 0, k), '{"title": "T%d"}' % k) for k in range(1, 41)]
+    schema = "id long, event_type string, actor string, project_id string, task_id string, user_id string, idempotency_key string, created_at timestamp, payload string"
+    spark.createDataFrame(rows, schema).write.option("createTableColumnTypes", ", ".join(f"{c.split()[0]} VARCHAR(500)" for c in schema.split(", ") if c.endswith("string"))).jdbc(url, "events", properties={"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"})
+    log = files.read_events_jdbc(spark, url, partitions=4, driver="org.apache.derby.iapi.jdbc.AutoloadedDriver")
+    assert log.rdd.getNumPartitions() == 4 and log.count() == 40
+    assert folds.task_board(log).where("task_id = 't7'").first()["title"] == "T7"
+    assert review.find_key(log, "k9").first()["created_at_ts"] == dt.datetime(2024, 1, 1, 0, 0, 9, tzinfo=dt.UTC).timestamp()
+
+
+def test_workers_keep_their_own_state(spark, tmp_path):
+    import json
+    import os
+
+    from ledgerloom.streaming import ingest, workers
+
+    class Counter(workers.Worker):
+        emits, keeps = "task_id string, n long, last string", "n long"
+
+        def start(self):
+            return (0,)
+
+        def process(self, task_id, events, state):
+            n = state[0] + len(events)
+            return [(task_id, n, events.event_type.iloc[-1])], (n,)
+
+    folder = tmp_path / "in"
+    folder.mkdir()
+    for k, kinds in enumerate([["task.created", "agent.heartbeat"], ["agent.heartbeat"], []]):
+        path = folder / f"{k}.json"
+        path.write_text("\n".join(json.dumps({"log_seq": 10 * k + i, "event_type": e, "task_id": "t"}) for i, e in enumerate(kinds)) + json.dumps({"log_seq": 99 + k, "event_type": "goal.parsed"}).join("\n\n"))
+        os.utime(path, (1_700_000_000 + 10 * k,) * 2)
+    out = workers.run(ingest.read_log(spark, str(folder), 1), Counter())
+    query = out.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start(str(tmp_path / "out"))
+    query.awaitTermination(120)
+    assert sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [("t", 2, "agent.heartbeat"), ("t", 3, "agent.heartbeat")]
+
+
+def test_orphans_opinions_and_templates(spark):
+    log = events_frame(spark, [ev("task.created", "a", title="A"), ev("task.created", "b", project=None, title="B"), ev("review.decided", "a", opinion="first", verdict="reject"), ev("review.decided", "a", opinion="", verdict="pass")])
+    assert folds.task_board(log).count() == 2 and [r["task_id"] for r in folds.task_board(log, orphans=False).collect()] == ["a"]
+    assert [tuple(r) for r in monitors.latest_opinions(log).collect()] == [("a", "first", "reject")]
+    names = lambda *xs: spark.createDataFrame([(x,) for x in xs], "name string")
+    assert [r["name"] for r in teams.unregistered(names("x", "y"), names("x")).collect()] == ["y"]
+
+
+def test_language_routes(spark):
+    from ledgerloom.operators import retrieval
+
+    vectors = spark.createDataFrame([(1, [1.0, 0.0], "en"), (2, [0.9, 0.1], "zh")], "vec_id int, embedding array<float>, lang string")
+    ids = lambda **k: [r["vec_id"] for r in retrieval.routed_search(vectors, [1.0, 0.0], F.col("lang"), **k).collect()]
+    assert ids(english_query=True, has_reranker=False) == [1] and ids(english_query=True, has_reranker=True) == [1, 2]
+    assert ids(english_query=False, has_reranker=True) == [2] and ids(english_query=False, has_reranker=False) == [2]
+    pooled = spark.createDataFrame([([[3.0, 0.0], [0.0, 4.0], [9.0, 9.0]], [1, 1, 0]), ([[1.0, 1.0]], [0])], "t array<array<float>>, m array<int>").select(retrieval.mean_pooled("t", "m").alias("v")).collect()
+    assert [round(x, 6) for x in pooled[0]["v"]] == [0.6, 0.8] and pooled[1]["v"] == [0.0, 0.0]
