@@ -33,7 +33,7 @@ def one(df):
 
 def board(spark):
     return log(
-        spark, ev("project.created", None, user="u", title="P", goal="G"), ev("task.created", title="T", description="D"), ev("agent.assigned", agent="lobster"),
+        spark, ev("project.created", None, user="u", title="P", goal="G"), ev("task.created", title="T", description="D"), ev("agent.assigned", agent="heron"),
         ev("agent.assigned", agent="owl", role="qa"), ev("task.state_changed", to="in_progress"), ev("deliverable.submitted", file_ref="a.md"),
     )
 
@@ -42,7 +42,7 @@ def test_board_is_a_fold_of_the_log_in_any_order(spark):
     events = board(spark)
     for frame in (events, events.orderBy(F.desc("log_seq")).repartition(5), events.union(events)):
         r = one(folds.task_board(frame))
-        assert (r["title"], r["owner"], r["reviewer"], r["status"], r["has_deliverable"]) == ("T", "lobster", "owl", "in_progress", True)
+        assert (r["title"], r["owner"], r["reviewer"], r["status"], r["has_deliverable"]) == ("T", "heron", "owl", "in_progress", True)
     assert one(folds.task_context(events))["deliverables"] == ["a.md"]
     assert one(folds.project_list(events, "u"))["status"] == "active" and folds.project_list(events, "v").count() == 0
     assert one(folds.project_list(events))["title"] == "P"
