@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_ASCII, materialize, without
+from .common import LOWER_ASCII, materialize, small, without
 
 FOLDS, HELD_OUT = 7, 2
 TOP_WORDS, BUCKETS, DIMENSIONS, NOISE, STEPS = 79, 48, 24, 16, 200
@@ -39,7 +39,9 @@ LEAST_COUNT, OWN_WORDS = 20, 3000
 PAIR_DIMENSIONS, PAIR_NOISE, PAIR_STEPS, PAIR_DRAWS, PRIOR = 16, 8, 40, 8, 3.0
 #: Words whose counts every task holds; rarer ones are looked up by a join. Bounds what is broadcast.
 DICTIONARY = 1 << 17
-COUNTER_WORDS = 500_000
+COUNTER_WORDS = 200_000
+#: Tokens whose pairs a task holds, and words whose buckets it keeps.
+GATHER, CACHE_WORDS = 500_000, 150_000
 #: Stands for the end of a text; no word is empty.
 END = b""
 
@@ -92,7 +94,7 @@ class Symbols:
 
     def of(self, words: list[bytes]) -> np.ndarray:
         get, cache = self.number.get, self.cache
-        if len(cache) > 500_000:
+        if len(cache) > CACHE_WORDS:
             cache.clear()
         out = []
         for w in words:
@@ -120,44 +122,36 @@ def context_counts(docs: DataFrame, symbols: Symbols) -> DataFrame:
     """
     size = (symbols.size + 1) ** 2 * symbols.size
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, held, pending = np.zeros(size, np.int64), 0, []
-        seen, waiting = [(np.zeros(0, np.int64), np.zeros(0, np.int64))], []
-
-        def gather() -> None:
-            """Fold what is pending into the totals."""
-            nonlocal held, pending, seen, waiting
-            total[:] += np.bincount(np.concatenate(pending), minlength=size)
-            seen.append(np.unique(np.concatenate(waiting), return_counts=True))
-            held, pending, waiting = 0, [], []
-            if len(seen) > 8:
-                seen = [merged(seen)]
-
-        for batch in batches:
-            for text in batch.column("text").to_pylist():
-                numbers = symbols.of([*words_of(text), END])
-                pending.append(symbols.codes(numbers))
-                waiting.append(symbols.pairs(numbers)[symbols.class_of[numbers] >= symbols.single])
-                held += len(numbers)
-                if held > size:
-                    gather()
-        if pending:
-            gather()
-        some = np.flatnonzero(total)
-        pairs, n = merged(seen)
-        bucket = np.concatenate((np.full(len(some), -1), symbols.class_of[pairs % symbols.words] - symbols.single)).astype(np.int32)
-        code, n = np.concatenate((some, pairs)), np.concatenate((total[some], n))
+    def rows(bucket: np.ndarray, code: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
         for at in range(0, len(code), 100_000):
             part = slice(at, at + 100_000)
-            yield pa.RecordBatch.from_arrays([pa.array(bucket[part]), pa.array(code[part]), pa.array(n[part])], names=["bucket", "code", "n"])
-
-    return docs.select("text").mapInArrow(run, "bucket int, code long, n long").groupBy("bucket", "code").agg(F.sum("n").alias("n"))
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[part].astype(np.int32)), pa.array(code[part]), pa.array(n[part])], names=["bucket", "code", "n"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, held, numbers = np.zeros(size, np.int64), 0, []
+
+        def gathered() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """Add the classes of what is held to the total; its pairs, each once, with their numbers.
+
+            Pairs go on at once, as Spark adds equal ones up before its shuffle, so a task holds few.
+            """
+            total[:] += np.bincount(np.concatenate([symbols.codes(x) for x in numbers]), minlength=size)
+            pairs, n = np.unique(np.concatenate([symbols.pairs(x)[symbols.class_of[x] >= symbols.single] for x in numbers]), return_counts=True)
+            return symbols.class_of[pairs % symbols.words] - symbols.single, pairs, n
+
+        for part in small(batches):
+            for text in part.column("text").to_pylist():
+                numbers.append(symbols.of([*words_of(text), END]))
+                held += len(numbers[-1])
+                if held > GATHER:
+                    yield from rows(*gathered())
+                    held, numbers = 0, []
+        if numbers:
+            yield from rows(*gathered())
+        some = np.flatnonzero(total)
+        yield from rows(np.full(len(some), -1), some, total[some])
 
-def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """Counts of codes, each code once."""
-    codes, place = np.unique(np.concatenate([c for c, _ in parts]), return_inverse=True)
-    return codes, np.bincount(place, np.concatenate([n for _, n in parts]), len(codes)).astype(np.int64)
+    return docs.select("text").mapInArrow(run, "bucket int, code long, n long").groupBy("bucket", "code").agg(F.sum("n").alias("n"))
 
 
 def train_pairs(counts: np.ndarray, seed: int, dims: int = PAIR_DIMENSIONS, noise: int = PAIR_NOISE, steps: int = PAIR_STEPS, rate: float = 0.1, prior: float = PRIOR) -> np.ndarray:

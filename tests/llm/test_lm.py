@@ -76,3 +76,48 @@ def test_edges(spark, monkeypatch, dictionary):
     assert lm.score(frame.limit(0), model).count() == 0
     nothing = lm.fit(frame.limit(0))
     assert all(np.isfinite(r["score"]) for r in lm.score(frame, nothing).collect())
+
+
+def test_scores_equal_a_plain_sum_over_tokens(spark, tiny, monkeypatch):
+    """Token by token from the model's tables, with the shares of rare words counted anew."""
+    monkeypatch.setattr(lm, "LEAST_COUNT", 5)
+    docs = spark.read.parquet(f"{tiny}/documents.parquet").select("doc_id", "text")
+    model = lm.fit(docs.where("doc_id % 3 > 0"))
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    counts = Counter()
+    for d, t in texts.items():
+        if d % 3:
+            counts.update(w.encode() for w in slow_words(t))
+    sy = model.symbols
+    assert sy.first > 200 and len(sy.class_of) == sy.words == sy.first + lm.BUCKETS
+    left = Counter()
+    for w, n in counts.items():
+        if w not in sy.number:
+            left[lm.bucket_of(w)] += n + 1
+    for d, t in texts.items():
+        two = one = sy.size
+        before, total = sy.words, 0.0
+        for w in [*(x.encode() for x in slow_words(t)), b""]:
+            own = sy.number.get(w)
+            number = sy.first + lm.bucket_of(w) if own is None else own
+            c = int(sy.class_of[number])
+            total += float(model.table[(two * (sy.size + 1) + one) * sy.size + c]) + float(model.pairs[before, number])
+            if own is None:
+                total += math.log10((counts[w] + 1) / (left[lm.bucket_of(w)] + 1))
+            two, one, before = one, c, number
+        texts[d] = total
+    rows = lm.score(docs, model).collect()
+    assert len(rows) == len(texts) and all(math.isclose(r["score"], texts[r["doc_id"]], rel_tol=1e-5, abs_tol=1e-4) for r in rows)
+    shares = 10 ** model.pairs.astype(float)
+    for b in range(lm.BUCKETS):
+        assert np.allclose(shares[:, sy.members(b)].sum(1), 1, atol=1e-4)
+    assert (shares[:, : sy.single] == 1).all()
+
+
+def test_pairs_are_learned():
+    counts = np.zeros((6, 4), np.int64)
+    counts[0, 1], counts[1, 2], counts[2] = 500, 500, 100
+    out = 10 ** lm.train_pairs(counts, seed=1)
+    assert out[0, 1] > 0.8 and out[1, 2] > 0.8 and np.allclose(out.sum(1), 1, atol=1e-5)
+    assert np.allclose(out[3], out[4]) and out[3, 3] < out[3, 1]  # never seen: the shares
+    assert np.isfinite(lm.train_pairs(np.zeros((3, 2), np.int64), seed=1)).all()
