@@ -55,6 +55,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def keep_until_end(path: str) -> None:
+    """Note a folder that a result reads, to be deleted when the application ends."""
+    _WRITTEN.append(path)
+
+
 def small(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
     """Batches in parts of at most ``rows``, so that what is made of one stays small beside long texts."""
     for batch in batches:

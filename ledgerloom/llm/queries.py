@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, lexicon, linededup, lm, media, packing, pii, quality, simhash, tokenstore
+from . import langid, lexicon, linededup, lm, media, packing, periods, pii, prefixtrie, quality, simhash, substrings, tokenstore
 from .common import documents, materialize
 from .wordpieces import public_path
 
@@ -76,6 +76,18 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymize(documents(spark, sf_dir).select("doc_id", "text"))
 
 
+def op11_prefixtrie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixtrie.trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+def op12_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periods.detect(documents(spark, sf_dir).select("doc_id", "text"))
+
+
+def op13_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(documents(spark, sf_dir).select("doc_id", "text"))
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_tokenstore": op2_tokenstore,
@@ -87,6 +99,14 @@ QUERIES = {
     "op8_bpe": op8_bpe,
     "op9_quality": op9_quality,
     "op10_pii": op10_pii,
+    "op11_prefixtrie": op11_prefixtrie,
+    "op12_periods": op12_periods,
+    "op13_substrings": op13_substrings,
 }
 #: SQL for DuckDB; the others cannot be put in SQL and are tested against brute force instead.
-ORACLES: dict[str, str] = {"op9_quality": quality.oracle_sql()}
+ORACLES: dict[str, str] = {
+    "op9_quality": quality.oracle_sql(),
+    "op11_prefixtrie": prefixtrie.oracle_sql(),
+    "op12_periods": periods.oracle_sql(),
+    "op13_substrings": substrings.oracle_sql(),
+}
