@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import atexit
 import os
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 
@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 #: ASCII upper case to lower case, for bytes.translate.
 LOWER_ASCII = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-#: Folders that ``materialize`` has written, in order, and that are still there.
-_WRITTEN: list[str] = []
+#: For each thread the folders that it has written, in order, and that are still there.
+_THREAD = threading.local()
 #: Word pattern of the contracts, in Java and Python syntax alike.
 WORD_GAP = r"[\x20\x09-\x0D]+"
 
@@ -50,14 +50,27 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    _WRITTEN.append(path)
     df.write.option("compression", "zstd").parquet(path)
+    _written().append(path)
+    keep_until_end(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def keep_until_end(path: str) -> None:
-    """Note a folder that a result reads, to be deleted when the application ends."""
-    _WRITTEN.append(path)
+def keep_until_end(spark: SparkSession, path: str) -> None:
+    """Let a file or folder that is there go when the driver's JVM ends, whether or not the session has been stopped by then."""
+    where, files = _located(spark, path)
+    files.deleteOnExit(where)
+
+
+def _located(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _written() -> list[str]:
+    if not hasattr(_THREAD, "paths"):
+        _THREAD.paths = []
+    return _THREAD.paths
 
 
 def small(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
@@ -86,31 +99,22 @@ def text_or_empty(col: str = "text") -> Column:
 
 
 def written() -> int:
-    """How many folders ``materialize`` has written so far; a mark for ``clean``."""
-    return len(_WRITTEN)
+    """How many folders this thread has written so far and not deleted; a mark for ``clean``."""
+    return len(_written())
 
 
 def clean(spark: SparkSession, mark: int) -> None:
-    """Delete the folders written since a mark, but for the last one, on which nothing before it has a hold any more."""
-    for path in _WRITTEN[mark:-1]:
+    """Delete the folders that this thread has written since a mark, but for the last one, on which nothing before it has a hold any more."""
+    paths = _written()
+    for path in paths[mark:-1]:
         remove_tree(spark, path)
-    del _WRITTEN[mark:-1]
-
-
-@atexit.register
-def _clean_at_end() -> None:
-    """Nothing reads the folders once the application is over."""
-    spark = SparkSession.getActiveSession()
-    if spark is not None and spark.sparkContext._jsc is not None:
-        for path in _WRITTEN:
-            remove_tree(spark, path)
+    del paths[mark:-1]
 
 
 def remove_tree(spark: SparkSession, path: str) -> None:
     """Delete a folder of the shared store, wherever it is."""
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    where, files = _located(spark, path)
+    files.delete(where, True)
 
 
 def single_threaded() -> None:

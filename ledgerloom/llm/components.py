@@ -11,10 +11,10 @@ from .common import clean, materialize, written
 def _with_least(edges: DataFrame) -> DataFrame:
     """Edges (u, v) with the least of u and its neighbours v.
 
-    The minimum is aggregated before the shuffle, and the join back is one that Spark can split,
-    so a node with very many neighbours is no bottleneck.
+    The minimum is aggregated before the shuffle, and written before the join back, which then has
+    exchanges of its own: Spark can split it, so a node with very many neighbours is no bottleneck.
     """
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
+    least = materialize(edges.groupBy("u").agg(F.min("v").alias("m")), "least")
     return edges.join(least, "u").select("u", "v", F.least("u", "m").alias("m"))
 
 
@@ -33,6 +33,7 @@ def stars(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _with_least(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = materialize(large, "large")
         small = _with_least(large)
         small = (
             small.select(F.col("v").alias("u"), F.col("m").alias("v"))

@@ -433,7 +433,10 @@ def _read(media: bytes) -> Image:
 
 def payload(image: Image) -> bytes:
     """The bytes that ``encode`` has put into the coefficients."""
-    size = int(next(c for c in image.comments if c.startswith(b"payload "))[8:])
+    note = next((c for c in image.comments if c.startswith(b"payload ")), None)
+    if note is None:
+        raise ValueError("no payload in the file")
+    size = int(note[8:])
     values = np.concatenate([c.coefficients for c in image.components])
     values[:, 1:] += 255 * (values[:, 1:] < 0)
     return values.astype(np.uint8).tobytes()[:size]

@@ -97,7 +97,8 @@ def _train(x: np.ndarray, y: np.ndarray, languages: list[str], steps: int = 200,
 def fit(docs: DataFrame, held_out: Column | None = None, sample: int = SAMPLE) -> Model | None:
     """Learn from ``text`` and non-null ``lang``, except where ``held_out``; None if there is nothing to learn from.
 
-    Labels are counted over all documents with a letter; a pair of id and text counts once.
+    Labels are counted over all documents with a letter; a pair of id and text counts once. The
+    MAX_LANGUAGES most frequent are learned, ties by name.
     Features are taken from whole texts inside the tasks. The driver receives those of at most
     ``sample`` documents, or LEAST of each language if that is more, chosen by a hash of id and text.
     """
@@ -106,9 +107,7 @@ def fit(docs: DataFrame, held_out: Column | None = None, sample: int = SAMPLE) -
         known = known.where(~held_out)
     known = known.select("lang", "text", F.xxhash64("doc_id", "text").alias("rank"))
     per = known.select("lang", "rank").distinct().groupBy("lang").agg(F.count("*").alias("n"))
-    counts = sorted((r["lang"], r["n"]) for r in per.limit(MAX_LANGUAGES + 1).collect())
-    if len(counts) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} labels")
+    counts = sorted((r["lang"], r["n"]) for r in per.orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect())
     if not counts:
         return None
     languages = [name for name, _ in counts]

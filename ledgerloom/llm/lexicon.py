@@ -26,7 +26,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, shared_dir, small, without
+from .common import keep_until_end, materialize, shared_dir, small, without
 
 #: Words in the automaton.
 WORDS = 1 << 16
@@ -399,6 +399,7 @@ def _share(spark: SparkSession, data: bytes, name: str) -> None:
             out.write(bytearray(data[at : at + (1 << 20)]))
     finally:
         out.close()
+    keep_until_end(spark, path.toString())
     spark.sparkContext.addFile(path.toString())
 
 

@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import LOWER_ASCII, materialize, small, without
+from .lexicon import frequent_words
 
 FOLDS, HELD_OUT = 7, 2
 TOP_WORDS, BUCKETS, DIMENSIONS, NOISE, STEPS = 79, 48, 24, 16, 200
@@ -279,8 +280,8 @@ def fit(docs: DataFrame) -> Model:
     counts = materialize(word_counts(docs), "words")
     at_end = F.when(F.octet_length("word") == 0, F.col("n")).otherwise(0)
     tokens, distinct, ends = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.coalesce(F.sum(at_end), F.lit(0))).first()
-    frequent = counts.where(F.octet_length("word") > 0).orderBy(F.desc("n"), "word").limit(DICTIONARY).toArrow()
-    top = list(zip(frequent["word"].to_pylist(), frequent["n"].to_pylist()))
+    frequent = frequent_words(counts.where(F.octet_length("word") > 0), DICTIONARY).select("word", "n").toArrow()
+    top = sorted(zip(frequent["word"].to_pylist(), frequent["n"].to_pylist()), key=lambda x: (-x[1], x[0]))
     symbols = Symbols([w for k, (w, n) in enumerate(top[:OWN_WORDS]) if k < TOP_WORDS or n >= LEAST_COUNT])
     bucket = F.crc32(F.substring("word", -2, 2)) % BUCKETS
     own = docs.sparkSession.createDataFrame([(bytearray(w),) for w in symbols.number], "word binary")  # at most OWN_WORDS + 1

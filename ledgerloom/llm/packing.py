@@ -4,16 +4,20 @@ Documents longer than a sequence are first cut into full windows. Of the rest, t
 first, and each goes into the open sequence that it fills best; a segment tree over the remaining
 capacities finds that sequence in a few steps. The pieces are dealt into groups by a hash; the
 number of groups follows the size of the input, so each stays small and is packed by itself,
-while a group of some thousand documents already packs almost without padding.
+while a group of some thousand documents already packs almost without padding. Equal rows are told
+apart by where they come up in the input, so they are dealt to all groups like others.
 """
 
 from __future__ import annotations
 
+import zlib
 from array import array
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -81,53 +85,63 @@ def best_fit(lengths: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.
     return sequence, offset
 
 
-def pieces(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
-    """(doc_id, start, length, doc_tokens, ids): whole windows and what is left of each document.
+def pieces(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_ID, ids: bool = True) -> DataFrame:
+    """(doc_id, start, length, doc_tokens, salt, ids): whole windows and what is left of each document.
 
-    A document is its ids and ``end_id``, so null and empty texts have one id.
+    A document is its ids and ``end_id``, so null and empty texts have one id. Without ``ids`` their
+    crc32 is given instead, as ``ids_crc32``. ``salt`` is 0 but for rows that have come up before in
+    the same batch of a task.
     """
+    last = ("ids", pa.binary()) if ids else ("ids_crc32", pa.int64())
+    names = ["doc_id", "start", "length", "doc_tokens", "salt", last[0]]
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        cols = list(zip(*rows)) or [()] * 6
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, [pa.int64()] * 5 + [last[1]])], names=names)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = wordpieces.encoder(path)
         end = array("I", [end_id]).tobytes()
-        for batch in small(batches):
-            names = batch.schema.names
-            ids, out = batch.column(names.index("doc_id")).to_pylist(), []
-            for doc_id, data in zip(ids, words.encode(batch.column(names.index("text")).to_pylist(), end)):
-                n = len(data) // 4
-                out += [(doc_id, a, min(window, n - a), n, data[4 * a : 4 * (a + window)]) for a in range(0, n, window)]
+        given = ids
+        for k, batch in enumerate(small(batches)):
+            cols = batch.schema.names
+            doc_ids, out = batch.column(cols.index("doc_id")).to_pylist(), []
+            seen: Counter = Counter()
+            for doc_id, data in zip(doc_ids, words.encode(batch.column(cols.index("text")).to_pylist(), end)):
+                n, crc = len(data) // 4, zlib.crc32(data)
+                again = seen[doc_id, crc]
+                seen[doc_id, crc] += 1
+                salt = hash((TaskContext.get().partitionId(), k, again)) if again else 0
+                for a in range(0, n, window):
+                    part = data[4 * a : 4 * (a + window)]
+                    out.append((doc_id, a, min(window, n - a), n, salt, part if given else zlib.crc32(part)))
                 if len(out) >= 4000:
-                    yield _batch(out)
+                    yield batch_of(out)
                     out = []
-            yield _batch(out)
-
-    return docs.select("doc_id", "text").mapInArrow(cut, "doc_id long, start long, length long, doc_tokens long, ids binary")
-
+            yield batch_of(out)
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64()] * 4 + [pa.binary()]
-    cols = list(zip(*rows)) or [()] * 5
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["doc_id", "start", "length", "doc_tokens", "ids"])
+    return docs.select("doc_id", "text").mapInArrow(cut, f"doc_id long, start long, length long, doc_tokens long, salt long, {last[0]} {'binary' if ids else 'long'}")
 
 
-def pack(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_ID, group_bytes: int = GROUP_BYTES) -> DataFrame:
+def pack(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_ID, group_bytes: int = GROUP_BYTES, ids: bool = True) -> DataFrame:
     """``pieces`` with ``sequence_id`` and ``offset``: where each is placed, gapless from 0.
 
     Equal rows are packed each by itself. An empty table gives no piece. Columns beyond doc_id
-    and text are left out.
+    and text are left out. Without ``ids`` only their crc32 is moved.
     """
     total = docs.agg(F.sum(F.octet_length(text_or_empty()) + 64)).first()[0] or 0
     groups = max(1, round(total / group_bytes))
     # Partitions follow the input: beyond the session's number each takes PARTITION_BYTES of text.
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // PARTITION_BYTES))
-    dealt = pieces(docs, path, window, end_id).withColumn("g", F.pmod(F.xxhash64("doc_id", "start", "ids"), F.lit(groups)))
+    last = "ids" if ids else "ids_crc32"
+    dealt = pieces(docs, path, window, end_id, ids).withColumn("g", F.pmod(F.xxhash64("doc_id", "start", last, "salt"), F.lit(groups)))
     dealt = dealt.repartition(parts, "g")
 
     def place(table: pa.Table) -> pa.Table:
-        table = table.sort_by([(c, "ascending") for c in ("doc_id", "start", "ids")])
+        table = table.sort_by([(c, "ascending") for c in ("doc_id", "start", last)])
         sequence, offset = best_fit(table.column("length").to_numpy(), window)
         first = table.column("g")[0].as_py() << 32
-        return table.drop_columns(["g"]).append_column("sequence_id", pa.array(first + sequence)).append_column("offset", pa.array(offset))
+        return table.drop_columns(["g", "salt"]).append_column("sequence_id", pa.array(first + sequence)).append_column("offset", pa.array(offset))
 
-    schema = "doc_id long, start long, length long, doc_tokens long, ids binary, sequence_id long, offset long"
+    schema = f"doc_id long, start long, length long, doc_tokens long, {last} {'binary' if ids else 'long'}, sequence_id long, offset long"
     return dealt.groupBy("g").applyInArrow(place, schema)

@@ -121,6 +121,13 @@ def _ssn(m: re.Match, key: bytes) -> str | None:
     return _refill(m[0], _digits(digits, key, "ssn", ok)) if ok(digits) else None
 
 
+def _labelled_ssn(m: re.Match, key: bytes) -> str | None:
+    """A number that a label tells is as good as one in its usual form, and has the same pseudonym."""
+    ok = lambda d: d[:3] not in ("000", "666") and d[0] != "9" and d[3:5] != "00" and d[5:] != "0000"
+    digits = _only_digits(m["value"])
+    return m[0][: m.start("value") - m.start()] + _refill(m["value"], _digits(digits, key, "ssn", ok)) if ok(digits) else None
+
+
 def _mod97(s: str) -> int:
     return int("".join(str(int(c, 36)) for c in s)) % 97
 
@@ -217,76 +224,99 @@ def _secret(m: re.Match, key: bytes) -> str:
     return m[0][: m.start("value") - m.start()] + "[SECRET]" if "value" in m.re.groupindex else "[SECRET]"
 
 
+#: A key word, a sign, perhaps a quote, and a run of characters that a secret may have; whether it is one is told by ``_keyed``.
+_KEYED = re.compile(
+    r"(?i:password|passwd|pwd|passphrase|secret|token|api[_-]?key|access[_-]?key|auth[_-]?key|private[_-]?key)[\"']?[ \t]{0,8}[=:][ \t]{0,8}"
+    r"(?P<quote>[\"'])?(?P<value>[A-Za-z0-9+/_.~$!@#%^&*=-]{6,})"
+)
+#: More than the longest key word with its sign.
+_KEY_CHARS = 20
+
+
+def _keyed(text: str) -> Iterator[re.Match]:
+    """Secrets behind a key word: values with a digit, or in quotes.
+
+    Each run is read once: what a refused one holds is refused as well, but for a key word at its end,
+    whose value is in quotes behind it.
+    """
+    at = 0
+    while m := _KEYED.search(text, at):
+        if _has_digit(m["value"]) or m["quote"] and text[m.end() : m.end() + 1] == m["quote"]:
+            yield m
+            at = m.end()
+        else:
+            at = max(m.start("value"), m.end() - _KEY_CHARS)
+
+
 _has_digit = re.compile("[0-9]").search
 _MONTH = "(?P<month>" + "|".join(sorted({x for t in MONTHS for x in t}, key=lambda x: (-len(x), x))) + ")"
 _has_month = re.compile(r"(?i)" + "|".join(sorted({x[:3].lower() for t in MONTHS for x in t}))).search
 
-#: kind, a test that is cheap on a whole text, pattern, replacement or None if not valid. Earlier kinds win.
-FINDERS: list[tuple[str, Callable[[str], bool], re.Pattern, Callable]] = [
-    ("email", lambda t: "@" in t, re.compile(r"(?<![\w.%+-])[\w.%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}"), _email),
-    ("secret", lambda t: "AKIA" in t or "ASIA" in t, re.compile(r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])"), _secret),
+#: kind, a test that is cheap on a whole text, what it may be, replacement or None if not valid. Earlier kinds win.
+FINDERS: list[tuple[str, Callable[[str], bool], Callable[[str], Iterator[re.Match]], Callable]] = [
+    ("email", lambda t: "@" in t, re.compile(r"(?<![\w.%+-])[\w.%+-]{1,64}@(?:[^\W_](?:[^\W_]|-){0,62}\.){1,8}[^\W\d_]{2,24}").finditer, _email),
+    ("secret", lambda t: "AKIA" in t or "ASIA" in t, re.compile(r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])").finditer, _secret),
     (
         "secret",
         lambda t: "_" in t or "-" in t or "eyJ" in t,
         re.compile(
             r"(?<![A-Za-z0-9_-])(?:gh[pousr]_[A-Za-z0-9]{20,}|github_pat_[A-Za-z0-9_]{20,}|glpat-[A-Za-z0-9_-]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk-[A-Za-z0-9_-]{20,}"
             r"|eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]*)"
-        ),
+        ).finditer,
         _secret,
     ),
-    ("secret", lambda t: "earer" in t, re.compile(r"(?<![A-Za-z])[Bb]earer (?P<value>(?=[A-Za-z._~+/-]*[0-9])[A-Za-z0-9._~+/-]{16,}=*)"), _secret),
-    ("secret", lambda t: "-----BEGIN" in t, re.compile(r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----[\s\S]*?(?:-----END [A-Z ]{0,40}PRIVATE KEY-----|\Z)"), _secret),
-    (
-        "secret",
-        lambda t: "=" in t or ":" in t,
-        re.compile(
-            r"(?i:password|passwd|pwd|passphrase|secret|token|api[_-]?key|access[_-]?key|auth[_-]?key|private[_-]?key)[\"']?[ \t]{0,8}[=:][ \t]{0,8}"
-            r"(?:(?P<quote>[\"'])(?=[A-Za-z0-9+/_.~$!@#%^&*=-]{6,}(?P=quote))|[\"']?(?=[A-Za-z0-9+/_.~$!@#%^&*=-]*[0-9]))"
-            r"(?P<value>[A-Za-z0-9+/_.~$!@#%^&*=-]{6,})"
-        ),
-        _secret,
-    ),
-    ("iban", _has_digit, re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"), _iban),
-    ("ip", _has_digit, re.compile(r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])"), _ip),
-    ("ip", lambda t: "::" in t or t.count(":") > 6, re.compile(r"(?<![0-9A-Za-z:.])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?![0-9A-Za-z:.])"), _ip6),
+    ("secret", lambda t: "earer" in t, re.compile(r"(?<![A-Za-z])[Bb]earer (?P<value>(?=[A-Za-z._~+/-]*[0-9])[A-Za-z0-9._~+/-]{16,}=*)").finditer, _secret),
+    ("secret", lambda t: "-----BEGIN" in t, re.compile(r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----[\s\S]*?(?:-----END [A-Z ]{0,40}PRIVATE KEY-----|\Z)").finditer, _secret),
+    ("secret", lambda t: "=" in t or ":" in t, _keyed, _secret),
+    ("iban", _has_digit, re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])").finditer, _iban),
+    ("ip", _has_digit, re.compile(r"(?<![0-9.vV])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])").finditer, _ip),
+    ("ip", lambda t: "::" in t or t.count(":") > 6, re.compile(r"(?<![0-9A-Za-z:.])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?![0-9A-Za-z:.])").finditer, _ip6),
     (
         "date",
         lambda t: _has_digit(t) and _has_month(t),
-        re.compile(rf"(?i)(?<![0-9A-Za-z.,/-])(?P<day>[0-9]{{1,2}})(?:\.|st|nd|rd|th|er|º)?(?: de | of | ){_MONTH}(?:\.|,)?(?: de | del | )(?P<year>[0-9]{{4}})(?![0-9A-Za-z])"),
+        re.compile(rf"(?i)(?<![0-9A-Za-z.,/-])(?P<day>[0-9]{{1,2}})(?:\.|st|nd|rd|th|er|º)?(?: de | of | ){_MONTH}(?:\.|,)?(?: de | del | )(?P<year>[0-9]{{4}})(?![0-9A-Za-z])").finditer,
         _named_date,
     ),
     (
         "date",
         lambda t: _has_digit(t) and _has_month(t),
-        re.compile(rf"(?i)(?<![A-Za-z]){_MONTH}\.? (?P<day>[0-9]{{1,2}})(?:st|nd|rd|th)?,? (?P<year>[0-9]{{4}})(?![0-9A-Za-z])"),
+        re.compile(rf"(?i)(?<![A-Za-z]){_MONTH}\.? (?P<day>[0-9]{{1,2}})(?:st|nd|rd|th)?,? (?P<year>[0-9]{{4}})(?![0-9A-Za-z])").finditer,
         _named_date,
     ),
-    ("date", _has_digit, re.compile(r"(?<![0-9/.-])([0-9]{4}|[0-9]{1,2})([-/.])([0-9]{1,2})(\2)([0-9]{1,2}(?![0-9])|[0-9]{4})(?![0-9]|[/.-][0-9])"), _date),
-    ("ssn", lambda t: "-" in t, re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"), _ssn),
-    ("card", _has_digit, re.compile(r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5})(?![0-9])"), _card),
+    ("date", _has_digit, re.compile(r"(?<![0-9/.-])([0-9]{4}|[0-9]{1,2})([-/.])([0-9]{1,2})(\2)([0-9]{1,2}(?![0-9])|[0-9]{4})(?![0-9]|[/.-][0-9])").finditer, _date),
+    ("ssn", lambda t: "-" in t, re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])").finditer, _ssn),
+    (
+        "ssn",
+        lambda t: _has_digit(t) and "s" in t.lower(),
+        re.compile(r"(?i)(?<![A-Za-z])(?:ssn|social security(?: number| no\.?)?)(?::|#| is){0,2} ?(?P<value>[0-9]{9}|[0-9]{3} [0-9]{2} [0-9]{4})(?![0-9])").finditer,
+        _labelled_ssn,
+    ),
+    ("card", _has_digit, re.compile(r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5})(?![0-9])").finditer, _card),
     (
         "phone",
         _has_digit,
-        re.compile(r"(?<![0-9A-Za-z])(?P<prefix>\+[0-9]{1,3}[ .-]?|(?:1[ .-])?)(?P<national>\([0-9]{3}\) ?[0-9]{3}[ .-]?[0-9]{4}|[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4})(?![0-9])"),
+        re.compile(r"(?<![0-9A-Za-z])(?P<prefix>\+[0-9]{1,3}[ .-]?|(?:1[ .-])?)(?P<national>\([0-9]{3}\) ?[0-9]{3}[ .-]?[0-9]{4}|[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4})(?![0-9])").finditer,
         _phone,
     ),
     (
         "phone",
         _has_digit,
-        re.compile(r"(?i)(?<![A-Za-z])(?:phone|tel|telephone|mobile|cell|fax|call|telefon|teléfono|téléphone)(?:\.|:| no\.?| number| at| me at){0,2}:? ?(?P<national>[2-9][0-9]{9}|[2-9][0-9]{2}[ .-][0-9]{4})(?![0-9]|[.-][0-9])"),
+        re.compile(r"(?i)(?<![A-Za-z])(?:phone|tel|telephone|mobile|cell|fax|call|telefon|teléfono|téléphone)(?:\.|:| no\.?| number| at| me at){0,2}:? ?(?P<national>[2-9][0-9]{9}|[2-9][0-9]{2}[ .-][0-9]{4})(?![0-9]|[.-][0-9])").finditer,
         _labelled_phone,
     ),
-    ("phone", lambda t: "+" in t, re.compile(r"(?<![0-9A-Za-z])(?P<prefix>\+[0-9]{1,3}[ .-]?)(?P<national>(?:\(?[0-9]{1,4}\)?[ .-]?){1,4}[0-9]{2,4})(?![0-9])"), _phone),
+    ("phone", lambda t: "+" in t or "00" in t, re.compile(r"(?<![0-9A-Za-z])(?P<prefix>\+[0-9]{1,3}[ .-]?|(?<![.,])00[1-9][0-9]{0,2}[ -])(?P<national>(?:\(?[0-9]{1,4}\)?[ .-]?){1,4}[0-9]{2,4})(?![0-9])").finditer, _phone),
 ]
+
+
 def spans(text: str, key: bytes) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, replacement) of what is found, in order and without overlaps."""
     found: list[tuple[int, int, str, str]] = []
     taken = bytearray(len(text))
-    for kind, cheap, pattern, new in FINDERS:
+    for kind, cheap, matches, new in FINDERS:
         if not cheap(text):
             continue
         own = []
-        for m in pattern.finditer(text):
+        for m in matches(text):
             if taken.find(1, m.start(), m.end()) >= 0:
                 continue
             value = new(m, key)

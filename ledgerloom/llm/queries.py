@@ -13,9 +13,8 @@ WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.json"
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    packed = packing.pack(documents(spark, sf_dir), public_path(WORD_BPE))
-    crc = F.crc32("ids").alias("ids_crc32")
-    return packed.select("doc_id", "start", "length", crc, "doc_tokens", "sequence_id", "offset")
+    packed = packing.pack(documents(spark, sf_dir), public_path(WORD_BPE), ids=False)
+    return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
 def op2_tokenstore(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -111,7 +111,8 @@ def links(prints: DataFrame, blocks: int = BLOCKS, cell_cap: int = CELL_CAP) ->
         raise ValueError("more blocks than differing bits are needed")
     cells = prints.select("fp", F.explode(_cells(embedding(F.col("fp")), blocks, RADIUS)).alias("cell"))
     size = cells.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1")
-    met = materialize(cells.join(size, "cell"), "cells")
+    # Written first, so that Spark can split a crowded cell.
+    met = materialize(cells.join(materialize(size, "sizes"), "cell"), "cells")
     few = met.where(F.col("n") <= cell_cap).groupBy("cell").agg(F.collect_list("fp").alias("fps"))
     a = F.col("a")
     near = F.filter(

@@ -268,9 +268,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     bits = max(8 * parts, -(-total // SHARD_HASHES)).bit_length()
     label = F.xxhash64(F.floor(F.monotonically_increasing_id() / each)).alias("batch")
     name, path = f"passages_{uuid.uuid4().hex}", f"{shared_dir(spark)}/passages-{uuid.uuid4().hex}"
-    keep_until_end(path)
     dealt = docs.select("*", label).repartition(parts, "batch")
     dealt.write.bucketBy(parts, "batch").sortBy("batch").option("path", path).option("compression", "zstd").format("parquet").saveAsTable(name)
+    keep_until_end(spark, path)
     texts = spark.table(name)
     own = texts.select("batch", "text")
     meet = lambda told, answer: told.repartition(parts, "shard").sortWithinPartitions("shard").mapInArrow(answer, _ANSWER)

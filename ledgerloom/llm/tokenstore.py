@@ -19,7 +19,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import wordpieces
-from .common import shared_dir, small, text_or_empty
+from .common import keep_until_end, shared_dir, small, text_or_empty
 
 END_ID = 2
 BLOCK_TOKENS = 1 << 16
@@ -96,17 +96,20 @@ def blocks(docs: DataFrame, path: str, end_id: int = END_ID, block_tokens: int =
             yield row()
 
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64(text_or_empty())]
-    ordered = docs.select("doc_id", "text").repartitionByRange(shards, *order).sortWithinPartitions(*order)
+    # Equal rows may go to several shards: they are told apart by their places in the input.
+    ordered = docs.select("doc_id", "text").repartitionByRange(shards, *order, F.monotonically_increasing_id()).sortWithinPartitions(*order)
     return ordered.mapInArrow(write, SCHEMA)
 
 
 def write(docs: DataFrame, path: str, to: str | None = None, **options) -> str:
-    """Write a store and return its folder, by default a new one in the shared folder.
+    """Write a store and return its folder, by default a new one in the shared folder that goes with the application.
 
     Spark's writer commits whole tasks, so a lost executor leaves no half-written shard.
     """
-    to = to or f"{shared_dir(docs.sparkSession)}/tokens-{uuid.uuid4().hex}"
+    own, to = to is None, to or f"{shared_dir(docs.sparkSession)}/tokens-{uuid.uuid4().hex}"
     blocks(docs, path, **options).write.option("compression", "zstd").parquet(to)
+    if own:
+        keep_until_end(docs.sparkSession, to)
     return to
 
 
