@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import uuid
+from collections import defaultdict
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -30,6 +31,8 @@ from .common import keep_until_end, shared_dir, text_or_empty, without
 WINDOW = 35
 #: Bytes of text in a batch, and hashes in a shard, at most about.
 BATCH_BYTES, SHARD_HASHES = 8 << 20, 4 << 20
+#: Bytes of answers that a task holds before it sends them.
+ANSWER_BYTES = 32 << 20
 _ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 COLUMNS = ("n_words", "n_removed", "kept_sha256")
 
@@ -148,23 +151,41 @@ def _by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dic
         yield now, rows
 
 
+class _Answers:
+    """What a task has found for each batch, told in few rows."""
+
+    def __init__(self):
+        self.found: dict[int, list[np.ndarray]] = defaultdict(list)
+        self.bytes = 0
+
+    def add(self, label: int, hits: np.ndarray) -> None:
+        if len(hits):
+            self.found[label].append(hits)
+            self.bytes += hits.nbytes
+
+    def told(self, least: int = 0) -> Iterator[pa.RecordBatch]:
+        """All of it, if it is so many bytes."""
+        if self.found and self.bytes >= least:
+            hits = _binary([np.concatenate(x) for x in self.found.values()])
+            yield pa.RecordBatch.from_arrays([pa.array(self.found, pa.int64()), hits], names=["batch", "hits"])
+            self.found, self.bytes = defaultdict(list), 0
+
+
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For each batch those of its blocks that occur at two places."""
+    answers = _Answers()
     for shard, rows in _by_shard(batches):
         blocks = [np.frombuffer(r["blocks"], np.uint32) for r in rows]
         every = np.sort(np.concatenate([*blocks, *[np.frombuffer(r["others"], np.uint32) for r in rows]]))
         index = np.unique(np.concatenate(blocks))
         hits = index[np.searchsorted(every, index, "right") - np.searchsorted(every, index, "left") > 1]
-        yield _answers(shard, [(r["batch"], np.unique(b[np.isin(b, hits)])) for r, b in zip(rows, blocks)])
-
+        for r, b in zip(rows, blocks):
+            answers.add(r["batch"], (np.uint64(shard) << np.uint64(32)) | np.unique(b[np.isin(b, hits)]).astype(np.uint64))
+        yield from answers.told(ANSWER_BYTES)
+    yield from answers.told()
 
-def _answers(shard: int, found: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
-    found = [(label, hits) for label, hits in found if len(hits)]
-    cols = [pa.array([label for label, _ in found], pa.int64()), pa.array([shard] * len(found), pa.int64()), _binary([h for _, h in found])]
-    return pa.RecordBatch.from_arrays(cols, names=["batch", "shard", "hits"])
 
-
-_ANSWER = "batch long, shard long, hits binary"
+_ANSWER = "batch long, hits binary"
 
 
 def _windows(bits: int, shard_bits: int, window: int) -> Callable:
@@ -172,7 +193,7 @@ def _windows(bits: int, shard_bits: int, window: int) -> Callable:
     width = _block(window)
 
     def run(key: tuple, texts: pa.Table, found: pa.Table) -> pa.Table:
-        hits = [(np.uint64(s) << np.uint64(32)) | np.frombuffer(h, np.uint32).astype(np.uint64) for s, h in zip(found.column("shard").to_pylist(), found.column("hits").to_pylist())]
+        hits = [np.frombuffer(h, np.uint64) for h in found.column("hits").to_pylist()]
         at = np.empty(0, np.int64)
         if hits and texts.num_rows:
             batch = Batch(texts.column("text").to_pylist(), window)
@@ -203,7 +224,8 @@ def _pairs(first: np.ndarray, second: np.ndarray) -> np.ndarray:
 
 def _recurring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For each batch those of its windows that occur at two places."""
-    for shard, rows in _by_shard(batches):
+    answers = _Answers()
+    for _, rows in _by_shard(batches):
         each = [(np.frombuffer(r["first"], np.uint64), np.frombuffer(r["second"], np.uint32)) for r in rows]
         first, second = (np.concatenate(x) for x in zip(*each))
         batch = np.repeat(np.arange(len(rows)), [len(a) for a, _ in each])
@@ -215,7 +237,10 @@ def _recurring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = np.argsort(batch, kind="stable")
         cuts = np.searchsorted(batch[order], np.arange(len(rows) + 1))
         pairs = _pairs(a[order], b[order])
-        yield _answers(shard, [(r["batch"], np.unique(pairs[cuts[k] : cuts[k + 1]])) for k, r in enumerate(rows)])
+        for k, r in enumerate(rows):
+            answers.add(r["batch"], np.unique(pairs[cuts[k] : cuts[k + 1]]))
+        yield from answers.told(ANSWER_BYTES)
+    yield from answers.told()
 
 
 def _removal(names: list[str], window: int) -> Callable:
@@ -262,10 +287,10 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     rows, total = docs.agg(F.count("*"), F.sum(F.octet_length(text_or_empty()))).first()
     total = total or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // (16 * BATCH_BYTES)))
-    # Batches follow the input; each holds BATCH_BYTES at most on average, and several go to each partition.
-    batches = max(8 * parts, -(-total // BATCH_BYTES))
+    # Batches follow the input; each holds BATCH_BYTES at most on average. Batches and shards meet, so there are no more than needed.
+    batches = max(2 * parts, -(-total // BATCH_BYTES))
     each = max(1, rows // batches)
-    bits = max(8 * parts, -(-total // SHARD_HASHES)).bit_length()
+    bits = (max(2 * parts, -(-total // SHARD_HASHES)) - 1).bit_length()
     label = F.xxhash64(F.floor(F.monotonically_increasing_id() / each)).alias("batch")
     name, path = f"passages_{uuid.uuid4().hex}", f"{shared_dir(spark)}/passages-{uuid.uuid4().hex}"
     dealt = docs.select("*", label).repartition(parts, "batch")
