@@ -6,14 +6,23 @@ after a failure gives the same result, as every sink here is keyed by the batch
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Iterator, Sequence
+from datetime import timedelta
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from ..model import EVENT
 from ..operators.folds import P
+from .readmodels import ReadModel
+
+#: State of keys needs a store that holds one value for each, outside the heap.
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: What an honest repetition of an event has in common with it.
+CONTENT = ["event_type", "actor", "project_id", "task_id", "user_id", "payload"]
 
 
 def read_log(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
@@ -45,46 +54,74 @@ def _hash(content: list[str]):
     return F.sha2(F.to_json(F.struct(*content)), 256)
 
 
-def ingest(stream: DataFrame, log_path: str, conflict_path: str, checkpoint: str, content: list[str] | None = None) -> StreamingQuery:
-    """Append new events to a Parquet log and conflicting ones to another; both are written by batch.
+class _Keys(StatefulProcessor):
+    """For each idempotency key the hash and number of the first event that has it."""
 
-    A batch's folder is overwritten if it comes again, and is not read by itself, so a restart
-    neither loses nor doubles events.
-    """
-    content = content or ["event_type", "actor", "project_id", "task_id", "user_id", "payload"]
+    def __init__(self, keep_ms: int | None):
+        self.keep_ms = keep_ms
 
-    def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        try:
-            log = spark.read.option("basePath", log_path).parquet(log_path).where(F.col("batch") != number).drop("batch")
-        except Exception as e:  # the first batch finds no log
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
-            log = spark.createDataFrame([], EVENT)
-        new, conflicts = append_new(batch, log, content)
-        new.write.mode("overwrite").parquet(f"{log_path}/batch={number}")
-        conflicts.write.mode("overwrite").parquet(f"{conflict_path}/batch={number}")
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.first = handle.getValueState("first", "hash string, log_seq long", self.keep_ms)
 
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        first = self.first.get() if self.first.exists() else None
+        held = list(rows) if first is None else rows
+        if first is None:
+            # The first by log_seq, whatever the order of arrival; all others are held against it.
+            where = min(held, key=lambda x: x["log_seq"].min())
+            own = where.loc[where["log_seq"].idxmin()]
+            first = (own["hash"], int(own["log_seq"]))
+            self.first.update(first)
+        for frame in held:
+            new, same = frame["log_seq"] == first[1], frame["hash"] == first[0]
+            frame["outcome"] = np.where(new & same, "new", np.where(same, "repeated", "conflict"))
+            yield frame[["event", "outcome"]]
 
+    def close(self) -> None:
+        pass
 
-def refresh(stream: DataFrame, log_path: str, view_path: str, checkpoint: str, key: str, fold: Callable[[DataFrame], DataFrame], buckets: int = 16) -> StreamingQuery:
-    """Keep a read model up to date: of each batch only the buckets of keys that it touches are folded anew.
 
-    The view is partitioned by a hash of its key; a replayed batch gives the same buckets again.
-    ``stream`` is a stream over the log written by ``ingest``.
+def judged(stream: DataFrame, content: list[str] | None = None, keep: timedelta | None = None) -> DataFrame:
+    """The stream's events with ``outcome``: new, repeated or conflict.
+
+    What has been seen of a key is kept in Spark's state store, and nothing of the log is read. It is
+    kept for good, or for ``keep``: a key that comes again later counts as new. Within a batch the first by log_seq is the new one. An event without a
+    key is always new; such events take no part in the state.
+    """
+    spark = stream.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    columns = F.struct(*[F.col(c) for c in stream.columns])
+    keyed = stream.where("idempotency_key IS NOT NULL").select("idempotency_key", "log_seq", _hash(content or CONTENT).alias("hash"), F.to_json(columns).alias("event"))
+    processor = _Keys(None if keep is None else int(keep.total_seconds() * 1000))
+    told = keyed.groupBy("idempotency_key").transformWithStateInPandas(processor, "event string, outcome string", "append", "None" if keep is None else "ProcessingTime")
+    back = told.select(F.from_json("event", stream.schema).alias("e"), "outcome").select("e.*", "outcome")
+    return back.unionByName(stream.where("idempotency_key IS NULL").withColumn("outcome", F.lit("new")))
+
+
+def ingest(
+    stream: DataFrame, log_path: str, conflict_path: str, checkpoint: str, content: list[str] | None = None, models: Sequence[ReadModel] = (), keep: timedelta | None = None
+) -> StreamingQuery:
+    """Append new events to a Parquet log and conflicting ones to another, and keep read models up to date; all are written by batch.
+
+    A batch's folders are overwritten if it comes again, so a restart neither loses nor doubles
+    events, and the state store goes back to where the batch began. A batch reads itself and the
+    state of its own keys. The query ends when all that is there has been read; with ``keep``, whose
+    clock runs on, it goes on until it is stopped.
     """
-    bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(buckets)).cast("int")
 
     def write(batch: DataFrame, number: int) -> None:
-        touched = [r[0] for r in batch.where(F.col(key).isNotNull()).select(bucket(key)).distinct().collect()]  # at most ``buckets``
-        if not touched:
-            return
-        log = batch.sparkSession.read.parquet(log_path).where(bucket(key).isin(touched))
-        view = fold(log).withColumn("bucket", bucket(key))
-        view.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(view_path)
-
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        batch = batch.persist()
+        try:
+            new = batch.where("outcome = 'new'").drop("outcome")
+            new.write.mode("overwrite").parquet(f"{log_path}/batch={number}")
+            batch.where("outcome = 'conflict'").drop("outcome").write.mode("overwrite").parquet(f"{conflict_path}/batch={number}")
+            for model in models:
+                model.add(new, number)
+        finally:
+            batch.unpersist()
+
+    writer = judged(stream, content, keep).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if keep is None else writer.trigger(processingTime="10 seconds")).start()
 
 
 def windowed_counts(stream: DataFrame, length: str = "1 hour", late: str = "2 hours") -> DataFrame:

@@ -13,7 +13,7 @@ from ledgerloom.model import EVENT, events_frame, transition_table
 from ledgerloom.operators import approvals, chunks, clauses, documents, folds, monitors, packs, retrieval, teams
 from ledgerloom.operators.running import with_earlier_blocks
 from ledgerloom.sources import files
-from ledgerloom.streaming import ingest
+from ledgerloom.streaming import ingest, readmodels
 
 TASK = "11111111-2222-3333-4444-555555555555"
 
@@ -300,15 +300,17 @@ def test_stream_equals_batch(spark, tmp_path):
     for i, r in enumerate(rows):
         (tmp_path / "in").mkdir(exist_ok=True)
         (tmp_path / "in" / f"{i}.json").write_text(json.dumps({"log_seq": i} | r) + "\n")
-    at = {n: f"{tmp_path}/{n}" for n in ("in", "log", "conflicts", "c1", "view", "c2")}
+    at = {n: f"{tmp_path}/{n}" for n in ("in", "log", "conflicts", "c1", "view", "board", "c2")}
+    board = readmodels.task_board(at["board"], every=2)
     for _ in range(2):  # the second run finds nothing new
-        ingest.ingest(ingest.read_log(spark, at["in"], 2), at["log"], at["conflicts"], at["c1"]).awaitTermination(120)
+        ingest.ingest(ingest.read_log(spark, at["in"], 2), at["log"], at["conflicts"], at["c1"], models=[board]).awaitTermination(120)
     log = spark.read.parquet(at["log"])
     assert log.count() == 5 and one(spark.read.parquet(at["conflicts"]))["payload"]["title"] == "other"
     stream = spark.readStream.schema(EVENT).parquet(f"{at['log']}/*")
-    ingest.refresh(stream, at["log"], at["view"], at["c2"], "task_id", folds.task_board).awaitTermination(120)
+    other = readmodels.task_board(at["view"])
+    readmodels.refresh(stream, other, at["c2"]).awaitTermination(120)
     key = lambda df: sorted((r["task_id"], r["title"], r["status"]) for r in df.collect())
-    assert key(spark.read.parquet(at["view"])) == key(folds.task_board(log)) == [("t1", "T", "in_progress"), ("t2", "U", "todo")]
+    assert key(board.read(spark)) == key(other.read(spark)) == key(folds.task_board(log)) == [("t1", "T", "in_progress"), ("t2", "U", "todo")]
 
 
 def test_windows_and_heartbeats_stream(spark, tmp_path):
