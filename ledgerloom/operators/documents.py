@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import masks
 from ..functions import text as tx
+from . import matching
 from .running import with_earlier_blocks
 
 #: What may still leak from a cleaned document, by kind.
@@ -159,28 +160,10 @@ def unique_names(docs: DataFrame, base: Column, order: str = "doc_id") -> DataFr
     return rows.select(order, F.when(F.col("n") == 1, F.col("base")).otherwise(F.concat_ws("-", "base", "n")).alias("name"))
 
 
-#: Beginnings of passages that are broadcast, at most; more of them are met by a shuffle.
-HEADS = 100_000
+#: Passages that are broadcast by their hashes, at most; more of them are met by a shuffle.
+PASSAGES = 100_000
 
 
-def contained(docs: DataFrame, passages: DataFrame, head: int = 4, most: int = HEADS) -> DataFrame:
-    """(doc_id, item_id): the whole passage, its case and spacing set aside, is in the document as whole words.
-
-    Passages and documents meet on a passage's first words, at most ``head``; a shorter one meets by
-    all of its words. Where the distinct beginnings are at most ``most`` they are broadcast and a
-    document is searched where it lies; beyond that only the beginnings found are shuffled.
-    """
-    even = lambda c: F.trim(F.regexp_replace(F.lower(c), r"\s+", " "))
-    wanted = passages.select("item_id", even("text").alias("passage")).where("passage <> ''").withColumn("w", F.split("passage", " "))
-    wanted = wanted.select("item_id", "passage", F.least(F.lit(head), F.size("w")).alias("k"), F.concat_ws(" ", F.slice("w", 1, head)).alias("head"))
-    lengths = sorted(r["k"] for r in wanted.select("k").distinct().collect())  # at most ``head`` numbers
-    words = docs.select("doc_id", even("text").alias("even")).withColumn("w", F.split("even", " "))
-    sequence = lambda k: F.when(F.size("w") >= k, F.sequence(F.lit(1), F.size("w") - (k - 1))).otherwise(F.array().cast("array<int>"))
-    starts = lambda k: F.transform(sequence(k), lambda i: F.concat_ws(" ", F.slice("w", i, F.lit(k))))
-    heads = F.flatten(F.array(*[starts(k) for k in lengths or [head]]))
-    found = words.select("doc_id", "even", F.explode(F.array_distinct(heads)).alias("head"))
-    few = wanted.select("head").distinct().limit(most + 1).count() <= most
-    grouped = wanted.groupBy("head").agg(F.collect_list(F.struct("item_id", "passage")).alias("p")) if few else None
-    met = found.join(F.broadcast(grouped), "head").select("doc_id", "even", F.inline("p")) if few else found.join(wanted, "head")
-    inside = F.contains(F.concat(F.lit(" "), "even", F.lit(" ")), F.concat(F.lit(" "), "passage", F.lit(" ")))
-    return met.where(inside).select("doc_id", "item_id")
+def contained(docs: DataFrame, passages: DataFrame, most: int = PASSAGES) -> DataFrame:
+    """(doc_id, item_id), once each: the whole passage, its case and spacing set aside, is in the document as whole words (``matching.contained``)."""
+    return matching.contained(docs, passages, most)

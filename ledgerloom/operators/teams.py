@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import matching
 
 #: The level that each action needs, that of any other, and the levels that need an approval as well.
 NEEDS = {
@@ -23,16 +24,20 @@ def _words(c: str) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(c), r"\s+"), lambda w: F.length(w) > 1))
 
 
-def _capabilities(agents: DataFrame, score: Column) -> DataFrame:
-    """(word, a) for every word that can be found in a capability, with the best agent.
+def _able(asked: DataFrame, agents: DataFrame, score: Column) -> DataFrame:
+    """(word, a): the best agent for each word of ``asked(word)`` that is part of a capability.
 
-    A word has no space, so it is part of one word of the capability; all parts of those words are
-    listed, some hundred for an agent, and titles meet them by equality.
+    A word has no space, so it is part of one word of a capability. Equal words of capabilities are
+    reduced to their best agent first; parts are listed by hash, and only in lengths that titles have.
     """
-    tokens = agents.select("name", "pos", score.alias("score"), F.explode(_words("capability")).alias("t"))
-    lengths = lambda i: F.sequence(F.lit(2), F.length("t") - i + 1)
-    parts = F.flatten(F.transform(F.sequence(F.lit(1), F.length("t") - 1), lambda i: F.transform(lengths(i), lambda n: F.substring(F.col("t"), i, n))))
-    return tokens.select("name", "pos", "score", F.explode(F.array_distinct(parts)).alias("word"))
+    best = F.struct(score.alias("score"), "pos", "name").alias("best")
+    able = agents.select(best, F.explode(_words("capability")).alias("word")).groupBy("word").agg(F.min("best").alias("best"))
+    wanted = matching.whole_words(asked.select("word").distinct())
+    longest = able.agg(F.max(F.length("word"))).first()[0] or 0
+    # Different lengths of words, up to that of the longest word of a capability.
+    lengths = sorted(r[0] for r in wanted.where(F.col("n") <= longest).select("n").distinct().collect())
+    parts = matching.parts_of_words(able, lengths)
+    return wanted.join(parts, ["n", "h1", "h2"]).select("word", F.col("best").alias("a"))
 
 
 def match_owner(tasks: DataFrame, agents: DataFrame) -> DataFrame:
@@ -49,7 +54,7 @@ def match_owner(tasks: DataFrame, agents: DataFrame) -> DataFrame:
     asked = tasks.select("task_id", F.explode(_words("title")).alias("word"))
     # Equal words are reduced to their best agent before any task meets them.
     best = lambda df: df.groupBy("word").agg(F.min(F.struct("score", "pos", "name")).alias("a"))
-    able = best(_capabilities(agents, outside + 1))
+    able = _able(asked, agents, outside + 1)
     hits = hints.join(best(named), "word").select("task_id", "a").union(asked.join(able, "word").select("task_id", "a"))
     found = hits.groupBy("task_id").agg(F.min("a").alias("a"))
     default = agents.where("executor = 'builtin'").agg(F.min_by("name", "pos").alias("fallback"))
