@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from difflib import SequenceMatcher
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from .running import with_earlier_blocks
+from .running import with_earlier_blocks, with_place
 
 #: Lines of a catalogue by what they begin.
 PART = "^(?:.*?)(全国鼓励外商投资产业目录|中西部等地区外商投资优势产业目录|中西部地区外商投资优势产业目录)$"
@@ -226,24 +230,47 @@ def chunks_of(rows: DataFrame, order: str, size: int = 165) -> DataFrame:
     return blocks.withColumn("chunk", F.floor(place / size).cast("long")).drop("__all", "block", "before")
 
 
+def _batch_plan(sizes: Column, large: Column, capacity: int) -> Column:
+    """For each size of ``sizes(n, c)``, largest first: the batch that is open when its files come, how many of them fit
+    into it, and how many go into each new one.
+
+    ``large`` files, as large as the capacity, have had batches to themselves.
+    """
+    row = "struct<n:bigint,batch:bigint,fit:bigint,each:bigint>"
+    start = F.struct(F.lit(0).cast("bigint").alias("held"), (large - 1).cast("bigint").alias("batch"), F.lit(False).alias("open"), F.array().cast(f"array<{row}>").alias("rows"))
+
+    def step(a: Column, s: Column) -> Column:
+        each = F.when(s.n > 0, F.floor(F.lit(capacity) / s.n)).otherwise(s.c)
+        fit = F.when(~a.open, 0).when(s.n == 0, s.c).otherwise(F.least(s.c, F.floor((F.lit(capacity) - a.held) / F.greatest(s.n, F.lit(1)))))
+        rest = s.c - fit
+        new = F.ceil(rest / each)
+        held = F.when(rest > 0, (rest - (new - 1) * each) * s.n).otherwise(a.held + fit * s.n)
+        told = F.struct(s.n.cast("bigint").alias("n"), a.batch.alias("batch"), fit.cast("bigint").alias("fit"), each.cast("bigint").alias("each"))
+        return F.struct(held.cast("bigint").alias("held"), (a.batch + new).cast("bigint").alias("batch"), F.lit(True).alias("open"), F.concat(a.rows, F.array(told)).alias("rows"))
+
+    return F.aggregate(sizes, start, step, lambda a: a.rows)
+
+
 def greedy_batches(files: DataFrame, capacity: int = 150) -> DataFrame:
     """(group, batch, files) of (group, name, n): files by size, largest first, put into batches of a capacity.
 
     A batch closes when the next file does not fit; a file as large as the capacity has one to
-    itself. What a batch holds depends on all before it, so each group is one ordered fold.
+    itself. Files of equal size move what a batch holds by a rule that needs their number alone, so a
+    group is a fold over at most ``capacity`` sizes, and its files are numbered in ranges: a group of
+    any size is spread over many tasks. Files without a size have none; of equal names any comes first.
     """
-    order = F.reverse(F.array_sort(F.collect_list(F.struct("n", "name"))))
-    start = F.struct(F.lit(0).cast("bigint").alias("held"), F.lit(-1).alias("batch"), F.array().cast("array<struct<name:string,batch:int>>").alias("rows"))
-
-    def step(a: Column, f: Column) -> Column:
-        alone = f.n >= capacity
-        fits = ~alone & (a.batch >= 0) & (a.held > 0) & (a.held + f.n <= capacity)
-        batch = F.when(fits, a.batch).otherwise(a.batch + 1)
-        held = F.when(alone, F.lit(0)).when(fits, a.held + f.n).otherwise(f.n)
-        return F.struct(held.cast("bigint").alias("held"), batch.alias("batch"), F.concat(a.rows, F.array(F.struct(f["name"].alias("name"), batch.alias("batch")))).alias("rows"))
-
-    placed = files.groupBy("group").agg(F.aggregate(order, start, step, lambda a: a.rows).alias("rows"))
-    return placed.select("group", F.inline("rows")).groupBy("group", "batch").agg(F.array_sort(F.collect_list("name")).alias("files"))
+    sized = files.select("group", "name", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
+    sized = sized.withColumn("size", F.least("n", F.lit(capacity)))
+    counts = sized.groupBy("group", "size").agg(F.count("*").alias("c"))
+    small = F.reverse(F.array_sort(F.collect_list(F.when(F.col("size") < capacity, F.struct(F.col("size").alias("n"), "c")))))
+    large = F.coalesce(F.sum(F.when(F.col("size") == capacity, F.col("c"))), F.lit(0))
+    plan = counts.groupBy(F.col("group").alias("g")).agg(_batch_plan(small, large, capacity).alias("rows")).select("g", F.inline("rows"))
+    numbered = with_place(sized, ["group", "size"], [F.desc("n"), F.desc("name")])
+    large_ones = numbered.where(F.col("size") == capacity).select("group", "name", F.col("place").alias("batch"))
+    met = numbered.where(F.col("size") < capacity).drop("n").join(plan, F.col("group").eqNullSafe(F.col("g")) & (F.col("size") == F.col("n")))
+    batch = F.when(F.col("place") < F.col("fit"), F.col("batch")).otherwise(F.col("batch") + 1 + F.floor((F.col("place") - F.col("fit")) / F.col("each")))
+    placed = large_ones.union(met.select("group", "name", batch.cast("bigint").alias("batch")))
+    return placed.groupBy("group", F.col("batch").cast("int").alias("batch")).agg(F.array_sort(F.collect_list("name")).alias("files"))
 
 
 def staleness(labels: DataFrame, sources: DataFrame, built: DataFrame) -> DataFrame:
@@ -301,17 +328,37 @@ def reconcile_status(source: DataFrame, own: DataFrame) -> DataFrame:
     from ..functions.metadata import without_status
 
     def numbered(df: DataFrame) -> DataFrame:
-        keyed = df.withColumn("key", without_status("line"))
-        return keyed.withColumn("k", F.row_number().over(W.partitionBy("file", "key").orderBy("pos")))
+        return with_place(df.withColumn("key", without_status("line")), ["file", "key"], [F.asc("pos")]).withColumnRenamed("place", "k")
 
     now = numbered(source).select("file", "key", "k", F.col("line").alias("new"))
     both = numbered(own).join(now, ["file", "key", "k"], "left")
     return both.select("file", "pos", F.coalesce("new", "line").alias("line"), (F.col("new").isNotNull() & (F.col("new") != F.col("line"))).alias("changed"))
 
 
+def edit_ratio(a: str, b: str) -> float:
+    """Twice the characters of the matching blocks of two texts, by the characters of both.
+
+    Blocks are found as the longest one first, then left and right of it; characters that make up more
+    than a hundredth of a longer text begin none.
+    """
+    return SequenceMatcher(None, a, b).ratio()
+
+
 def similar_enough(a: Column | str, b: Column | str, chars: int = 6000, least: float = 0.5) -> Column:
-    """Whether two texts, white space aside, share at least half of their sequences of four characters by their beginnings."""
-    grams = lambda c: F.when(F.length(c) < 4, F.array(c)).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 3, F.lit(1))), lambda i: F.substring(c, i, F.lit(4)))))
-    x, y = (F.substring(tx.squeeze(c), 1, chars) for c in (a, b))
-    both = F.size(F.array_intersect(grams(x), grams(y)))
-    return (F.length(x) > 0) & (F.length(y) > 0) & (2 * both >= least * (F.size(grams(x)) + F.size(grams(y))))
+    """Whether the beginnings of two texts, white space aside, have an edit ratio of ``least`` or more.
+
+    Pairs that cannot reach it, by their lengths or their characters, are told before blocks are looked for.
+    """
+
+    @F.pandas_udf("boolean")
+    def reach(x: pd.Series, y: pd.Series) -> pd.Series:
+        def one(s: str | None, t: str | None) -> bool:
+            if not s or not t:
+                return False
+            if 2 * min(len(s), len(t)) < least * (len(s) + len(t)) or 2 * sum((Counter(s) & Counter(t)).values()) < least * (len(s) + len(t)):
+                return False
+            return edit_ratio(s, t) >= least
+
+        return pd.Series([one(s, t) for s, t in zip(x, y)], dtype=bool)
+
+    return reach(*[F.substring(tx.squeeze(c), 1, chars) for c in (a, b)])

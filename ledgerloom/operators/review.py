@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -83,26 +88,78 @@ def auto_review(log: DataFrame, rechecks: DataFrame | None = None) -> DataFrame:
     return rows.select("task_id", "review_id", "verdict", next_state.alias("next_state"), F.concat(F.lit("review:dec:"), "review_id").alias("idempotency_key"))
 
 
-def versioned(changes: DataFrame) -> DataFrame:
+#: Whole numbers of the log that make a block of changes.
+CHANGES = 1 << 16
+_SIGNED = "task_id string, block long, plain long, at array<long>, to array<long>"
+
+
+def _map_of(key: tuple, table: pa.Table) -> pa.Table:
+    """What a block of changes makes of a version, as a function: by default it adds the changes that expect none.
+
+    Counted from the version at the block's start and without those changes, a guarded change adds
+    one if it finds what it expects. Read from the end, each takes what it leads to from those behind it.
+    """
+    table = table.sort_by("log_seq")
+    expected = table.column("expected_version").to_numpy(zero_copy_only=False)
+    guarded = ~pd.isna(expected)
+    plain = np.cumsum(~guarded) - ~guarded
+    to: dict[int, int] = {}
+    for d in (expected[guarded] - plain[guarded]).astype(np.int64)[::-1].tolist():
+        to[d] = to.get(d + 1, d + 1)
+    at = sorted(x for x in to if x >= 0)
+    cols = [[key[0].as_py()], [key[1].as_py()], [int((~guarded).sum())], [at], [[to[x] for x in at]]]
+    return pa.table(dict(zip(("task_id", "block", "plain", "at", "to"), cols)), schema=_MAP)
+
+
+_MAP = pa.schema([("task_id", pa.string()), ("block", pa.int64()), ("plain", pa.int64()), ("at", pa.list_(pa.int64())), ("to", pa.list_(pa.int64()))])
+
+
+def _entered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The version at each block's start: a task's maps come in order, and one at a time is looked up."""
+    task, version = object(), 0
+    for batch in batches:
+        out = []
+        for k, (now, plain) in enumerate(zip(batch.column("task_id").to_pylist(), batch.column("plain").to_pylist())):
+            version = version if now == task else 0
+            task = now
+            out.append(version)
+            at = batch.column("at")[k].values.to_numpy()
+            i = int(np.searchsorted(at, version))
+            version = (batch.column("to")[k].values[i].as_py() if i < len(at) and at[i] == version else version) + plain
+        yield pa.RecordBatch.from_arrays([batch.column("task_id"), batch.column("block"), pa.array(out, pa.int64())], names=["task_id", "block", "entry"])
+
+
+def _replayed(key: tuple, table: pa.Table) -> pa.Table:
+    """The changes of a block, one after another, from the version at its start."""
+    table = table.sort_by("log_seq")
+    version, versions, accepted = table.column("entry")[0].as_py(), [], []
+    for expected in table.column("expected_version").to_pylist():
+        fits = expected is None or expected == version
+        versions.append(version)
+        accepted.append(fits)
+        version += fits
+    own = table.select(["task_id", "log_seq", "to", "expected_version"])
+    return own.append_column("version", pa.array(versions, pa.int64())).append_column("accepted", pa.array(accepted, pa.bool_()))
+
+
+def versioned(changes: DataFrame, block: int = CHANGES) -> DataFrame:
     """Which of the state changes (task_id, log_seq, to, expected_version) go through, with ``version`` before each.
 
     A change that expects another version than the task has is refused and leaves the version as it
     is; one that expects none always goes through. Every accepted change counts the version up by
-    one, so what a change finds depends on all before it: one ordered fold over a task's changes.
+    one, so what a change finds depends on all before it. A block of changes is therefore taken as a
+    function of the version at its start; all blocks are read at once, then their functions are
+    applied in order, one lookup for each block, and all blocks are replayed at once. Tasks without a
+    change that expects a version, and changes without a task, are left out.
     """
-    moves = F.array_sort(F.collect_list(F.struct("log_seq", "to", "expected_version")))
-    start = F.struct(F.lit(0).cast("bigint").alias("version"), F.array().cast("array<struct<log_seq:bigint,to:string,expected_version:bigint,version:bigint,accepted:boolean>>").alias("rows"))
-
-    def step(a: Column, m: Column) -> Column:
-        fits = m.expected_version.isNull() | (m.expected_version == a.version)
-        row = F.struct(m.log_seq.alias("log_seq"), m.to.alias("to"), m.expected_version.alias("expected_version"), a.version.alias("version"), fits.alias("accepted"))
-        return F.struct((a.version + F.when(fits, 1).otherwise(0)).cast("bigint").alias("version"), F.concat(a.rows, F.array(row)).alias("rows"))
-
-    guarded = changes.withColumn("guard", F.col("expected_version").isNotNull())
-    has = guarded.groupBy("task_id").agg(F.bool_or("guard").alias("guarded"))
-    both = changes.join(has, "task_id")
-    folded = both.where("guarded").groupBy("task_id").agg(F.aggregate(moves, start, step, lambda a: a.rows).alias("rows"))
-    return folded.select("task_id", F.inline("rows"))
+    rows = changes.select(F.col("task_id").cast("string").alias("task_id"), F.col("log_seq").cast("bigint").alias("log_seq"), "to", F.col("expected_version").cast("bigint").alias("expected_version"))
+    has = rows.where("expected_version IS NOT NULL").select("task_id").distinct()
+    rows = rows.join(has, "task_id", "left_semi").withColumn("block", F.expr(f"log_seq DIV {block}"))
+    maps = rows.select("task_id", "block", "log_seq", "expected_version").groupBy("task_id", "block").applyInArrow(_map_of, _SIGNED)
+    parts = int(changes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    entries = maps.repartition(parts, "task_id").sortWithinPartitions("task_id", "block").mapInArrow(_entered, "task_id string, block long, entry long")
+    schema = "task_id string, log_seq long, to string, expected_version long, version long, accepted boolean"
+    return rows.join(entries, ["task_id", "block"]).groupBy("task_id", "block").applyInArrow(_replayed, schema)
 
 
 def stale_versions(changes: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.shared import settled
+
 #: Whole numbers of the order that make a block.
 BLOCK = 1 << 16
 
@@ -36,3 +38,24 @@ def with_previous(df: DataFrame, key: str, order: str, value: str, name: str, de
     met = rows.join(carried, F.col(key).eqNullSafe(F.col("__key")) & F.col("__block").eqNullSafe(F.col("__b")))
     inside = F.lag(value).over(W.partitionBy(key, "__block").orderBy(order))
     return met.withColumn(name, F.coalesce(inside, "__carried", F.lit(default))).drop("__key", "__b", "__block", "__carried")
+
+
+def with_place(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
+    """``df`` with ``place``, which counts the rows of each key from 0 in an order of any kind.
+
+    Rows are sorted in ranges, so a key with very many rows, equal ones included, is spread over many
+    tasks; a range counts its own rows, and adds those of the key in ranges before. Null keys are keys.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    by = [*[F.asc(k) for k in keys], *order]
+    ordered = df.repartitionByRange(parts, *by, F.monotonically_increasing_id()).sortWithinPartitions(*by)
+    # The number of a range is in the upper bits, that of a row within it in the lower ones.
+    rows = settled(ordered.withColumn("__row", F.monotonically_increasing_id()).withColumn("__range", F.shiftright("__row", 33)))
+    spans = rows.groupBy(*[F.col(k).alias(f"__{k}") for k in keys], F.col("__range").alias("__r")).agg(F.min("__row").alias("__first"), F.count("*").alias("__n"))
+    before = F.sum("__n").over(W.partitionBy(*[f"__{k}" for k in keys]).orderBy("__r").rowsBetween(W.unboundedPreceding, -1))
+    spans = spans.withColumn("__before", F.coalesce(before, F.lit(0)))
+    same = F.col("__range") == F.col("__r")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    place = (F.col("__row") - F.col("__first") + F.col("__before")).alias("place")
+    return rows.join(spans, same).select(*[F.col(f"`{c}`") for c in df.columns], place)
