@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -47,15 +51,45 @@ def vector_search(vectors: DataFrame, query: list[float], top: int = 20, unit: b
     return vectors.select("vec_id", F.round(sim, 4).alias("score"), sim.alias("raw")).orderBy(F.desc("score"), "vec_id").limit(top).drop("raw")
 
 
+#: How soon more occurrences of a word stop to count, and how much a text's length does.
+K1, B = 1.2, 0.75
+
+
+def corpus_facts(docs: DataFrame, words: list[str]) -> DataFrame:
+    """One row: the number of documents with a text, their mean length in words, and ``df``, how many have each of ``words``."""
+    own = _tokens("text")
+    have = [F.count_if(F.array_contains("w", w)) for w in words]
+    rows = docs.where("text IS NOT NULL").select(own.alias("w"))
+    return rows.agg(F.count("*").alias("n"), F.avg(F.size("w")).alias("mean"), (F.array(*have) if have else F.array().cast("array<bigint>")).alias("df"))
+
+
+def _tokens(text: Column | str) -> Column:
+    return F.filter(F.split(F.lower(text), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+
+
+def bm25(text: Column | str, words: list[str], facts: Column) -> Column:
+    """How well a text fits words, by how often it has each of them, its length, and how seldom they are in the corpus."""
+    own = _tokens(text)
+    out = F.lit(0.0)
+    for k, word in enumerate(words):
+        tf = F.size(F.filter(own, lambda w: w == word)).cast("double")  # noqa: B023
+        df = F.get(facts["df"], F.lit(k)).cast("double")
+        rarity = F.log(1 + (facts["n"] - df + 0.5) / (df + 0.5))
+        out = out + rarity * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.size(own) / facts["mean"]))
+    return out
+
+
 def two_stage(vectors: DataFrame, docs: DataFrame, query: list[float], words: list[str], recall: int = 20, top: int = 3) -> DataFrame:
-    """Recall by vector, then order by how many of the words the texts have; the vector settles ties.
+    """Recall by vector, then order by ``bm25`` of the words; the vector settles ties.
 
-    ``vectors`` and ``docs`` share an id. At most ``recall`` rows reach the second stage.
+    ``vectors`` and ``docs`` share an id. At most ``recall`` rows reach the second stage; what it knows of
+    the corpus is one row, counted in one pass.
     """
     found = vector_search(vectors, query, recall).select(F.col("vec_id").alias("doc_id"), F.col("score").alias("similarity"))
-    both = found.join(docs.select("doc_id", "text"), "doc_id")
-    ranked = both.select("doc_id", "similarity", tx.term_score(F.lower("text"), words).alias("rank_score"))
-    return ranked.orderBy(F.desc("rank_score"), F.desc("similarity"), "doc_id").limit(top)
+    words = [w.lower() for w in words]
+    both = found.join(docs.select("doc_id", "text"), "doc_id").crossJoin(F.broadcast(corpus_facts(docs, words).select(F.struct("*").alias("facts"))))  # one row
+    score = F.round(F.coalesce(bm25("text", words, F.col("facts")), F.lit(0.0)), 6)
+    return both.select("doc_id", "similarity", score.alias("rank_score")).orderBy(F.desc("rank_score"), F.desc("similarity"), "doc_id").limit(top)
 
 
 def routed_search(vectors: DataFrame, query: list[float], language: Column, english_query: bool, has_reranker: bool, top: int = 20) -> DataFrame:
@@ -100,6 +134,32 @@ def mean_pooled(tokens: Column | str, mask: Column | str) -> Column:
     return F.transform(mean, lambda x: x / norm)
 
 
+def pooled(vectors: DataFrame, group: str, vector: str = "embedding") -> DataFrame:
+    """(group, n, mean) of rows of vectors: the mean of each group's vectors, at unit length; zeros stay zeros.
+
+    Each batch of a task is summed before anything is moved, so a group is a few sums for each task,
+    however many vectors it has. Null vectors are left out; vectors of a group are equally long.
+    """
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column(vector)
+            parts: dict = {}
+            for k, (key, there) in enumerate(zip(batch.column(group).to_pylist(), column.is_valid().to_pylist())):
+                if there:
+                    own = column[k].values.to_numpy(zero_copy_only=False).astype(np.float64)
+                    total, n = parts.get(key, (0.0, 0))
+                    parts[key] = (total + own, n + 1)
+            cols = [pa.array(parts, batch.column(group).type), pa.array([n for _, n in parts.values()], pa.int64()), pa.array([t for t, _ in parts.values()], pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays(cols, names=[group, "n", "total"])
+
+    parts = vectors.select(group, vector).mapInArrow(sums, f"`{group}` {dict(vectors.dtypes)[group]}, n long, total array<double>")
+    places = parts.select(group, "n", F.posexplode("total").alias("pos", "x")).groupBy(group, "pos").agg(F.sum("n").alias("n"), F.sum("x").alias("x"))
+    whole = places.groupBy(group).agg(F.max("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("pos", (F.col("x") / F.col("n")).alias("m")))), lambda p: p.m).alias("mean"))
+    norm = F.sqrt(dot("mean", "mean"))
+    return whole.select(group, "n", F.transform("mean", lambda x: x / F.greatest(norm, F.lit(1e-9))).alias("mean"))
+
+
 def cli_search(docs: DataFrame, query: str, top: int = 5, name: str = "doc_id") -> DataFrame:
     """(name, score) of the best documents with any term; of equals the greater name comes first."""
     words = tx.terms(query)

@@ -28,16 +28,20 @@ def with_earlier_blocks(df: DataFrame, key: str, order: str, amount: Column, blo
 
 
 def with_previous(df: DataFrame, key: str, order: str, value: str, name: str, default: str, block: int = BLOCK) -> DataFrame:
-    """``df`` with ``name``: ``value`` of the row before of the same key, ``default`` for the first.
+    """(key, order, value) of ``df`` with ``name``: ``value`` of the row before of the same key, ``default`` for the first.
 
-    The last value of each block is carried to the next, so no task sorts a whole key.
+    Rows are moved once, to lists of one block of one key, at most ``block`` long; the last value of
+    each block is carried to the next, so no task sorts a whole key. Null keys are a group.
     """
-    rows = df.withColumn("__block", F.expr(f"`{order}` DIV {block}"))
-    ends = rows.groupBy(F.col(key).alias("__key"), F.col("__block").alias("__b")).agg(F.max_by(value, order).alias("__end"))
-    carried = ends.select("__key", "__b", F.lag("__end").over(W.partitionBy("__key").orderBy("__b")).alias("__carried"))
-    met = rows.join(carried, F.col(key).eqNullSafe(F.col("__key")) & F.col("__block").eqNullSafe(F.col("__b")))
-    inside = F.lag(value).over(W.partitionBy(key, "__block").orderBy(order))
-    return met.withColumn(name, F.coalesce(inside, "__carried", F.lit(default))).drop("__key", "__b", "__block", "__carried")
+    # In a struct null keys are equal to each other, to grouping and join alike.
+    rows = df.select(F.struct(key).alias("__key"), order, value, F.expr(f"`{order}` DIV {block}").alias("__block"))
+    lists = rows.groupBy("__key", "__block").agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).alias("v")))).alias("__rows"))
+    ends = rows.groupBy("__key", "__block").agg(F.max_by(value, order).alias("__end"))
+    carried = ends.select("__key", "__block", F.lag("__end").over(W.partitionBy("__key").orderBy("__block")).alias("__carried"))
+    met = lists.join(carried, ["__key", "__block"])
+    before = lambda i: F.when(i > 0, F.get("__rows", i - 1)["v"]).otherwise(F.coalesce("__carried", F.lit(default)))
+    paired = F.transform("__rows", lambda r, i: F.struct(r.o.alias(order), r.v.alias(value), before(i).alias(name)))
+    return met.select(F.col(f"__key.{key}").alias(key), F.inline(paired))
 
 
 def with_place(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:

@@ -66,10 +66,10 @@ def redact_pii(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", tx.redact("text").alias("text"))
 
 
-@query(f"SELECT doc_id, {_nested('text')} AS text FROM documents")
+@query(f"SELECT conv_id, turn, {_nested('text')} AS text FROM conversations")
 def redact_pii_all(spark, sf_dir):
-    """The same, under the name by which it was known while ``redact_pii`` had fewer rules."""
-    return _docs(spark, sf_dir).select("doc_id", tx.redact("text").alias("text"))
+    """All rules over what people wrote to each other."""
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", tx.redact("text").alias("text"))
 
 
 @query()
@@ -234,11 +234,16 @@ def cosine_by_lang(spark, sf_dir):
     return retrieval.routed_search(table(spark, sf_dir, "embeddings"), _vector(spark, sf_dir), lang, english_query=True, has_reranker=False)
 
 
-_LOW = _SCORE.replace("text", "lower(text)")
+_BM25 = " + ".join(
+    f"ln(1 + (f.n - f.df{k} + 0.5) / (f.df{k} + 0.5)) * t.tf{k} * 2.2 / (t.tf{k} + 1.2 * (0.25 + 0.75 * t.len / f.mean))" for k in range(len(SEARCH.split()))
+)
 
 
-@query(f"""WITH r AS (SELECT e.vec_id AS doc_id, {_SIM} AS similarity FROM embeddings e, embeddings q WHERE q.vec_id = 0 ORDER BY similarity DESC, e.vec_id LIMIT 20)
-  SELECT doc_id, similarity, CAST({_LOW} AS BIGINT) AS rank_score FROM r JOIN documents USING (doc_id) ORDER BY rank_score DESC, similarity DESC, doc_id LIMIT 3""")
+@query(f"""WITH w AS (SELECT doc_id, [x FOR x IN regexp_split_to_array(lower(text), '[\\x20\\x09-\\x0D]+') IF x <> ''] AS w FROM documents WHERE text IS NOT NULL),
+  t AS (SELECT doc_id, len(w) AS len, {", ".join(f"CAST(len([x FOR x IN w IF x = '{x.lower()}']) AS DOUBLE) AS tf{k}" for k, x in enumerate(SEARCH.split()))} FROM w),
+  f AS (SELECT count(*) AS n, avg(len) AS mean, {", ".join(f"CAST(count(*) FILTER (WHERE tf{k} > 0) AS DOUBLE) AS df{k}" for k in range(len(SEARCH.split())))} FROM t),
+  r AS (SELECT e.vec_id AS doc_id, {_SIM} AS similarity FROM embeddings e, embeddings q WHERE q.vec_id = 0 ORDER BY similarity DESC, e.vec_id LIMIT 20)
+  SELECT doc_id, similarity, round({_BM25}, 6) AS rank_score FROM r JOIN t USING (doc_id), f ORDER BY rank_score DESC, similarity DESC, doc_id LIMIT 3""")
 def two_stage_rank(spark, sf_dir):
     return retrieval.two_stage(table(spark, sf_dir, "embeddings"), _docs(spark, sf_dir), _vector(spark, sf_dir), SEARCH.split())
 

@@ -374,9 +374,9 @@ def cli_search(spark, sf_dir):
     return retrieval.cli_search(_docs(spark, sf_dir), "ing")
 
 
-@query("""SELECT label, round(sqrt(list_sum([x * x FOR x IN m])), 6) AS norm FROM (SELECT label, list_sum(NULL::DOUBLE[]) AS z, any_value(embedding) AS m FROM embeddings WHERE false GROUP BY label) UNION ALL SELECT DISTINCT label, 1.0 FROM embeddings""")
+@query("""WITH v AS (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS dim FROM embeddings),
+  m AS (SELECT label, dim, count(*) AS n, avg(CAST(x AS DOUBLE)) AS mean FROM v GROUP BY label, dim)
+  SELECT label, CAST(dim - 1 AS INT) AS dim, n, round(mean / greatest(sqrt(sum(mean * mean) OVER (PARTITION BY label)), 1e-9), 6) + 0.0 AS value FROM m""")
 def pooled_vectors(spark, sf_dir):
-    groups = table(spark, sf_dir, "embeddings").groupBy("label").agg(F.slice(F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))), 1, 4).alias("r"))
-    tokens = groups.select("label", F.transform("r", lambda x: x.embedding).alias("t"))
-    pooled = tokens.select("label", retrieval.mean_pooled("t", F.transform("t", lambda _: F.lit(1))).alias("m"))
-    return pooled.select("label", F.round(F.sqrt(retrieval.dot("m", "m")), 6).alias("norm"))
+    pooled = retrieval.pooled(table(spark, sf_dir, "embeddings"), "label")
+    return pooled.select("label", "n", F.posexplode("mean").alias("dim", "value")).withColumn("value", F.round("value", 6) + F.lit(0.0))

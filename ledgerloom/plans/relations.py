@@ -44,10 +44,13 @@ def token_user_join(spark, sf_dir):
     return tokens.join(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), "c_custkey").select("o_orderkey", "c_name")
 
 
-@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("""SELECT c_custkey, c_name AS name FROM customer WHERE c_name NOT IN
+  (SELECT 'Customer#' || lpad(CAST(o_custkey AS VARCHAR), 9, '0') FROM orders WHERE o_orderstatus = 'P')""")
 def registry_anti(spark, sf_dir):
-    seen = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
-    return table(spark, sf_dir, "customer").select("c_custkey", "c_name").join(seen, "c_custkey", "left_anti")
+    """Customers as templates of agents, of which those with a partly finished order have been registered."""
+    name = F.concat(F.lit("Customer#"), F.lpad(F.col("o_custkey").cast("string"), 9, "0"))
+    registry = table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select(name.alias("name"))
+    return teams.unregistered(table(spark, sf_dir, "customer").select(F.col("c_name").alias("name"), "c_custkey"), registry).select("c_custkey", "name")
 
 
 @query("""WITH a AS (SELECT s_suppkey AS pos, s_name AS name, n_name AS capability, CASE WHEN s_suppkey % 3 = 0 THEN 'external' ELSE 'builtin' END AS executor
