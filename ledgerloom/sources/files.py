@@ -119,12 +119,15 @@ def office_text(kind: str, data: bytes) -> str:
 
 
 def materials(files: DataFrame) -> DataFrame:
-    """``files(name, content)`` with ext, size, text, text_len and note; refused kinds and sizes are left out.
+    """``files(name, content)``, perhaps with project_id, as records: material_id, ext, size, refs, text, text_len and note.
 
-    A file that cannot be read has no text and a note that says so; one bad file stops nothing.
+    Refused are kinds and sizes beyond the limits, and names with a path or a leading dot. The id is
+    of project, name and size, so an upload that comes again is the same material. A file that
+    cannot be read has no text, no ``text_ref`` and a note that says so; one bad file stops nothing.
     """
     ext = F.lower(F.regexp_extract("name", r"\.([^.]+)$", 1))
-    safe = ~F.col("name").contains("..") & ~F.col("name").contains("/")
+    safe = ~F.col("name").contains("..") & ~F.col("name").contains("/") & ~F.contains("name", F.lit("\\")) & ~F.col("name").startswith(".")
+    files = files if "project_id" in files.columns else files.withColumn("project_id", F.lit(""))
     rows = files.where(safe).withColumn("ext", ext).withColumn("size", F.octet_length("content").cast("long"))
     rows = rows.where(F.col("ext").isin(TEXT_KINDS + OFFICE_KINDS + IMAGE_KINDS + ["pdf"]) & (F.col("size") <= MOST_BYTES))
 
@@ -143,9 +146,13 @@ def materials(files: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in keep], *more], names=[*keep, "text", "note"])
 
     schema = ", ".join([*[f"`{n}` {t}" for n, t in rows.dtypes if n != "content"], "text string, note string"])
-    done = rows.withColumn("material_id", F.substring(F.sha2("content", 256), 1, 16)) if "material_id" not in rows.columns else rows
+    made = F.sha2(F.concat_ws(":", F.coalesce("project_id", F.lit("")), "name", F.col("size").cast("string")).cast("binary"), 256)
+    done = rows.withColumn("material_id", F.substring(made, 1, 12)) if "material_id" not in rows.columns else rows
     schema = ", ".join([*[f"`{n}` {t}" for n, t in done.dtypes if n != "content"], "text string, note string"])
-    return done.mapInArrow(run, schema).withColumn("text_len", F.length("text"))
+    told = done.mapInArrow(run, schema).withColumn("text_len", F.length("text"))
+    stem = F.concat(F.lit("project_inputs/"), F.coalesce("project_id", F.lit("")), F.lit("_"), "material_id")
+    text_ref = F.when(F.regexp_replace("text", r"\s", "") != "", F.concat(stem, F.lit(".txt")))
+    return told.withColumn("orig_ref", F.concat(stem, F.lit("_"), "name")).withColumn("text_ref", text_ref)
 
 
 def read_materials(spark: SparkSession, path: str) -> DataFrame:
@@ -198,6 +205,18 @@ def read_clauses(spark: SparkSession, path: str, taxes: list[str] | None = None,
     return lines.where(F.startswith("line", F.lit("- ")))
 
 
+def read_labels(spark: SparkSession, path: str) -> DataFrame:
+    """(id, taxes, rules, subjects, semantic) out of JSON files that map an id to labels; the last file by name counts. For ``clauses.overlay``.
+
+    A label that a file does not give is null. One file is read in one piece; a folder of them in parallel.
+    """
+    labels = "struct<taxes:array<string>,rules:array<string>,subjects:array<string>>"
+    texts = spark.read.option("wholetext", True).text(path).select("value", F.col("_metadata.file_path").alias("file"))
+    rows = texts.select("file", F.explode(F.from_json("value", f"map<string,{labels}>")).alias("id", "l"))
+    last = rows.groupBy("id").agg(F.max_by("l", "file").alias("l"))
+    return last.select("id", "l.*", F.lit(True).alias("semantic"))
+
+
 def clauses_to_judge(clauses: DataFrame, least: int = 12) -> DataFrame:
     """Clauses with a unit, and those without that are long enough to say something."""
     return clauses.where((F.coalesce("unit", F.lit("")) != "") | (F.length("text") >= least))
