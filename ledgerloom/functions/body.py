@@ -9,11 +9,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Radicals that stand for characters and that NFKC leaves alone, each before its character.
-RADICALS = (
-    "⺠民⻛风⻚页⻔门⻄西⻅见⻓长⻝食⻢马⻉贝⻋车⻘青⻜飞⻩黄⻰龙⻳龟⺟母⺘手⺙攴⺮竹⺯糸⺰糸⺱网⺲网⺳网⺴网⺵网⺶羊⺷羊⺸羊⺹老⺺而⺻耒⺼肉⺽肉⺾艸⺿艸⻀艸⻁虎⻂衣⻃西⻆角⻈言⻊足⻌辵⻍辵⻎辵"
-    "⻏邑⻐酉⻑長⻒長⻕阜⻖阜⻗雨⻙韋⻞食⻟食⻠食⻣骨⻤鬼⻥魚⻦鳥⻧鹵⻨麥⻪黽⻫齊⻬齊⻭齒⻮齒⻯龍⻱龜⻲龜"
-)
+#: Radicals that stand for characters and that NFKC leaves alone.
+RADICALS = {
+    "⺠": "民", "⻛": "风", "⻚": "页", "⻔": "门", "⻄": "西", "⻅": "见", "⻓": "长", "⻝": "食", "⻢": "马", "⻉": "贝", "⻋": "车", "⻘": "青",
+    "⻜": "飞", "⻩": "黄", "⻰": "龙", "⻳": "龟", "⺟": "母", "⺘": "手", "⺙": "攴", "⺮": "竹", "⺯": "糸", "⺰": "糸", "⺱": "网", "⺲": "网",
+    "⺳": "网", "⺴": "网", "⺵": "网", "⺶": "羊", "⺷": "羊", "⺸": "羊", "⺹": "老", "⺺": "而", "⺻": "耒", "⺼": "肉", "⺽": "肉", "⺾": "艸",
+    "⺿": "艸", "⻀": "艸", "⻁": "虎", "⻂": "衣", "⻃": "西", "⻆": "角", "⻈": "言", "⻊": "足", "⻌": "辵", "⻍": "辵", "⻎": "辵", "⻏": "邑",
+    "⻐": "酉", "⻑": "長", "⻒": "長", "⻕": "阜", "⻖": "阜", "⻗": "雨", "⻙": "韋", "⻞": "食", "⻟": "食", "⻠": "食", "⻣": "骨", "⻤": "鬼",
+    "⻥": "魚", "⻦": "鳥", "⻧": "鹵", "⻨": "麥", "⻪": "黽", "⻫": "齊", "⻬": "齊", "⻭": "齒", "⻮": "齒", "⻯": "龍", "⻱": "龜", "⻲": "龜",
+}
 #: Marks of clauses and chapters, and the end of a sentence.
 ARTICLE = r"第[一二三四五六七八九十百零\d]+条"
 CLAUSE_MARK = r"^([一二三四五六七八九十百]+、|\d+[．.]|[（(][一二三四五六七八九十]+[)）]|第[一二三四五六七八九十百零\d]+条)"
@@ -79,7 +83,7 @@ def nfkc(texts: pd.Series) -> pd.Series:
 
 def normal(text: Column | str) -> Column:
     """NFKC, then radicals as the characters that they stand for."""
-    return F.translate(nfkc(text), RADICALS[::2], RADICALS[1::2])
+    return F.translate(nfkc(text), "".join(RADICALS), "".join(RADICALS.values()))
 
 
 def strip_page_numbers(text: Column | str) -> Column:

@@ -97,7 +97,7 @@ def test_generalised_export(spark):
 
 def test_normal_characters(spark):
     assert run(spark, body.normal, "⼈⺠ＡＢ１２：⻓⽂") == "人民AB12:长文"
-    for radical, char in zip(body.RADICALS[::2], body.RADICALS[1::2]):
+    for radical, char in zip("".join(body.RADICALS), "".join(body.RADICALS.values())):
         assert unicodedata.name(radical).startswith("CJK RADICAL") and unicodedata.name(char).startswith("CJK UNIFIED")
     assert run(spark, body.normal, None) is None
 
