@@ -16,8 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _ODD = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
-#: Places of a document that are held against passages at once.
-AT_ONCE = 1 << 20
+#: Words of documents that are held against passages at once, about.
+AT_ONCE = 1 << 18
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -39,10 +39,13 @@ class Sequence:
             self.sums.append(np.concatenate([np.zeros(1, np.uint64), np.cumsum(own * power[:n], dtype=np.uint64)]))
             self.inverse.append(back)
 
+    def hash(self, at: np.ndarray, length: np.ndarray | int, which: int) -> np.ndarray:
+        """One of the two signed hashes of 64 bits for each stretch."""
+        sums, back = self.sums[which], self.inverse[which]
+        return _mixed((sums[at + length] - sums[at]) * back[at]).view(np.int64)
+
     def hashes(self, at: np.ndarray, length: np.ndarray | int) -> tuple[np.ndarray, np.ndarray]:
-        """Two signed hashes of 64 bits for each stretch."""
-        out = [_mixed((s[at + length] - s[at]) * b[at]).view(np.int64) for s, b in zip(self.sums, self.inverse)]
-        return out[0], out[1]
+        return self.hash(at, length, 0), self.hash(at, length, 1)
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -98,36 +101,49 @@ def _in_place(table: dict[str, np.ndarray]):
         heads = np.unique(heads)  # by beginning, then length: many passages with one beginning count once for each length
         levels.append((size, heads, np.unique(ends)))
 
-    def found(text: str | None) -> np.ndarray:
-        words = words_of(text)
-        if not words or not levels:
-            return np.empty(0, whole)
-        sequence, out = word_sequence(words), []
-        for size, heads, ends in levels:
-            for a in range(0, len(words) - size + 1, AT_ONCE):
-                at = np.arange(a, min(a + AT_ONCE, len(words) - size + 1))
-                h1, h2 = sequence.hashes(at, size)
-                near = np.isin(h1, heads["h1"])
-                at, h1, h2 = at[near], h1[near], h2[near]
-                low, high = np.searchsorted(heads["h1"], h1, "left"), np.searchsorted(heads["h1"], h1, "right")
-                for k in range(int((high - low).max(initial=0))):  # one length after another
-                    some = low + k < high
-                    head = heads[low[some] + k]
-                    place, fits = at[some], (head["h2"] == h2[some]) & (at[some] + head["n"] <= len(words))
-                    place, head = place[fits], head[fits]
-                    hit = np.empty(len(place), whole)
-                    hit["h1"], hit["h2"], hit["n"] = head["h1"], head["h2"], head["n"]
-                    hit["t1"], hit["t2"] = sequence.hashes(place + head["n"] - size, size)
-                    hit = np.unique(hit)
-                    out.append(hit[np.isin(hit, ends)])
-        return np.unique(np.concatenate(out)) if out else np.empty(0, whole)
+    def found(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+        """(number of the text, passage), once each, of texts side by side."""
+        ends = np.cumsum([len(words) for words in texts])
+        sequence = word_sequence([w for words in texts for w in words])
+        n = int(ends[-1])
+        end = np.repeat(ends, np.diff(ends, prepend=0))
+        docs, out = [np.empty(0, np.int64)], [np.empty(0, whole)]
+        for size, heads, known in levels:
+            at = np.arange(n - size + 1)
+            h1 = sequence.hash(at, size, 0)
+            near = np.flatnonzero(heads["h1"][np.minimum(np.searchsorted(heads["h1"], h1), len(heads) - 1)] == h1)
+            near = near[near + size <= end[near]]
+            h1, h2 = h1[near], sequence.hash(near, size, 1)
+            low, high = np.searchsorted(heads["h1"], h1, "left"), np.searchsorted(heads["h1"], h1, "right")
+            for k in range(int((high - low).max(initial=0))):  # one length after another
+                some = low + k < high
+                head, place = heads[low[some] + k], near[some]
+                fits = (head["h2"] == h2[some]) & (place + head["n"] <= end[place])
+                place, head = place[fits], head[fits]
+                hit = np.empty(len(place), whole)
+                hit["h1"], hit["h2"], hit["n"] = head["h1"], head["h2"], head["n"]
+                hit["t1"], hit["t2"] = sequence.hashes(place + head["n"] - size, size)
+                right = np.isin(hit, known)
+                docs.append(np.searchsorted(ends, place[right], "right"))
+                out.append(hit[right])
+        doc, hits = np.concatenate(docs), np.concatenate(out)
+        pairs = np.empty(len(doc), [("doc", np.int64), ("hit", whole)])
+        pairs["doc"], pairs["hit"] = doc, hits
+        pairs = np.unique(pairs)
+        return pairs["doc"], pairs["hit"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hits = [found(t.as_py()) for t in batch.column("text")]
-            ids = batch.column("doc_id").take(pa.array(np.repeat(np.arange(len(hits)), [len(h) for h in hits]), pa.int64()))
-            every = np.concatenate(hits) if hits else np.empty(0, whole)
-            yield pa.RecordBatch.from_arrays([ids, *[pa.array(np.ascontiguousarray(every[c])) for c in _ENDS]], names=["doc_id", *_ENDS])
+            ids, held, texts, since = batch.column("doc_id"), 0, [], 0
+            for k, text in enumerate(batch.column("text")):
+                texts.append(words_of(text.as_py()))
+                held += len(texts[-1])
+                if held >= AT_ONCE or k + 1 == batch.num_rows:
+                    if held and levels:
+                        doc, hits = found(texts)
+                        own = ids.take(pa.array(doc + since, pa.int64()))
+                        yield pa.RecordBatch.from_arrays([own, *[pa.array(np.ascontiguousarray(hits[c])) for c in _ENDS]], names=["doc_id", *_ENDS])
+                    held, texts, since = 0, [], k + 1
 
     return run
 
