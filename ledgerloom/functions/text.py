@@ -80,16 +80,28 @@ def snippet(text: str, words: list[str], before: int = 200, after: int = 600) ->
     return F.trim(F.regexp_replace(F.substring(F.col(text), start + 1, at + after - start), r"\s+", " "))
 
 
+#: Rules up to here look for a mail address and for digits; the others for Chinese or for one of these names.
+_MAIL, _DIGITS = 1, 7
+_NAMED = r"[一-龥]|PwC|Pricewaterhouse|Deloitte|KPMG|(?i:ernst)|Wolters"
+
+
 def redact(text: Column | str) -> Column:
-    """All redactions, in order.
+    """All redactions, in order; a text is held only against those that may find something in it.
 
     The part of a mail address before its sign is looked for only where such a run begins, as a long
     run of letters would be tried from each of its characters.
     """
-    out = F.col(text) if isinstance(text, str) else text
-    for k, (pattern, by) in enumerate(REDACTIONS):
-        out = F.regexp_replace(out, pattern if k else r"(?:\G|(?<![A-Za-z0-9._%+-]))" + pattern.replace("+-]+", "+-]++", 1), by)
-    return out
+    text = F.col(text) if isinstance(text, str) else text
+
+    def applied(first: int, last: int) -> Column:
+        out = text
+        for k, (pattern, by) in list(enumerate(REDACTIONS))[first:last]:
+            out = F.regexp_replace(out, pattern if k else r"(?:\G|(?<![A-Za-z0-9._%+-]))" + pattern.replace("+-]+", "+-]++", 1), by)
+        return out
+
+    mail, digits = F.contains(text, F.lit("@")), F.rlike(text, F.lit("[0-9]"))
+    some = F.when(mail & digits, applied(0, _DIGITS)).when(mail, applied(0, _MAIL)).when(digits, applied(_MAIL, _DIGITS)).otherwise(text)
+    return F.when(F.rlike(text, F.lit(_NAMED)), applied(0, len(REDACTIONS))).otherwise(some)
 
 
 def mask_amounts(text: Column | str) -> Column:

@@ -20,20 +20,19 @@ def approvals(log: DataFrame) -> DataFrame:
     signatures is an array of (signer, result, opinion, ts) in order; the rule is ``all`` if missing.
     """
     own = log.where(kind().startswith("approval.") & F.col(P + "approval_id").isNotNull()).withColumn("approval_id", F.col(P + "approval_id"))
-    asked = own.where(is_type("approval.requested")).groupBy("approval_id")
-    start = asked.agg(
-        F.max("log_seq").alias("start"),
-        F.max_by(F.struct("project_id", "task_id", P + "scope", P + "initiator", "created_at_ts"), seq()).alias("r"),
-    )
-    live = own.join(start, "approval_id").where("log_seq >= start")
     named = is_type("approval.requested", "approval.signers_set")
     signed = F.struct(seq().alias("s"), F.col(P + "signer").alias("signer"), F.col(P + "result").alias("result"), F.col(P + "opinion").alias("opinion"), F.col("created_at_ts").alias("ts"))
-    rows = live.groupBy("approval_id").agg(
-        F.first("r").alias("r"),
+    # One pass: the last naming is never before the last request, and what is older than that is left out afterwards.
+    asked = F.when(is_type("approval.requested"), seq())
+    rows = own.groupBy("approval_id").agg(
+        F.max(asked).alias("start"),
+        F.max_by(F.struct("project_id", "task_id", P + "scope", P + "initiator", "created_at_ts"), asked).alias("r"),
         F.max_by(F.struct(P + "signers", P + "rule"), F.when(named, seq())).alias("n"),
         F.array_sort(F.collect_list(F.when(is_type("approval.signed"), signed))).alias("signatures"),
-        F.max_by(P + "result", F.when(is_type("approval.decided"), seq())).alias("decision"),
+        F.max_by(F.struct(seq().alias("s"), F.col(P + "result").alias("result")), F.when(is_type("approval.decided"), seq())).alias("d"),
     )
+    rows = rows.where("start IS NOT NULL").withColumn("signatures", F.filter("signatures", lambda x: x.s >= F.col("start")))
+    rows = rows.withColumn("decision", F.when(F.col("d.s") >= F.col("start"), F.col("d.result")))
     return rows.select(
         "approval_id", "r.project_id", "r.task_id", "r.scope", "r.initiator", F.col("r.created_at_ts").alias("requested_ts"),
         F.array_distinct(F.coalesce("n.signers", F.array().cast("array<string>"))).alias("signers"),

@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..sources.shared import settled
 from .running import with_earlier_blocks, with_place
 
 #: Lines of a catalogue by what they begin.
@@ -141,8 +142,9 @@ def ambiguous_numbers(docs: DataFrame) -> DataFrame:
     """``docs(number, name ...)`` with ``ambiguous`` and ``display``: a number that several documents have gets their short title."""
     from ..functions.metadata import short_title
 
-    n = docs.groupBy("number").agg((F.count("*") > 1).alias("ambiguous"))
-    rows = docs.join(n, "number")
+    several = docs.groupBy("number").agg(F.count("*").alias("n")).where("n > 1 AND number IS NOT NULL").select("number", F.lit(True).alias("ambiguous"))
+    # Written first, so that Spark can split a number that very many documents have.
+    rows = docs.where("number IS NOT NULL").join(settled(several), "number", "left").withColumn("ambiguous", F.coalesce("ambiguous", F.lit(False)))
     return rows.withColumn("display", F.when(F.col("ambiguous"), F.concat("number", F.lit("·"), short_title("name"))).otherwise(F.col("number")))
 
 
