@@ -17,7 +17,7 @@ import numpy as np
 from .common import single_threaded
 
 #: Words kept, and letter sequences kept; beyond that the cache starts anew. About 150 bytes each.
-CACHE_WORDS, CACHE_LETTERS = 200_000, 200_000
+CACHE_WORDS, CACHE_LETTERS = 500_000, 500_000
 #: Words longer than this are not kept.
 CACHE_BYTES = 64
 SLICE = 512
@@ -104,16 +104,17 @@ class WordEncoder:
                 known[w] = letters[c]
         known.update(zip(rest, self._whole([w.decode() for w in rest])))
         if len(letters) > CACHE_LETTERS:
-            self.letters, self.marks = {}, {"": b""}
+            self.letters, self.marks = {c: letters[c] for _, c, _ in cut if c}, {"": b""}
 
     def encode(self, texts: list[str | None], end: bytes = b""):
         """The ids of each text, null as empty, followed by ``end``."""
         for at in range(0, len(texts), SLICE):
             split = [(t or "").encode().split() for t in texts[at : at + SLICE]]
-            new = list(set().union(*split) - self.known.keys())
+            own = set().union(*split)
+            new = list(own - self.known.keys())
             if len(self.known) + len(new) > CACHE_WORDS:
-                self.known = {}
-                new = list(set().union(*split))
+                # What these texts need stays, most of it words that the next ones need as well.
+                self.known = {w: self.known[w] for w in own & self.known.keys()}
             if new:
                 self._learn(new)
             get = self.known.__getitem__
