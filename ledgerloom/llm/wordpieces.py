@@ -17,7 +17,7 @@ import numpy as np
 from .common import single_threaded
 
 #: Words kept, and letter sequences kept; beyond that the cache starts anew. About 150 bytes each.
-CACHE_WORDS, CACHE_LETTERS = 500_000, 500_000
+CACHE_WORDS, CACHE_LETTERS = 800_000, 800_000
 #: Words longer than this are not kept.
 CACHE_BYTES = 64
 SLICE = 512
@@ -110,11 +110,13 @@ class WordEncoder:
         """The ids of each text, null as empty, followed by ``end``."""
         for at in range(0, len(texts), SLICE):
             split = [(t or "").encode().split() for t in texts[at : at + SLICE]]
-            own = set().union(*split)
-            new = list(own - self.known.keys())
+            new = set()
+            for words in split:  # small sets first, which are quick to make
+                new |= set(words).difference(self.known)
             if len(self.known) + len(new) > CACHE_WORDS:
                 # What these texts need stays, most of it words that the next ones need as well.
-                self.known = {w: self.known[w] for w in own & self.known.keys()}
+                self.known = {w: self.known[w] for w in set().union(*split) - new}
+            new = list(new)
             if new:
                 self._learn(new)
             get = self.known.__getitem__
