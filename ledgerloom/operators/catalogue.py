@@ -164,6 +164,26 @@ def index_totals(clauses: DataFrame) -> DataFrame:
     return totals.crossJoin(F.broadcast(subjects)).crossJoin(F.broadcast(pairs))  # one row each
 
 
+#: How many samples of a kind a report has, and how many characters of each.
+SAMPLES = {"untaxed": (30, 100), "no_subject": (40, 100), "unclassified": (60, 90)}
+
+
+def report_samples(rows: DataFrame, samples: dict[str, tuple[int, int]] = SAMPLES) -> DataFrame:
+    """(kind, place, pos, text, total): the first of ``rows(kind, pos, text)`` of each kind, cut, with the number of all of them.
+
+    Each task keeps its own first ones before anything is moved. Kinds without a limit are no samples and left out.
+    """
+    most = F.create_map(*[F.lit(x) for k, (n, _) in samples.items() for x in (k, n)])
+    cut = F.create_map(*[F.lit(x) for k, (_, n) in samples.items() for x in (k, n)])
+    known = rows.where(F.col("kind").isin(list(samples)))
+    totals = known.groupBy("kind").agg(F.count("*").alias("total"))
+    order = W.partitionBy("kind").orderBy(F.asc_nulls_last("pos"), "text")
+    first = known.select("kind", "pos", "text", F.row_number().over(order).alias("place")).where(F.col("place") <= max(n for n, _ in samples.values()))
+    first = first.where(F.col("place") <= F.element_at(most, F.col("kind")))
+    text = F.substring(F.col("text"), F.lit(1), F.element_at(cut, F.col("kind")))
+    return first.join(totals, "kind").select("kind", "place", "pos", text.alias("text"), "total")
+
+
 def by_part(rows: DataFrame) -> DataFrame:
     """Entries of a catalogue by part."""
     return rows.groupBy("part").agg(F.count("*").alias("n"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -134,6 +134,38 @@ def mean_pooled(tokens: Column | str, mask: Column | str) -> Column:
     return F.transform(mean, lambda x: x / norm)
 
 
+#: Models by name, in each Python worker.
+_MODELS: dict[str, Callable[[list[str]], np.ndarray]] = {}
+
+
+def embed(rows: DataFrame, name: str, load: Callable[[], Callable[[list[str]], np.ndarray]], text: str = "text", at_once: int = 64) -> DataFrame:
+    """``rows`` with ``embedding``: what a model makes of their texts, at unit length; null for null texts.
+
+    ``load`` gives a function from texts to a matrix with a row for each. A Python worker calls it once
+    for each ``name`` and keeps the model for all its tasks. Texts go to it ``at_once`` at a time, in
+    order of length within a batch, so that a model which pads them pads little.
+    """
+    rows = rows.drop("embedding")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if name not in _MODELS:
+                _MODELS[name] = load()
+            texts = batch.column(text).to_pylist()
+            order = sorted((k for k, t in enumerate(texts) if t is not None), key=lambda k: len(texts[k]))
+            vectors: list = [None] * len(texts)
+            for at in range(0, len(order), at_once):
+                some = order[at : at + at_once]
+                made = np.asarray(_MODELS[name]([texts[k] for k in some]), np.float32)
+                made = made / np.maximum(np.linalg.norm(made, axis=1, keepdims=True), 1e-9)
+                for k, vector in zip(some, made):
+                    vectors[k] = vector
+            column = pa.array(vectors, pa.list_(pa.float32()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, column], names=[*batch.schema.names, "embedding"])
+
+    return rows.mapInArrow(run, ", ".join([*[f"`{n}` {t}" for n, t in rows.dtypes], "embedding array<float>"]))
+
+
 def pooled(vectors: DataFrame, group: str, vector: str = "embedding") -> DataFrame:
     """(group, n, mean) of rows of vectors: the mean of each group's vectors, at unit length; zeros stay zeros.
 

@@ -380,3 +380,14 @@ def cli_search(spark, sf_dir):
 def pooled_vectors(spark, sf_dir):
     pooled = retrieval.pooled(table(spark, sf_dir, "embeddings"), "label")
     return pooled.select("label", "n", F.posexplode("mean").alias("dim", "value")).withColumn("value", F.round("value", 6) + F.lit(0.0))
+
+
+@query("""WITH k AS (SELECT CASE WHEN lang IS NULL THEN 'unclassified' WHEN lang = 'en' THEN 'untaxed' WHEN lang = 'de' THEN 'no_subject' ELSE 'other' END AS kind, doc_id AS pos, text FROM documents),
+  r AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY pos NULLS LAST, text) AS place, count(*) OVER (PARTITION BY kind) AS total FROM k)
+  SELECT kind, CAST(place AS INT) AS place, pos, substring(text, 1, CASE kind WHEN 'unclassified' THEN 90 ELSE 100 END) AS text, total FROM r
+  WHERE place <= CASE kind WHEN 'untaxed' THEN 30 WHEN 'no_subject' THEN 40 WHEN 'unclassified' THEN 60 ELSE 0 END""")
+def report_samples(spark, sf_dir):
+    """What a report shows of documents of three kinds."""
+    lang = F.col("lang")
+    kind = F.when(lang.isNull(), "unclassified").when(lang == "en", "untaxed").when(lang == "de", "no_subject").otherwise("other")
+    return cat.report_samples(_docs(spark, sf_dir).select(kind.alias("kind"), F.col("doc_id").alias("pos"), "text"))

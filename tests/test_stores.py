@@ -10,7 +10,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import clauses
+from ledgerloom.operators import clauses, retrieval
 from ledgerloom.sources import files, office
 from ledgerloom.sources.vectors import VectorStore, routed
 
@@ -114,3 +114,25 @@ def test_labels_from_files(spark, tmp_path):
     own = spark.createDataFrame([("x_0", ["old"], ["r"]), ("x_1", ["old"], ["r"]), ("x_2", ["old"], ["r"])], "id string, taxes array<string>, rules array<string>")
     got = clauses.overlay(own, files.read_labels(spark, str(tmp_path)), "id", ["taxes", "rules"])
     assert {r["id"]: (r["taxes"], r["rules"]) for r in got.collect()} == {"x_0": (["增值税"], []), "x_1": (["印花税"], ["r"]), "x_2": (["old"], ["r"])}
+
+
+def test_a_model_is_loaded_once_a_worker(spark, tmp_path):
+    marks = str(tmp_path / "loads")
+    os.makedirs(marks)
+
+    def load():
+        import uuid
+
+        open(f"{marks}/{os.getpid()}-{uuid.uuid4().hex}", "w").close()
+        return lambda texts: [[float(len(t)), 3.0, 0.0] for t in texts]
+
+    rows = spark.createDataFrame([(k, "x" * (k % 9) if k % 10 else None, 1.5) for k in range(400)], "id long, text string, embedding double").repartition(16)
+    got = retrieval.embed(rows, f"test {marks}", load, at_once=7)
+    for _ in range(2):
+        found = {r["id"]: r["embedding"] for r in got.collect()}
+    for k in range(400):
+        n = k % 9
+        want = None if k % 10 == 0 else [n / (n * n + 9) ** 0.5, 3 / (n * n + 9) ** 0.5, 0.0]
+        assert found[k] is None if want is None else all(abs(a - b) < 1e-6 for a, b in zip(found[k], want))
+    loads = [name.split("-")[0] for name in os.listdir(marks)]
+    assert loads and len(loads) == len(set(loads))
