@@ -138,6 +138,13 @@ def mean_pooled(tokens: Column | str, mask: Column | str) -> Column:
 _MODELS: dict[str, Callable[[list[str]], np.ndarray]] = {}
 
 
+def _model(name: str, load: Callable[[], Callable[[list[str]], np.ndarray]]) -> Callable[[list[str]], np.ndarray]:
+    """The model of that name, which the first call in a worker loads."""
+    if name not in _MODELS:
+        _MODELS[name] = load()
+    return _MODELS[name]
+
+
 def embed(rows: DataFrame, name: str, load: Callable[[], Callable[[list[str]], np.ndarray]], text: str = "text", at_once: int = 64) -> DataFrame:
     """``rows`` with ``embedding``: what a model makes of their texts, at unit length; null for null texts.
 
@@ -149,14 +156,13 @@ def embed(rows: DataFrame, name: str, load: Callable[[], Callable[[list[str]], n
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if name not in _MODELS:
-                _MODELS[name] = load()
+            model = _model(name, load)
             texts = batch.column(text).to_pylist()
             order = sorted((k for k, t in enumerate(texts) if t is not None), key=lambda k: len(texts[k]))
             vectors: list = [None] * len(texts)
             for at in range(0, len(order), at_once):
                 some = order[at : at + at_once]
-                made = np.asarray(_MODELS[name]([texts[k] for k in some]), np.float32)
+                made = np.asarray(model([texts[k] for k in some]), np.float32)
                 made = made / np.maximum(np.linalg.norm(made, axis=1, keepdims=True), 1e-9)
                 for k, vector in zip(some, made):
                     vectors[k] = vector
