@@ -36,7 +36,7 @@ def with_previous(df: DataFrame, key: str, order: str, value: str, name: str, de
     # In a struct null keys are equal to each other, to grouping and join alike.
     rows = df.select(F.struct(key).alias("__key"), order, value, F.expr(f"`{order}` DIV {block}").alias("__block"))
     lists = rows.groupBy("__key", "__block").agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).alias("v")))).alias("__rows"))
-    ends = rows.groupBy("__key", "__block").agg(F.max_by(value, order).alias("__end"))
+    ends = lists.select("__key", "__block", F.element_at("__rows", -1)["v"].alias("__end"))
     carried = ends.select("__key", "__block", F.lag("__end").over(W.partitionBy("__key").orderBy("__block")).alias("__carried"))
     met = lists.join(carried, ["__key", "__block"])
     before = lambda i: F.when(i > 0, F.get("__rows", i - 1)["v"]).otherwise(F.coalesce("__carried", F.lit(default)))

@@ -33,9 +33,8 @@ def _able(asked: DataFrame, agents: DataFrame, score: Column) -> DataFrame:
     best = F.struct(score.alias("score"), "pos", "name").alias("best")
     able = agents.select(best, F.explode(_words("capability")).alias("word")).groupBy("word").agg(F.min("best").alias("best"))
     wanted = matching.whole_words(asked.select("word").distinct())
-    longest = able.agg(F.max(F.length("word"))).first()[0] or 0
-    # Different lengths of words, up to that of the longest word of a capability.
-    lengths = sorted(r[0] for r in wanted.where(F.col("n") <= longest).select("n").distinct().collect())
+    # Different lengths of words: a few numbers.
+    lengths = sorted(r[0] for r in asked.select(F.length("word").alias("n")).distinct().collect())
     parts = matching.parts_of_words(able, lengths)
     return wanted.join(parts, ["n", "h1", "h2"]).select("word", F.col("best").alias("a"))
 
