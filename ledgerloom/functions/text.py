@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -82,6 +84,11 @@ def snippet(text: str, words: list[str], before: int = 200, after: int = 600) ->
 
 #: Rules up to here look for a mail address and for digits; the others for Chinese or for one of these names.
 _MAIL, _DIGITS = 1, 7
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once, however often and in whatever lambda ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 _NAMED = r"[一-龥]|PwC|Pricewaterhouse|Deloitte|KPMG|(?i:ernst)|Wolters"
 
 

@@ -31,11 +31,16 @@ def drop_repeated_lines(text: Column | str, times: int = 5, longest: int = 80) -
     Sorted once, equal lines lie together, so one look at the neighbours ``times`` places away
     tells which come often enough.
     """
-    parts = F.split(text, "\n")
-    trimmed = F.array_sort(F.filter(F.transform(parts, lambda x: F.trim(x)), lambda x: (x != "") & (F.length(x) <= longest)))
-    often = F.array_distinct(F.filter(trimmed, lambda x, i: F.get(trimmed, i + (times - 1)) == x))
-    kept = F.transform(parts, lambda x: F.when(F.array_contains(often, F.trim(x)), "").otherwise(x))
-    return F.when(F.size(often) > 0, F.array_join(kept, "\n")).otherwise(text if isinstance(text, Column) else F.col(text))
+    text = text if isinstance(text, Column) else F.col(text)
+    often = lambda few: F.array_distinct(F.filter(few, lambda x, i: F.get(few, i + (times - 1)) == x))
+    short = lambda parts: F.array_sort(F.filter(F.transform(parts, lambda x: F.trim(x)), lambda x: (x != "") & (F.length(x) <= longest)))
+
+    def blanked(text: Column, often: Column) -> Column:
+        kept = F.transform(F.split(text, "\n"), lambda x: F.when(F.array_contains(often, F.trim(x)), "").otherwise(x))
+        return F.when(F.size(often) > 0, F.array_join(kept, "\n")).otherwise(text)
+
+    # The lines are bound before a lambda names them, or it would cut and sort the text again for each line.
+    return tx.once(text, lambda t: tx.once(tx.once(short(F.split(t, "\n")), often), lambda o: blanked(t, o)))
 
 
 def repeated_lines(docs: DataFrame, times: int = 5, longest: int = 80) -> DataFrame:
@@ -46,7 +51,7 @@ def repeated_lines(docs: DataFrame, times: int = 5, longest: int = 80) -> DataFr
 
 def clean(text: Column | str) -> Column:
     """Doubled words, personal data, noise lines and running headers, in this order."""
-    return drop_repeated_lines(tx.strip_noise(tx.redact(tx.collapse_doubled(text))))
+    return drop_repeated_lines(tx.strip_noise(tx.once(tx.collapse_doubled(text), tx.redact)))
 
 
 def desensitized(text: Column | str, watched: list[str] | None = None) -> Column:
@@ -55,7 +60,7 @@ def desensitized(text: Column | str, watched: list[str] | None = None) -> Column
     Doubled words, personal data, lists of clients, notices and noise, running headers, watched names,
     names behind labels, and placeholders side by side, in this order.
     """
-    out = masks.strip_boilerplate(masks.hide_rosters(tx.redact(tx.collapse_doubled(text))))
+    out = masks.strip_boilerplate(masks.hide_rosters(tx.once(tx.collapse_doubled(text), tx.redact)))
     out = drop_repeated_lines(tx.strip_noise(out))
     out = masks.mask_people(masks.mask_watched(masks.merge_branches(out), watched or []))
     return masks.merge_marks(out)

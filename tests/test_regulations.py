@@ -318,3 +318,16 @@ def test_whole_table_against_plain_python(spark, tiny):
     doubled = {r["doc_id"]: r["text"] for r in QUERIES["doubled_word_collapse"](spark, tiny).collect()}
     assert doubled == {d: re.sub(r"([A-Za-z]{4,})\1", r"\1", t) for d, t in texts.items()}
     assert {r["doc_id"]: r["text"] for r in QUERIES["clean_documents"](spark, tiny).collect()} == {d: cleaned(t) for d, t in texts.items()}
+
+
+def test_cleaning_names_each_step_once(spark):
+    """Spark repeats a named expression, in a lambda for each line; so each text is cut and searched once only."""
+    text = "\n".join(f"line {k} of 555 bywords someone@example.org goodgood" for k in range(3000)) + "\nHeader" * 5
+    docs = spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id long, text string")
+    for clean in (documents.clean, documents.desensitized):
+        df = docs.select("doc_id", clean("text").alias("text"))
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count(r"([A-Za-z]{4,})\1") == 1 and plan.count("split(") <= 2
+        got = {r["doc_id"]: r["text"] for r in df.collect()}
+        assert got[2] is None and got[3] == ""
+        assert got[1].split("\n")[7] == "line 7 of 555 bywords [邮箱] good" and not any(got[1].split("\n")[3000:])
