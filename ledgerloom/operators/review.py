@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -93,53 +92,77 @@ CHANGES = 1 << 16
 _SIGNED = "task_id string, block long, plain long, at array<long>, to array<long>"
 
 
-def _map_of(key: tuple, table: pa.Table) -> pa.Table:
+def _map_of(expected: list[int | None]) -> tuple[int, list[int], list[int]]:
     """What a block of changes makes of a version, as a function: by default it adds the changes that expect none.
 
     Counted from the version at the block's start and without those changes, a guarded change adds
     one if it finds what it expects. Read from the end, each takes what it leads to from those behind it.
     """
-    table = table.sort_by("log_seq")
-    expected = table.column("expected_version").to_numpy(zero_copy_only=False)
-    guarded = ~pd.isna(expected)
-    plain = np.cumsum(~guarded) - ~guarded
+    plain, guarded = 0, []
+    for e in expected:
+        if e is None:
+            plain += 1
+        else:
+            guarded.append(e - plain)
     to: dict[int, int] = {}
-    for d in (expected[guarded] - plain[guarded]).astype(np.int64)[::-1].tolist():
+    for d in reversed(guarded):
         to[d] = to.get(d + 1, d + 1)
     at = sorted(x for x in to if x >= 0)
-    cols = [[key[0].as_py()], [key[1].as_py()], [int((~guarded).sum())], [at], [[to[x] for x in at]]]
-    return pa.table(dict(zip(("task_id", "block", "plain", "at", "to"), cols)), schema=_MAP)
+    return plain, at, [to[x] for x in at]
 
 
 _MAP = pa.schema([("task_id", pa.string()), ("block", pa.int64()), ("plain", pa.int64()), ("at", pa.list_(pa.int64())), ("to", pa.list_(pa.int64()))])
 
 
+def _maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The functions of all blocks of a partition, whose rows come in order: one pass, whatever the number of blocks."""
+    key, expected = None, []
+    for batch in batches:
+        out = []
+        for now in zip(*(batch.column(c).to_pylist() for c in ("task_id", "block", "expected_version"))):
+            if now[:2] != key:
+                if key:
+                    out.append((*key, *_map_of(expected)))
+                key, expected = now[:2], []
+            expected.append(now[2])
+        yield pa.RecordBatch.from_pylist([dict(zip(_MAP.names, x)) for x in out], schema=_MAP)
+    if key:
+        yield pa.RecordBatch.from_pylist([dict(zip(_MAP.names, (*key, *_map_of(expected))))], schema=_MAP)
+
+
 def _entered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The version at each block's start: a task's maps come in order, and one at a time is looked up."""
     task, version = object(), 0
     for batch in batches:
         out = []
-        for k, (now, plain) in enumerate(zip(batch.column("task_id").to_pylist(), batch.column("plain").to_pylist())):
+        at, to = (batch.column(c).flatten().to_numpy() for c in ("at", "to"))
+        end = 0
+        for now, plain, n in zip(*(batch.column(c).to_pylist() for c in ("task_id", "plain", "n"))):
             version = version if now == task else 0
             task = now
             out.append(version)
-            at = batch.column("at")[k].values.to_numpy()
-            i = int(np.searchsorted(at, version))
-            version = (batch.column("to")[k].values[i].as_py() if i < len(at) and at[i] == version else version) + plain
+            i = end + int(np.searchsorted(at[end : end + n], version))
+            end += n
+            version = (int(to[i]) if i < end and at[i] == version else version) + plain
         yield pa.RecordBatch.from_arrays([batch.column("task_id"), batch.column("block"), pa.array(out, pa.int64())], names=["task_id", "block", "entry"])
 
 
-def _replayed(key: tuple, table: pa.Table) -> pa.Table:
-    """The changes of a block, one after another, from the version at its start."""
-    table = table.sort_by("log_seq")
-    version, versions, accepted = table.column("entry")[0].as_py(), [], []
-    for expected in table.column("expected_version").to_pylist():
-        fits = expected is None or expected == version
-        versions.append(version)
-        accepted.append(fits)
-        version += fits
-    own = table.select(["task_id", "log_seq", "to", "expected_version"])
-    return own.append_column("version", pa.array(versions, pa.int64())).append_column("accepted", pa.array(accepted, pa.bool_()))
+def _replayed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The changes of each block, one after another; a row with the version at its start comes before them."""
+    version = 0
+    for batch in batches:
+        versions, accepted = [], []
+        for entry, expected in zip(batch.column("entry").to_pylist(), batch.column("expected_version").to_pylist()):
+            if entry is not None:
+                version = entry
+                continue
+            fits = expected is None or expected == version
+            versions.append(version)
+            accepted.append(fits)
+            version += fits
+        own = batch.filter(batch.column("entry").is_null())
+        cols = [own.column(c) for c in ("task_id", "log_seq", "to", "expected_version")]
+        yield pa.RecordBatch.from_arrays([*cols, pa.array(versions, pa.int64()), pa.array(accepted, pa.bool_())], names=["task_id", "log_seq", "to", "expected_version", "version", "accepted"])
 
 
 def versioned(changes: DataFrame, block: int = CHANGES) -> DataFrame:
@@ -149,17 +172,20 @@ def versioned(changes: DataFrame, block: int = CHANGES) -> DataFrame:
     is; one that expects none always goes through. Every accepted change counts the version up by
     one, so what a change finds depends on all before it. A block of changes is therefore taken as a
     function of the version at its start; all blocks are read at once, then their functions are
-    applied in order, one lookup for each block, and all blocks are replayed at once. Tasks without a
-    change that expects a version, and changes without a task, are left out.
+    applied in order, one lookup for each block, and all blocks are replayed at once. Blocks lie in
+    order in their partitions, so that very many small ones cost no more than their rows. Tasks without
+    a change that expects a version, and changes without a task or a place in the log, are left out.
     """
     rows = changes.select(F.col("task_id").cast("string").alias("task_id"), F.col("log_seq").cast("bigint").alias("log_seq"), "to", F.col("expected_version").cast("bigint").alias("expected_version"))
     has = rows.where("expected_version IS NOT NULL").select("task_id").distinct()
-    rows = rows.join(has, "task_id", "left_semi").withColumn("block", F.expr(f"log_seq DIV {block}"))
-    maps = rows.select("task_id", "block", "log_seq", "expected_version").groupBy("task_id", "block").applyInArrow(_map_of, _SIGNED)
+    rows = rows.where("log_seq IS NOT NULL").join(has, "task_id", "left_semi").withColumn("block", F.expr(f"log_seq DIV {block}"))
     parts = int(changes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = rows.select("task_id", "block", "log_seq", "expected_version").repartition(parts, "task_id", "block").sortWithinPartitions("task_id", "block", "log_seq")
+    maps = ordered.select("task_id", "block", "expected_version").mapInArrow(_maps, _SIGNED).withColumn("n", F.size("at"))
     entries = maps.repartition(parts, "task_id").sortWithinPartitions("task_id", "block").mapInArrow(_entered, "task_id string, block long, entry long")
-    schema = "task_id string, log_seq long, to string, expected_version long, version long, accepted boolean"
-    return rows.join(entries, ["task_id", "block"]).groupBy("task_id", "block").applyInArrow(_replayed, schema)
+    both = rows.withColumn("entry", F.lit(None).cast("bigint")).unionByName(entries, allowMissingColumns=True)
+    both = both.repartition(parts, "task_id", "block").sortWithinPartitions("task_id", "block", F.col("entry").isNull(), "log_seq")
+    return both.mapInArrow(_replayed, "task_id string, log_seq long, to string, expected_version long, version long, accepted boolean")
 
 
 def stale_versions(changes: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import functions as F
 
 from ledgerloom.model import events_frame
@@ -210,3 +212,23 @@ def test_language_routes(spark):
     assert ids(english_query=False, has_reranker=True) == [2] and ids(english_query=False, has_reranker=False) == [2]
     pooled = spark.createDataFrame([([[3.0, 0.0], [0.0, 4.0], [9.0, 9.0]], [1, 1, 0]), ([[1.0, 1.0]], [0])], "t array<array<float>>, m array<int>").select(retrieval.mean_pooled("t", "m").alias("v")).collect()
     assert [round(x, 6) for x in pooled[0]["v"]] == [0.6, 0.8] and pooled[1]["v"] == [0.0, 0.0]
+
+
+def test_very_many_small_blocks_are_passed_over_in_order(spark):
+    """Blocks are no groups of their own, each with its call; batches may end anywhere in a block."""
+    rng = random.Random(5)
+    rows = [(f"t{rng.randrange(6)}", s, "x", rng.choice([None, 0, 1, 2, 3])) for s in range(400)] + [("t1", None, "x", 1), (None, 401, "x", 1)]
+    changes = spark.createDataFrame(rows, "task_id string, log_seq long, to string, expected_version long")
+    want, at = {}, {}
+    for task, s, _, e in rows[:400]:
+        v = at.get(task, 0)
+        want[s] = (v, e is None or e == v)
+        at[task] = v + want[s][1]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        for block in (1, 7, 1000):
+            done = review.versioned(changes, block)
+            assert "FlatMapGroups" not in done._jdf.queryExecution().executedPlan().toString()
+            assert {r["log_seq"]: (r["version"], r["accepted"]) for r in done.collect()} == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
