@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize, with_text, without
 from .components import stars
-from .similar import met
+from .similar import met, unlinked
 
 DEPTH = 3
 #: Shorter lines are left alone; only lines from GENERAL_TOKENS on are generalised beyond digits.
@@ -139,7 +139,8 @@ def _alike(rest: DataFrame, similarity: float) -> DataFrame:
     Lines that differ in at most d places agree in one of d + 1 blocks of the tokens behind the
     leading ones, and meet in that block's cell. Within a crowded cell the other tokens are cut into
     d + 1 blocks again, by the same reasoning. Cells that even then are crowded hold lines that agree
-    in two blocks and more; each is held against LEADS of them.
+    in two blocks and more; each is held against LEADS of them, and those that this leaves unlinked
+    against each other, in tiles.
     """
     size = F.size("tokens")
     lines = rest.select("leaf", F.col("line").alias("fp"), "tokens", (size - F.ceil(similarity * size) + 1).cast("int").alias("n"))
@@ -148,11 +149,16 @@ def _alike(rest: DataFrame, similarity: float) -> DataFrame:
     pairs, many = met(coarse.select("fp", "cell"), CROWD, lead=False)
     others = F.flatten(F.filter("pieces", lambda _, i: i != F.col("j")))
     fine = coarse.join(many, ["fp", "cell"]).select("fp", "cell", F.posexplode(_pieces(others, F.col("n"))).alias("k", "piece"))
-    pairs = pairs.union(met(fine.select("fp", F.xxhash64("cell", "k", "piece").alias("cell")), CROWD)[0])
-    pairs = materialize(pairs.distinct(), "alike")
+    near, crowded = met(fine.select("fp", F.xxhash64("cell", "k", "piece").alias("cell")), CROWD)
+    pairs = materialize(pairs.union(near).distinct(), "alike")
     own = lambda x: rest.select(F.col("line").alias(x), F.col("tokens").alias(f"{x}_tokens"))
     same = F.size(F.filter(F.zip_with("a_tokens", "b_tokens", lambda t, m: t == m), lambda x: x))
-    return pairs.join(own("a"), "a").join(own("b"), "b").where(same >= similarity * F.size("a_tokens")).select("a", "b")
+    linked = lambda pairs: pairs.join(own("a"), "a").join(own("b"), "b").where(same >= similarity * F.size("a_tokens")).select("a", "b")
+    if crowded.isEmpty():
+        return linked(pairs)
+    found = materialize(linked(pairs), "found")
+    more = unlinked(crowded, found).join(pairs, ["a", "b"], "left_anti")
+    return found.union(linked(materialize(more, "more")))
 
 
 def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS, similarity: float = SIMILARITY) -> DataFrame:

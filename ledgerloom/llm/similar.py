@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import LOWER_ASCII, materialize, without
+from .components import stars
 from .simhash import SEED, grouped
 
 WORDS = 5
@@ -88,6 +89,25 @@ def met(rows: DataFrame, crowd: int, lead: bool = True) -> tuple[DataFrame, Data
     return pairs.union(led) if lead else pairs, many.select("fp", "cell")
 
 
+def unlinked(many: DataFrame, links: DataFrame, tile: int = CROWD) -> DataFrame:
+    """Pairs (a, b) of ``many(fp, cell)`` that share a cell and are in different components of ``links(a, b)``.
+
+    A cell is dealt into parts of about ``tile`` rows, and each two parts meet in a tile of their own,
+    so no task holds a whole cell. Cells of one component are left out.
+    """
+    root = stars(links)
+    rooted = many.join(root, many.fp == root.node, "left").select("fp", "cell", F.coalesce("root", "fp").alias("root"))
+    rooted = materialize(rooted, "rooted")
+    size = rooted.groupBy("cell").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
+    # Written first, so that Spark can split a crowded cell.
+    rows = rooted.join(materialize(size.select("cell", F.ceil(F.col("n") / tile).alias("parts")), "sizes"), "cell")
+    rows = rows.withColumn("k", F.pmod(F.xxhash64("cell", "fp"), "parts")).withColumn("o", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
+    tiles = rows.groupBy("cell", F.least("k", "o").alias("i"), F.greatest("k", "o").alias("j")).agg(F.collect_list(F.struct("fp", "root", "k")).alias("all"))
+    one = tiles.select("i", "j", "all", F.explode("all").alias("x"))
+    others = F.filter("all", lambda y: (y.fp > F.col("x.fp")) & (y.root != F.col("x.root")) & ((F.col("i") == F.col("j")) | (y.k != F.col("x.k"))))
+    return one.select(F.col("x.fp").alias("a"), F.explode(F.transform(others, lambda y: y.fp)).alias("b")).distinct()
+
+
 def links(distinct: DataFrame, texts: DataFrame, similarity: float = SIMILARITY, crowd: int = CROWD) -> DataFrame:
     """(a, b) of ``distinct(fp, h, bands)`` whose sets have a Jaccard similarity of ``similarity`` or more; ``texts`` is (h, text)."""
     every = distinct.where("bands IS NOT NULL")

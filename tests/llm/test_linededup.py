@@ -94,3 +94,17 @@ def test_crowded_cells_lose_few_links(spark):
     lines = spark.createDataFrame([(1, h, t.split()) for h, (_, t) in zip(left, rows)], "leaf long, line long, tokens array<string>")
     linked = {r["node"] for r in linededup.stars(linededup._alike(lines, 0.8)).collect()}
     assert len(linked) >= 0.9 * len(rows)
+
+
+def test_lines_that_meet_in_crowded_cells_only(spark):
+    """Pairs that differ in three places and share no block but those that all lines share: none is lost."""
+    rng, lines = random.Random(6), []
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(7))
+    for _ in range(150):
+        tail = [word() for _ in range(6)]
+        other = [word() if k in (0, 1, 3) else t for k, t in enumerate(tail)]
+        lines += [["one", "way", "to", "b1", "b2", "b3", "c1", "c2", "c3", *t] for t in (tail, other)]
+    signed = [linededup._signed(" ".join(t).encode()) for t in lines]
+    rows = spark.createDataFrame([(1, h, t) for h, t in zip(signed, lines)], "leaf long, line long, tokens array<string>")
+    got = {tuple(sorted(r)) for r in linededup._alike(rows, 0.8).collect()}
+    assert got == {tuple(sorted(signed[k : k + 2])) for k in range(0, 300, 2)}
