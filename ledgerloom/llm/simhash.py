@@ -50,6 +50,11 @@ def fingerprint(text: str | None) -> int:
     first, last = (ends - lens)[: 1 - SHINGLE].tolist(), ends[SHINGLE - 1 :].tolist()
     digest = xxhash.xxh64_intdigest
     hashes = np.fromiter((digest(joined[a:b], SEED) for a, b in zip(first, last)), "<u8", len(first))
+    return majority(hashes)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes."""
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 4096):
         part = hashes[at : at + 4096].view(np.uint8).reshape(-1, 8)

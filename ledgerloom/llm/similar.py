@@ -1,12 +1,15 @@
 """Near-duplicates by the similarity of their word sequences, checked exactly.
 
-A text is the set of its hashed sequences of WORDS words. Candidates are texts that agree in a band
-of ROWS minimum hashes; with BANDS bands, two texts of similarity 0.8 meet with a probability of
-0.99997. Each candidate pair is then held against the two whole sets.
+A text is the set of its hashed sequences of WORDS words. Candidates come from the grid join of
+``simhash``, over segment popcounts of the set's fingerprint. That finds what is within 2 bits, and
+texts of similarity 0.8 are about 10 bits apart, so candidates are as well texts that agree in a band
+of ROWS minimum hashes; with BANDS bands, two of similarity 0.8 meet with a probability of 0.99997.
+Each candidate pair is then held against the two whole sets.
 
-A band's cell of more than ``crowd`` texts is not compared pair by pair. Its texts are held against
+A cell of more than ``crowd`` texts is not compared pair by pair at first. Its texts are held against
 LEADS of them, and are dealt again by FINE further bands within the cell, where small cells are
-compared pair by pair and crowded ones again with LEADS of theirs.
+compared pair by pair and crowded ones again with LEADS of theirs. Texts that are linked by then need
+no look at each other any more; all other pairs of the crowded cells are compared, in tiles.
 """
 
 from __future__ import annotations
@@ -19,7 +22,8 @@ from pyspark.sql import functions as F
 
 from .common import LOWER_ASCII, materialize, without
 from .components import stars
-from .simhash import SEED, grouped
+from .simhash import SEED, blocks_for, grouped, majority
+from .simhash import links as grid_links
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -61,8 +65,9 @@ def _signatures(batches):
         prints = [np.uint64(xxhash.xxh64_intdigest(s.tobytes(), SEED) if len(s) else 0) for s in sets]
         names = [n for n in batch.schema.names if n != "text"]
         cells = [bands(s) if len(s) else None for s in sets]
-        more = [pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(cells, pa.list_(pa.int64()))]
-        yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], *more], names=[*names, "fp", "bands"])
+        near = np.array([majority(s) if len(s) else 0 for s in sets], np.uint64)
+        more = [pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(near.view(np.int64)), pa.array(cells, pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], *more], names=[*names, "fp", "sim", "bands"])
 
 
 def _sets(batches):
@@ -108,14 +113,8 @@ def unlinked(many: DataFrame, links: DataFrame, tile: int = CROWD) -> DataFrame:
     return one.select(F.col("x.fp").alias("a"), F.explode(F.transform(others, lambda y: y.fp)).alias("b")).distinct()
 
 
-def links(distinct: DataFrame, texts: DataFrame, similarity: float = SIMILARITY, crowd: int = CROWD) -> DataFrame:
-    """(a, b) of ``distinct(fp, h, bands)`` whose sets have a Jaccard similarity of ``similarity`` or more; ``texts`` is (h, text)."""
-    every = distinct.where("bands IS NOT NULL")
-    coarse = every.select("fp", F.posexplode(F.slice("bands", 1, BANDS)).alias("k", "v")).select("fp", F.xxhash64("k", "v").alias("cell"))
-    pairs, many = met(coarse, crowd)
-    again = many.join(every.select("fp", F.slice("bands", BANDS + 1, FINE).alias("fine")), "fp")
-    fine = again.select("fp", "cell", F.posexplode("fine").alias("k", "v")).select("fp", F.xxhash64("cell", "k", "v").alias("cell"))
-    pairs = materialize(pairs.union(met(fine, crowd)[0]).distinct(), "pairs")
+def alike(pairs: DataFrame, distinct: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """The ``pairs`` whose whole sets are similar enough."""
     asked = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct().join(distinct.select("fp", "h"), "fp")
     # Copies are put together before the shuffle.
     once = texts.groupBy("h").agg(F.first("text").alias("text"))
@@ -126,16 +125,44 @@ def links(distinct: DataFrame, texts: DataFrame, similarity: float = SIMILARITY,
     return both.where(shared >= similarity * (F.size("a_items") + F.size("b_items") - shared)).select("a", "b")
 
 
+def grid_cells(every: DataFrame) -> DataFrame:
+    """(fp, cell) of the texts whose fingerprints ``simhash`` links: a cell for each link, and for each fingerprint."""
+    sims = materialize(every.select(F.col("sim").alias("fp")).distinct(), "sims")
+    near = grid_links(sims, blocks_for(sims.count()))
+    ends = near.select(F.explode(F.array("a", "b")).alias("sim"), F.xxhash64("a", "b").alias("cell"))
+    return every.select("fp", F.xxhash64(F.lit(-1), "sim").alias("cell")).union(every.join(ends, "sim").select("fp", "cell"))
+
+
+def links(distinct: DataFrame, texts: DataFrame, similarity: float = SIMILARITY, crowd: int = CROWD) -> DataFrame:
+    """(a, b) of ``distinct(fp, h, sim, bands)`` whose sets have a Jaccard similarity of ``similarity`` or more; ``texts`` is (h, text).
+
+    Of the texts in a crowded cell only as many as keep what is reachable the same.
+    """
+    every = distinct.where("bands IS NOT NULL")
+    coarse = every.select("fp", F.posexplode(F.slice("bands", 1, BANDS)).alias("k", "v")).select("fp", F.xxhash64("k", "v").alias("cell"))
+    pairs, many = met(coarse.union(grid_cells(every)), crowd)
+    again = many.join(every.select("fp", F.slice("bands", BANDS + 1, FINE).alias("fine")), "fp")
+    fine = again.select("fp", "cell", F.posexplode("fine").alias("k", "v")).select("fp", F.xxhash64("cell", "k", "v").alias("cell"))
+    pairs = materialize(pairs.union(met(fine, crowd)[0]).distinct(), "pairs")
+    found = alike(pairs, distinct, texts, similarity)
+    if many.isEmpty():
+        return found
+    found = materialize(found, "found")
+    # The pairs that were compared and are not alike are known already.
+    more = materialize(unlinked(many, found, crowd).join(pairs, ["a", "b"], "left_anti"), "more")
+    return found if more.isEmpty() else found.union(alike(more, distinct, texts, similarity))
+
+
 def components(docs: DataFrame, id_col: str = "doc_id", similarity: float = SIMILARITY, crowd: int = CROWD) -> DataFrame:
     """All columns of ``docs`` but ``text``, with ``fp``, ``component_id`` and ``root_fp``, as ``simhash.components`` has them.
 
     ``fp`` is the hash of the set of word sequences. Texts without a word have 0 and are one group.
     """
-    docs = without(docs, "fp", "bands", "h", "component_id", "root_fp")
+    docs = without(docs, "fp", "sim", "bands", "h", "component_id", "root_fp")
     h = F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")
     rest = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes if n != "text")
-    signed = docs.select("*", h).mapInArrow(_signatures, f"{rest}, h long, fp long, bands array<long>")
+    signed = docs.select("*", h).mapInArrow(_signatures, f"{rest}, h long, fp long, sim long, bands array<long>")
     prints = materialize(signed, "prints")
-    per = prints.groupBy("fp").agg(F.min(id_col).alias("least_id"), F.first("h").alias("h"), F.first("bands").alias("bands"))
+    per = prints.groupBy("fp").agg(F.min(id_col).alias("least_id"), F.first("h").alias("h"), F.first("sim").alias("sim"), F.first("bands").alias("bands"))
     distinct = materialize(per, "distinct")
-    return grouped(prints.drop("h", "bands"), distinct.select("fp", "least_id"), links(distinct, docs.select(h, "text"), similarity, crowd))
+    return grouped(prints.drop("h", "sim", "bands"), distinct.select("fp", "least_id"), links(distinct, docs.select(h, "text"), similarity, crowd))

@@ -164,3 +164,32 @@ def test_similar_texts_equal_brute_force(spark, crowd):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r["doc_id"]: r["component_id"] for r in similar.components(docs, crowd=crowd).collect()}
     assert got == {d: find(d) for d in texts}
+
+
+def _pairs_of_texts(n):
+    """Texts 2k and 2k + 1 are alike, others are not."""
+    rng, texts = random.Random(8), []
+    for _ in range(n):
+        words = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(60)]
+        texts += [" ".join(words), " ".join([*words[:-1], "other"])]
+    return texts
+
+
+def test_near_copies_that_meet_in_crowded_cells_only(spark):
+    """All texts share their cells, and no finer one: each pair that is alike is linked, although leads reach few."""
+    texts = _pairs_of_texts(40)
+    rows = [(k + 1, k + 1, 10_000 * k, [7] * similar.BANDS + [100 * k + i for i in range(similar.FINE)]) for k in range(len(texts))]
+    distinct = spark.createDataFrame(rows, "fp long, h long, sim long, bands array<long>")
+    docs = spark.createDataFrame([(k + 1, t) for k, t in enumerate(texts)], "h long, text string")
+    got = {tuple(sorted(r)) for r in similar.links(distinct, docs, crowd=8).collect()}
+    assert got == {(k, k + 1) for k in range(1, len(texts), 2)}
+
+
+def test_near_copies_come_through_the_grid_join(spark):
+    """Fingerprints within two bits are candidates whatever the bands say; the whole sets decide."""
+    texts = _pairs_of_texts(3)
+    sims = [0b1111 << 32, 0b0011 << 32, -1, -1, 0, 7 << 50]  # within 2, 0 and 3 bits of the partner; the fifth of the second as well
+    rows = [(k + 1, k + 1, sims[k], [100 * k + i for i in range(similar.BANDS + similar.FINE)]) for k in range(len(texts))]
+    distinct = spark.createDataFrame(rows, "fp long, h long, sim long, bands array<long>")
+    docs = spark.createDataFrame([(k + 1, t) for k, t in enumerate(texts)], "h long, text string")
+    assert {tuple(sorted(r)) for r in similar.links(distinct, docs).collect()} == {(1, 2), (3, 4)}
