@@ -28,6 +28,8 @@ WINDOW = 2048
 END_ID = 1
 #: Bytes of text dealt to a group, about.
 GROUP_BYTES = 10_000_000
+#: Pieces in a batch: with their ids, 8 MB at most.
+PIECES = 1000
 #: Bytes of text to a partition, at most about; the session's number of partitions counts below that.
 PARTITION_BYTES = 128 << 20
 
@@ -115,7 +117,7 @@ def pieces(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_I
                 for a in range(0, n, window):
                     part = data[4 * a : 4 * (a + window)]
                     out.append((doc_id, a, min(window, n - a), n, salt, part if given else zlib.crc32(part)))
-                if len(out) >= 4000:
+                if len(out) >= PIECES:
                     yield batch_of(out)
                     out = []
             yield batch_of(out)

@@ -17,7 +17,7 @@ import numpy as np
 from .common import single_threaded
 
 #: Words kept, and letter sequences kept; beyond that the cache starts anew. About 150 bytes each.
-CACHE_WORDS, CACHE_LETTERS = 800_000, 800_000
+CACHE_WORDS, CACHE_LETTERS = 300_000, 300_000
 #: Words longer than this are not kept.
 CACHE_BYTES = 64
 SLICE = 512
