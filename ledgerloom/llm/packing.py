@@ -109,7 +109,7 @@ def pieces(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_I
             cols = batch.schema.names
             doc_ids, out = batch.column(cols.index("doc_id")).to_pylist(), []
             seen: Counter = Counter()
-            for doc_id, data in zip(doc_ids, words.encode(batch.column(cols.index("text")).to_pylist(), end)):
+            for doc_id, data in zip(doc_ids, words.encode(batch.column(cols.index("text")), end)):
                 n, crc = len(data) // 4, zlib.crc32(data)
                 again = seen[doc_id, crc]
                 seen[doc_id, crc] += 1

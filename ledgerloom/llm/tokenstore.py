@@ -19,7 +19,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import wordpieces
-from .common import keep_until_end, shared_dir, small, text_or_empty
+from .common import keep_until_end, shared_dir, text_or_empty
 
 END_ID = 2
 BLOCK_TOKENS = 1 << 16
@@ -81,10 +81,9 @@ def blocks(docs: DataFrame, path: str, end_id: int = END_ID, block_tokens: int =
             return pa.RecordBatch.from_arrays([pa.array([c], k) for c, k in zip(cells, kinds)], names=[f.split()[0] for f in SCHEMA.split(", ")])
 
         held = 0
-        for batch in small(batches):
+        for batch in batches:
             names = batch.schema.names
-            texts = batch.column(names.index("text")).to_pylist()
-            for doc_id, x in zip(batch.column(names.index("doc_id")).to_pylist(), words.encode(texts, end)):
+            for doc_id, x in zip(batch.column(names.index("doc_id")).to_pylist(), words.encode(batch.column(names.index("text")), end)):
                 ids.append(doc_id)
                 data.append(x)
                 held += len(x) // 4

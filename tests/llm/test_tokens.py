@@ -6,12 +6,13 @@ import hashlib
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from ledgerloom.llm import lexicon, packing, queries, tokenstore
+from ledgerloom.llm import lexicon, packing, queries, tokenstore, wordpieces
 from ledgerloom.llm.wordpieces import WordEncoder, public_path
 
 
@@ -122,6 +123,28 @@ def test_words_encode_as_whole_texts_do(samples):
         assert np.frombuffer(got, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_words_of_the_same_letters_are_looked_up_once():
+    tokenizer, encoder = Tokenizer.from_file(public_path(queries.WORD_BPE)), WordEncoder(public_path(queries.WORD_BPE))
+    samples = ["On on, (ON) on. ÉTÉ été", None, "", " on!\n ", "'son <|endoftext|> <|ENDOFTEXT|> İl Straße STRASSE \u212aelvin a\u0301\x00b \u2028x"]
+    for whole in (samples, samples[:3], samples[1:3], samples[:0]):
+        for given in (whole, pa.array(whole, pa.string()), pa.array(["gone", *whole], pa.string()).slice(1)):
+            got = [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(given, b"\2\0\0\0")]
+            assert got == [[*tokenizer.encode(t or "", add_special_tokens=False).ids, 2] for t in whole]
+    assert {b"on", "été".encode(), b",", b"(", b")", b".", b"!"} <= encoder.known.keys()
+    assert not {b"On", b"on,", b"(ON)", b"on.", b"on!"} & encoder.known.keys()
+
+
+@pytest.mark.parametrize("kept", [2, 8, 40])
+def test_a_small_cache_of_words_changes_nothing(monkeypatch, kept):
+    monkeypatch.setattr(wordpieces, "CACHE_PARTS", kept)
+    monkeypatch.setattr(wordpieces, "SLICE_BYTES", 30)
+    tokenizer, encoder = Tokenizer.from_file(public_path(queries.WORD_BPE)), WordEncoder(public_path(queries.WORD_BPE))
+    samples = [f"the word{'s' * (i % 7)} of, No. {i} {'long' * (i % 30)}; the Of" for i in range(60)]
+    for text, got in zip(samples, encoder.encode(samples)):
+        assert np.frombuffer(got, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    assert len(encoder.known) <= kept + 20 and max(map(len, encoder.known)) <= wordpieces.CACHE_BYTES
+
+
 WORD_ENCODER = WordEncoder(public_path(queries.WORD_BPE))
 BPE = lexicon.ByteBpe(public_path(queries.BYTE_BPE))
 FREQUENT = {w.encode(): BPE.word_ids(w) for w in [" the", "the", " of", "\n", " ", " word", " words", "don't", " don't"]}
