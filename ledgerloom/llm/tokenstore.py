@@ -83,7 +83,7 @@ def blocks(docs: DataFrame, path: str, end_id: int = END_ID, block_tokens: int =
         held = 0
         for batch in batches:
             names = batch.schema.names
-            for doc_id, x in zip(batch.column(names.index("doc_id")).to_pylist(), words.encode(batch.column(names.index("text")), end)):
+            for doc_id, x in zip(batch.column(names.index("doc_id")).to_pylist(), words.encode(batch.column(names.index("text")), end, 4 << 20)):
                 ids.append(doc_id)
                 data.append(x)
                 held += len(x) // 4

@@ -21,11 +21,11 @@ import pyarrow.compute as pc
 from .common import single_threaded
 
 #: Parts of words kept, about 150 bytes each. Beyond that those go that were not asked for again.
-CACHE_PARTS = 200_000
+CACHE_PARTS = 150_000
 #: Parts longer than this are not kept.
 CACHE_BYTES = 64
-#: Bytes of text that are encoded together.
-SLICE_BYTES = 4 << 20
+#: Bytes of text that are encoded together: more are faster and take more memory.
+SLICE_BYTES = 1 << 20
 
 #: Letters such that lower-casing keeps their length and composing leaves them alone, and letters to
 #: every version of Unicode. Not among them: the sharp s, a byte of which has no Latin-1 shape.
@@ -133,14 +133,14 @@ class WordEncoder:
             self.again = set()
         known.update((asked[i], ids[i]) for i in new if len(asked[i]) <= CACHE_BYTES)
 
-    def encode(self, texts: pa.Array | list[str | None], end: bytes = b"") -> Iterator[bytes]:
-        """The ids of each text, null as empty, followed by ``end``."""
+    def encode(self, texts: pa.Array | list[str | None], end: bytes = b"", together: int | None = None) -> Iterator[bytes]:
+        """The ids of each text, null as empty, followed by ``end``; ``together`` bytes of text at a time."""
         texts = texts.cast(pa.large_string()) if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
         texts = texts.fill_null("")
         total = np.cumsum(pc.binary_length(texts).to_numpy())
         at = 0
         while at < len(texts):
-            to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + SLICE_BYTES, "right")))
+            to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + (together or SLICE_BYTES), "right")))
             split = pc.ascii_split_whitespace(texts.slice(at, to - at))
             words = split.flatten().dictionary_encode()
             parts = self._parts(words.dictionary)
