@@ -8,6 +8,7 @@ the document as ambiguous.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -77,10 +78,28 @@ def codewords(n: int) -> np.ndarray:
     return best[1]
 
 
+def _matrix(labels: list[str], packed: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """The vectors, each with a constant behind it; the places of their languages in the list that comes last.
+
+    They are ordered, so that the model is the same whatever the order of arrival. There is one copy in
+    single precision; beside it only the vectors of one language are unpacked at a time.
+    """
+    of: dict[str, list[bytes]] = {}
+    for name, vector in zip(labels, packed):
+        of.setdefault(name, []).append(vector)
+    x, at = np.empty((len(labels), BUCKETS + 1), np.float32), 0
+    x[:, BUCKETS] = 0.1
+    for name in sorted(of):
+        for vector in sorted(map(zlib.decompress, of[name])):
+            x[at, :BUCKETS] = np.frombuffer(vector, np.float16)
+            at += 1
+    return x, np.repeat(np.arange(len(of)), [len(of[name]) for name in sorted(of)]), sorted(of)
+
+
 def _train(x: np.ndarray, y: np.ndarray, languages: list[str], steps: int = 200, rate: float = 40.0, decay: float = 1e-5) -> Model:
+    """Logistic regression for each bit. The last column of ``x`` is constant."""
     code = codewords(len(languages))
     target = code[y]
-    x = np.hstack([x, np.full((len(x), 1), 0.1, np.float32)])
     counts = np.bincount(y, minlength=len(languages))
     row = (1 / counts[y] / len(languages)).astype(np.float32)[:, None]  # languages count alike
     w = np.zeros((x.shape[1], code.shape[1]), np.float32)
@@ -99,7 +118,7 @@ def fit(docs: DataFrame, held_out: Column | None = None, sample: int = SAMPLE) -
 
     Labels are counted over all documents with a letter; a pair of id and text counts once. The
     MAX_LANGUAGES most frequent are learned, ties by name.
-    Features are taken from whole texts inside the tasks. The driver receives those of at most
+    Features are taken from whole texts inside the tasks and packed. The driver receives those of at most
     ``sample`` documents, or LEAST of each language if that is more, chosen by a hash of id and text.
     """
     known = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
@@ -110,7 +129,6 @@ def fit(docs: DataFrame, held_out: Column | None = None, sample: int = SAMPLE) -
     counts = sorted((r["lang"], r["n"]) for r in per.orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect())
     if not counts:
         return None
-    languages = [name for name, _ in counts]
     most = max(LEAST, sample // len(counts))
     # A few more than needed are drawn by the hash, so that the exact limit is taken over few rows.
     share = F.lit(0.0)
@@ -123,16 +141,13 @@ def fit(docs: DataFrame, held_out: Column | None = None, sample: int = SAMPLE) -
         for batch in batches:
             rows = [(g, features(t)) for g, t in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()) if has_letter(t)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([g for g, _ in rows], pa.string()), pa.array([v.astype(np.float16).tobytes() for _, v in rows], pa.binary())], names=["lang", "x"]
+                [pa.array([g for g, _ in rows], pa.string()), pa.array([zlib.compress(v.astype(np.float16).tobytes(), 1) for _, v in rows], pa.binary())], names=["lang", "x"]
             )
 
-    got = chosen.select("lang", "text").mapInArrow(vectors, "lang string, x binary").toPandas()
-    if got.empty:
+    got = chosen.select("lang", "text").mapInArrow(vectors, "lang string, x binary").toArrow()
+    if not got.num_rows:
         return None
-    got = got.sort_values(["lang", "x"])  # the same model whatever the order of arrival
-    seen = [name for name in languages if name in set(got["lang"])]
-    x = np.frombuffer(b"".join(got["x"]), np.float16).reshape(len(got), BUCKETS).astype(np.float32)
-    return _train(x, got["lang"].map({name: i for i, name in enumerate(seen)}).to_numpy(), seen)
+    return _train(*_matrix(got["lang"].to_pylist(), got["x"].to_pylist()))
 
 
 def decide(model: Model | None, text: str | None) -> tuple[str, float, bool]:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -73,3 +74,17 @@ def test_odd_rows(spark):
     rows = langid.identify(docs, model).collect()
     assert sorted(r["lang_pred"] == "und" for r in rows) == [False, False, True, True, True] and rows[0].asDict().keys() == {"doc_id", "lang_pred", "score", "ambiguous"}
     assert langid.identify(docs.limit(0), model).count() == 0
+
+
+def test_driver_holds_the_sample_once(spark, monkeypatch):
+    rows = [(i, f"{w} {i} {w[::-1]}", w[:2]) for i in range(1000) for w in ("english words", "deutsche Wörter")]
+    shapes, train = [], langid._train
+    monkeypatch.setattr(langid, "_train", lambda x, *more: shapes.append(x.shape) or train(x, *more, steps=3))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    tracemalloc.start()
+    try:
+        model, most = langid.fit(docs), tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert shapes[0][0] == 2000 and model.languages == ["de", "en"]
+    assert most < 1.7 * 2000 * langid.BUCKETS * 4
