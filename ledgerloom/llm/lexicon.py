@@ -21,6 +21,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
@@ -32,11 +33,11 @@ from .common import keep_until_end, materialize, shared_dir, small, without
 WORDS = 1 << 16
 #: Only words up to so many bytes go in.
 WORD_BYTES = 32
-#: Pieces of text and words that a worker keeps beside the automaton; beyond that it starts anew.
+#: Parts of words that a worker keeps beside the automaton; beyond that those go that the last texts did not need.
 CACHE_WORDS = 200_000
-CACHE_CHARS = 64
-SLICE = 256
-COUNTER_WORDS = 250_000
+CACHE_BYTES = 64
+#: Bytes of text that are encoded together, and counted together.
+SLICE_BYTES, COUNT_BYTES = 2 << 20, 8 << 20
 #: Longest word that is merged beside others in one matrix.
 MATRIX = 32
 #: Classes of counts to each doubling; whole classes of frequent words go in.
@@ -48,6 +49,8 @@ WS = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 CHUNK = re.compile(f" ?[^{WS}]+|[{WS}]+(?![^{WS}])|[{WS}]+")
 #: Letters and what punctuation follows them, two pre-tokens at most; the usual kind of chunk.
 PLAIN = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+#: The same for Arrow, which cuts the punctuation off first.
+LETTERS, BEHIND = "^ ?[A-Za-zÀ-ÖØ-öø-ÿ]+$", "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Fixed value: how the byte-level tokenizer splits a text.
 PRETOKEN = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WS}\p{{L}}\p{{N}}]+|[{WS}]+(?![^{WS}])|[{WS}]+")
 
@@ -85,6 +88,7 @@ class ByteBpe:
                 self.bytes_of[i] = bytes(of[c] for c in token)
         for token, i in self.special.items():
             self.bytes_of[i] = token.encode()
+        self.texts_of = pa.array(self.bytes_of, pa.large_binary())
         self.byte_id = [0] * 256
         for c, b in of.items():
             self.byte_id[b] = vocab[c]
@@ -192,6 +196,20 @@ class ByteBpe:
     def decode(self, ids: Iterable[int]) -> str:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
 
+    def decode_all(self, rows: pa.BinaryArray) -> pa.Array:
+        """``decode`` of each row of little-endian unsigned 32-bit ids; null as null. Arrow puts all bytes together."""
+        rows = rows.cast(pa.large_binary())
+        at = np.frombuffer(rows.buffers()[1], np.int64, len(rows) + 1, rows.offset * 8)
+        ids = np.frombuffer(rows.buffers()[2] or b"", "<u4")[at[0] // 4 : at[-1] // 4]
+        found = self.texts_of.take(pa.array(ids))
+        cuts = np.frombuffer(found.buffers()[1], np.int64, len(found) + 1)[(at - at[0]) // 4].copy()
+        nulls = None if not rows.null_count else pa.array(rows.is_valid().to_numpy(zero_copy_only=False)).buffers()[1]
+        whole = pa.Array.from_buffers(pa.large_binary(), len(rows), [nulls, pa.py_buffer(cuts), found.buffers()[2] or pa.py_buffer(b"")])
+        try:
+            return whole.cast(pa.string())
+        except pa.ArrowInvalid:  # the ids of a row are not those of whole characters
+            return pa.array([None if x is None else x.decode("utf-8", "replace") for x in whole.to_pylist()], pa.string())
+
 
 class Transducer:
     """A minimal acyclic automaton over words, with the ids of each; flat arrays, memory-mapped."""
@@ -285,51 +303,137 @@ class Transducer:
         return out
 
 
+def _table(found: Iterable[int]) -> np.ndarray:
+    return np.isin(np.arange(256), list(found))
+
+
+#: Bytes that are white space; that may begin other white space; that stand in it before its last byte.
+_SPACE, _LEADS, _INNER = _table([*range(9, 14), 32]), _table([0xC2, 0xE1, 0xE2, 0xE3]), _table([0x80, 0x81, 0x9A, 0xC2])
+
+
+def stretches(texts: pa.LargeStringArray) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """The stretches of texts without nulls, and the number of the first one of each text.
+
+    A text is cut before a blank and around a line feed that stand alone between other characters. No
+    chunk reaches across such a cut, and none looks behind it, so a stretch means the same wherever it is.
+    """
+    at = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, texts.offset * 8)
+    data, base = texts.buffers()[2], at[0]
+    d = np.frombuffer(data, np.uint8, at[-1] - base, base) if data and at[-1] > base else np.empty(0, np.uint8)
+    p = np.flatnonzero((d == 32) | (d == 10))
+    p = p[(p > 1) & (p < len(d) - 1)]
+    before, behind = d[p - 1], d[p + 1]
+    p = p[~(_SPACE[before] | _SPACE[behind] | _LEADS[behind] | (before > 127) & _INNER[d[p - 2]])]
+    cut = np.zeros(len(d) + 1, bool)
+    cut[p] = cut[p[d[p] == 10] + 1] = cut[at - base] = True
+    cuts = np.flatnonzero(cut)
+    every = pa.Array.from_buffers(pa.large_string(), len(cuts) - 1, [None, pa.py_buffer(cuts + base), data or pa.py_buffer(b"")])
+    return every.dictionary_encode(), np.searchsorted(cuts, at - base)
+
+
+def halves(found: pa.LargeStringArray, special: Iterable[str]) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """Two for each stretch: its letters and the punctuation behind them; else the stretch and nothing.
+
+    Also which of the distinct ones may be more than one pre-token.
+    """
+    n = len(found)
+    letters = pc.ascii_rtrim(found, BEHIND)
+    plain = pc.match_substring_regex(letters, LETTERS)
+    for w in special:
+        plain = pc.and_not(plain, pc.match_substring(found, w))
+    plain = plain.to_numpy(zero_copy_only=False)
+    at = np.frombuffer(found.buffers()[1], np.int64, n + 1, found.offset * 8)
+    cuts = np.empty(2 * n + 1, np.int64)
+    cuts[::2] = at
+    cuts[1::2] = np.where(plain, at[:-1] + pc.binary_length(letters).to_numpy(), at[1:])
+    parts = pa.Array.from_buffers(pa.large_string(), 2 * n, [None, pa.py_buffer(cuts), found.buffers()[2] or pa.py_buffer(b"")]).dictionary_encode()
+    odd = np.zeros(len(parts.dictionary), bool)
+    odd[parts.indices.to_numpy()[::2][~plain]] = True
+    return parts, odd
+
+
+def _bytes(found: pa.LargeStringArray) -> list[bytes]:
+    at = np.frombuffer(found.buffers()[1], np.int64, len(found) + 1, found.offset * 8).tolist()
+    data = found.buffers()[2].to_pybytes() if found.buffers()[2] else b""
+    return [data[a:b] for a, b in zip(at, at[1:])]
+
+
+def _joined(values: list[bytes]) -> pa.LargeBinaryArray:
+    cuts = np.zeros(len(values) + 1, np.int64)
+    np.cumsum(np.fromiter(map(len, values), np.int64, len(values)), out=cuts[1:])
+    return pa.Array.from_buffers(pa.large_binary(), len(values), [None, pa.py_buffer(cuts), pa.py_buffer(b"".join(values))])
+
+
+def slices(texts: pa.Array, most: int) -> Iterator[pa.LargeStringArray]:
+    """Texts of about ``most`` bytes at a time; null as empty."""
+    texts = texts.cast(pa.large_string()).fill_null("")
+    total, at = np.cumsum(pc.binary_length(texts).to_numpy()), 0
+    while at < len(texts):
+        to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + most, "right")))
+        yield texts.slice(at, to - at)
+        at = to
+
+
 class Encoder:
-    """Whole texts to ids: the automaton first, exact merging for what it has not."""
+    """Whole texts to ids: the automaton first, exact merging for what it has not.
+
+    Arrow cuts the texts, finds the distinct stretches and their parts, and puts the ids together.
+    """
 
     def __init__(self, bpe: ByteBpe, transducer: Transducer):
         self.bpe, self.transducer = bpe, transducer
-        self.known: dict[str, bytes] = {}  # by chunk
-        self.words: dict[str, bytes] = {}  # by pre-token
-
-    def _learn(self, new: list[str]) -> None:
-        cut = [pretokens(c) for c in new]
-        words = self.words
-        fresh = list({w for ws in cut for w in ws if w not in words})
-        coded = [w.encode() for w in fresh]
-        numbers = self.transducer.numbers(coded)
+        self.special = {w.encode(): array("I", [i]).tobytes() for w, i in bpe.special.items()}
+        if any(" " in w or "\n" in w for w in bpe.special):
+            raise ValueError("a special token with a blank in it could be cut")
+        self.known: dict[bytes, bytes] = {b"": b"", **self.special}
+
+    def _learn(self, fresh: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of pre-tokens."""
+        numbers = self.transducer.numbers(fresh)
         inside, unseen = np.flatnonzero(numbers >= 0), np.flatnonzero(numbers < 0).tolist()
-        data = self.transducer.ids.tobytes() if self.transducer.ids.nbytes <= 1 << 16 else memoryview(self.transducer.ids).cast("B")
-        starts = self.transducer.starts
-        for k, a, b in zip(inside.tolist(), (starts[numbers[inside]] * 4).tolist(), (starts[numbers[inside] + 1] * 4).tolist()):
-            words[fresh[k]] = bytes(data[a:b])
-        words.update(zip([fresh[k] for k in unseen], self.bpe.merged_all([coded[k] for k in unseen])))
-        self.known.update([(c, words[ws[0]] if len(ws) == 1 else b"".join([words[w] for w in ws])) for c, ws in zip(new, cut)])
-        if len(words) > CACHE_WORDS:
-            self.words = {}
-
-    def encode(self, texts: list[str | None]) -> Iterator[bytes]:
+        data, starts = memoryview(self.transducer.ids).cast("B"), self.transducer.starts
+        spans = zip(inside.tolist(), (starts[numbers[inside]] * 4).tolist(), (starts[numbers[inside] + 1] * 4).tolist())
+        found = {fresh[k]: bytes(data[a:b]) for k, a, b in spans}
+        found.update(zip([fresh[k] for k in unseen], self.bpe.merged_all([fresh[k] for k in unseen])))
+        return found
+
+    def _split(self, part: str) -> list[bytes]:
+        """Pre-tokens and special tokens of any stretch."""
+        special = self.bpe.special
+        parts = self.bpe.split_special.split(part) if self.bpe.split_special else [part]
+        return [w.encode() for p in parts for w in ([p] if p in special else [w for c in CHUNK.findall(p) for w in pretokens(c)])]
+
+    def _ids(self, parts: pa.LargeStringArray, odd: np.ndarray) -> pa.LargeBinaryArray:
+        """The ids of each distinct part."""
+        asked, known = _bytes(parts), self.known
+        ids = list(map(known.get, asked))
+        new = [i for i, x in enumerate(ids) if x is None]
+        is_odd = odd[new].tolist()
+        split = {i: self._split(asked[i].decode()) for i, x in zip(new, is_odd) if x}
+        fresh = {asked[i]: None for i, x in zip(new, is_odd) if not x}
+        fresh.update((w, None) for ws in split.values() for w in ws if w not in known)
+        found = self._learn(list(fresh))
+        for i in new:
+            ws = split.get(i)
+            ids[i] = found[asked[i]] if ws is None else b"".join([found[w] if w in found else known[w] for w in ws])
+        if len(known) + len(new) > CACHE_WORDS:
+            stay = {w: known[w] for w in asked if w in known}
+            self.known = known = {b"": b"", **self.special} | (stay if len(stay) <= CACHE_WORDS // 2 else {})
+        known.update((asked[i], ids[i]) for i in new if len(asked[i]) <= CACHE_BYTES)
+        return _joined(ids)
+
+    def encode(self, texts: pa.Array | list[str | None]) -> Iterator[bytes]:
         """Ids as little-endian unsigned 32-bit integers; null as empty."""
-        split_special = self.bpe.split_special
-        special = {w: array("I", [i]).tobytes() for w, i in self.bpe.special.items()}
-        for at in range(0, len(texts), SLICE):
-            split = []
-            for t in texts[at : at + SLICE]:
-                t = t or ""
-                parts = split_special.split(t) if split_special and any(s in t for s in special) else [t]
-                split.append([c for p in parts for c in ([p] if p in special else CHUNK.findall(p))] if len(parts) > 1 else CHUNK.findall(t))
-            new = set().union(*split) - self.known.keys()
-            if len(self.known) + len(new) > CACHE_WORDS:
-                self.known = {}
-                new = set().union(*split)
-            self._learn([w for w in new if w not in special])
-            self.known.update(special)
-            get = self.known.__getitem__
-            for chunks in split:
-                yield b"".join(map(get, chunks))
-            for w in [w for w in new if len(w) > CACHE_CHARS and w not in special]:
-                del self.known[w]
+        for some in slices(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string()), SLICE_BYTES):
+            found, first = stretches(some)
+            parts, odd = halves(found.dictionary, self.bpe.special)
+            ids = self._ids(parts.dictionary, odd).take(parts.indices)
+            whole = pa.py_buffer(np.frombuffer(ids.buffers()[1], np.int64, len(ids) + 1)[::2].copy())
+            ids = pa.Array.from_buffers(pa.large_binary(), len(ids) // 2, [None, whole, ids.buffers()[2]]).take(found.indices)
+            cuts = np.frombuffer(ids.buffers()[1], np.int64, len(ids) + 1)[first].tolist()
+            data = memoryview(ids.buffers()[2])
+            for a, b in zip(cuts, cuts[1:]):
+                yield bytes(data[a:b])
 
 
 @lru_cache(maxsize=2)
@@ -351,23 +455,21 @@ def word_counts(docs: DataFrame) -> DataFrame:
     """(word, n) of the pre-tokens of all whole texts, with the space before them. Counted within tasks first."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
-
-        def out() -> pa.RecordBatch:
-            words: Counter = Counter()
-            for chunk, n in seen.items():
-                for w in pretokens(chunk):
-                    if len(w) <= WORD_BYTES:
-                        words[w] += n
-            return pa.RecordBatch.from_arrays([pa.array(words.keys(), pa.string()), pa.array(words.values(), pa.int64())], names=["word", "n"])
-
-        for part in small(batches):
-            for text in part.column("text").to_pylist():
-                seen.update(CHUNK.findall(text or ""))
-                if len(seen) > COUNTER_WORDS:
-                    yield out()
-                    seen.clear()
-        yield out()
+        for batch in batches:
+            for some in slices(batch.column("text"), COUNT_BYTES):
+                found, _ = stretches(some)
+                parts, odd = halves(found.dictionary, ())
+                times = np.repeat(np.bincount(found.indices.to_numpy(), minlength=len(found.dictionary)), 2)
+                n = np.zeros(len(parts.dictionary), np.int64)
+                np.add.at(n, parts.indices.to_numpy(), times)
+                words: Counter = Counter()
+                for part, k in zip(parts.dictionary.filter(pa.array(odd)).to_pylist(), n[odd].tolist()):
+                    for w in [w for c in CHUNK.findall(part) for w in pretokens(c)]:
+                        words[w] += k
+                kept = ~odd & (pc.binary_length(parts.dictionary).to_numpy() > 0)
+                names = pa.concat_arrays([parts.dictionary.filter(pa.array(kept)).cast(pa.string()), pa.array(words.keys(), pa.string())])
+                out = pa.RecordBatch.from_arrays([names, pa.array(np.append(n[kept], np.array(list(words.values()), np.int64)))], names=["word", "n"])
+                yield out.filter(pc.less_equal(pc.binary_length(names), WORD_BYTES))
 
     return docs.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -429,7 +531,7 @@ def encode(docs: DataFrame, path: str, lexicon: str) -> DataFrame:
         own = encoder(path, lexicon)
         for batch in small(batches):
             keep = [n for n in batch.schema.names if n != "text"]
-            ids = pa.array(list(own.encode(batch.column("text").to_pylist())), pa.binary())
+            ids = pa.array(list(own.encode(batch.column("text"))), pa.binary())
             yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in keep], ids], names=[*keep, "ids"])
 
     return docs.mapInArrow(run, ", ".join([*[f"`{n}` {t}" for n, t in docs.dtypes if n != "text"], "ids binary"]))
@@ -442,7 +544,6 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = bpe(path)
         for batch in small(batches):
-            texts = [None if x is None else own.decode(np.frombuffer(x, "<u4").tolist()) for x in batch.column("ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "decoded"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, own.decode_all(batch.column("ids"))], names=[*batch.schema.names, "decoded"])
 
     return encoded.mapInArrow(run, ", ".join([*[f"`{n}` {t}" for n, t in encoded.dtypes], "decoded string"]))

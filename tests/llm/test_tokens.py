@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -147,6 +148,7 @@ def test_a_small_cache_of_words_changes_nothing(monkeypatch, kept):
 
 WORD_ENCODER = WordEncoder(public_path(queries.WORD_BPE))
 BPE = lexicon.ByteBpe(public_path(queries.BYTE_BPE))
+LIBRARY = Tokenizer.from_file(public_path(queries.BYTE_BPE))
 FREQUENT = {w.encode(): BPE.word_ids(w) for w in [" the", "the", " of", "\n", " ", " word", " words", "don't", " don't"]}
 
 
@@ -231,3 +233,41 @@ def test_frequent_words_are_whole_classes_from_the_top(spark):
     assert kept(4) == [900, 1000]  # three words of one class do not fit
     assert kept(5) == [50, 50, 50, 900, 1000]
     assert len(kept(100)) == 8 and kept(0) == []
+
+
+def test_plain_words_are_cut_by_arrow_alone(monkeypatch):
+    asked = []
+    monkeypatch.setattr(lexicon, "pretokens", lambda chunk, cut=lexicon.pretokens: asked.append(chunk) or cut(chunk))
+    words = [f"{chr(97 + i % 26)}{chr(97 + i // 26)}é{'.' * (i % 3)}" for i in range(600)]
+    text = "\n".join(" ".join(words[i : i + 20]) for i in range(0, 600, 20))
+    encoder = lexicon.Encoder(BPE, lexicon.Transducer.build(FREQUENT))
+    got = [np.frombuffer(x, "<u4").tolist() for x in encoder.encode([text, None, "", text[:50]])]
+    tokenizer = Tokenizer.from_file(public_path(queries.BYTE_BPE))
+    assert got == [tokenizer.encode(t, add_special_tokens=False).ids for t in (text, "", "", text[:50])]
+    assert len(asked) <= 2
+
+
+@given(st.lists(st.one_of(st.text(alphabet="ab \n\t\u0085\u00a0\u2003\u2029\u205f\u3000\u1680é’", max_size=40), st.text(max_size=20)), max_size=6), st.integers(1, 40))
+@settings(deadline=None, max_examples=300)
+def test_cut_texts_encode_as_whole_ones_in_slices_of_any_size(samples, most):
+    encoder, kept = lexicon.Encoder(BPE, lexicon.Transducer.build(FREQUENT)), (lexicon.SLICE_BYTES, lexicon.CACHE_WORDS)
+    lexicon.SLICE_BYTES, lexicon.CACHE_WORDS = most, most
+    try:
+        got = list(encoder.encode(pa.array(["skipped", *samples], pa.string()).slice(1)))
+    finally:
+        lexicon.SLICE_BYTES, lexicon.CACHE_WORDS = kept
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [LIBRARY.encode(t, add_special_tokens=False).ids for t in samples]
+
+
+@given(st.lists(st.one_of(st.none(), st.lists(st.integers(0, len(BPE.bytes_of) - 1), max_size=8)), max_size=8), st.integers(0, 2))
+@settings(deadline=None, max_examples=200)
+def test_rows_decoded_together_equal_those_decoded_alone(rows, at):
+    data = pa.array([None if x is None else np.array(x, "<u4").tobytes() for x in rows], pa.binary()).slice(at)
+    assert BPE.decode_all(data).to_pylist() == [None if x is None else BPE.decode(x) for x in rows[at:]]
+
+
+def test_words_are_counted_as_pretokens(spark):
+    texts = ["the word, the  word\n\nthe words' end ", None, "", " the don't\nword,", "x1 ’the’ <|endoftext|> a\u2003b " * 3, "y" * 50 + " the"]
+    want = Counter(w for t in texts if t for c in lexicon.CHUNK.findall(t) for w in lexicon.pretokens(c) if len(w.encode()) <= lexicon.WORD_BYTES)
+    got = lexicon.word_counts(spark.createDataFrame([(t,) for t in texts], "text string")).collect()
+    assert {r["word"]: r["n"] for r in got} == want
