@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 
 from ledgerloom.llm import linededup
 
@@ -108,3 +109,54 @@ def test_lines_that_meet_in_crowded_cells_only(spark):
     rows = spark.createDataFrame([(1, h, t) for h, t in zip(signed, lines)], "leaf long, line long, tokens array<string>")
     got = {tuple(sorted(r)) for r in linededup._alike(rows, 0.8).collect()}
     assert got == {tuple(sorted(signed[k : k + 2])) for k in range(0, 300, 2)}
+
+
+def test_only_lines_that_can_go_are_looked_at_again(spark, monkeypatch):
+    """What is read again after the kinds are counted follows the lines that recur, not all lines."""
+    rng, seen = random.Random(7), {}
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(7))
+    rows = [(d, "\n".join([" ".join(word() for _ in range(9)) for _ in range(20)] + [f"the line that {d % 2} and others have in common"])) for d in range(30)]
+    plain = linededup.materialize
+
+    def counted(df, name):
+        seen[name] = (out := plain(df, name)).count()
+        return out
+
+    monkeypatch.setattr(linededup, "materialize", counted)
+    got = {r["doc_id"]: r["n_dropped"] for r in linededup.drop_recurring(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {d: int(d > 0) for d, _ in rows}
+    assert seen["lines"] == 21 * 30 and seen["placed"] == 30
+
+
+def test_long_lines_in_a_crowded_cell(spark):
+    """Lines of 400 tokens that share their first half, or nearly: those that are alike are linked, and no others."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(7))
+    same, lines = [word() for _ in range(200)], []
+    for _ in range(40):
+        own = [word() for _ in range(200)]
+        lines += [same + own, [t if k % 6 else word() for k, t in enumerate(same)] + own[:-10] + [word() for _ in range(10)]]
+    lines += [same + [word() for _ in range(200)] for _ in range(70)]
+    signed = [linededup._signed(" ".join(t).encode()) for t in lines]
+    rows = spark.createDataFrame([(1, h, t) for h, t in zip(signed, lines)], "leaf long, line long, tokens array<string>")
+    got = {tuple(sorted(r)) for r in linededup._alike(rows, 0.8).collect()}
+    assert got == {tuple(sorted(signed[k : k + 2])) for k in range(0, 80, 2)}
+
+
+def test_votes_of_parts_add_up(spark, monkeypatch):
+    """Leaves of one part and of several get the token of most documents in each place, however a leaf is cut and rows are repeated."""
+    rng, rows = random.Random(9), []
+    for leaf in range(40):
+        for k in range(rng.randrange(1, 30)):
+            rows.append((leaf, 100 * leaf + k, rng.randrange(1, 4), [rng.choice(["é", "z", "\U0001f600", "\uffee", "ab", "b"]) for _ in range(8 + leaf % 3)]))
+    want = {}
+    for leaf in range(40):
+        places = [Counter() for _ in range(8 + leaf % 3)]
+        for _, _, n, tokens in (r for r in rows if r[0] == leaf):
+            for place, token in zip(places, tokens):
+                place[token] += n
+        want[leaf] = [max(p, key=lambda t: (p[t], t.encode())) for p in places]
+    for parts in (1, 3):
+        cut = [(leaf, line, n, 1 + (parts - 1) * (leaf % 2), t) for leaf, line, n, t in rows + rows[:200]]
+        frame = spark.createDataFrame(cut, "leaf long, line long, n_docs long, parts long, tokens array<string>")
+        assert {r["leaf"]: r["template"] for r in linededup._templates(frame).collect()} == want
